@@ -18,8 +18,14 @@ column.  Here:
    most ``collect_cap`` (value, count) pairs per bracket reach the driver,
    from which the order statistics are read.
 
-All columns and probabilities share each pass: 3 Spark jobs in the common
-case, 2 when the sketch rides along in another aggregate.
+Fast path (the common case): steps 2 and 4 are one pass.  Per column the
+brackets are merged into disjoint intervals; each value is mapped by one
+``CASE`` chain to its gap or interval, grouped by (column, segment, value if
+inside an interval) and at most ``collect_cap`` groups per interval are
+collected.  Gap counts give the rows below each interval, which proves (or
+refutes) that the interval holds its ranks.  Only refuted or oversized
+brackets go through the loop above.  So the common case is 2 Spark jobs, or 1
+extra job when the sketch rides along in a caller's aggregate.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tabforge.functions.columns import col
 
-DEFAULT_ACCURACY = 20000
+DEFAULT_ACCURACY = 10000
 DEFAULT_COLLECT_CAP = 100_000
 MAX_ROUNDS = 8
 
@@ -46,6 +52,7 @@ class _Target:
     below: int | None = None        # rows with value < lo
     inside: int | None = None       # rows with lo <= value <= hi
     distinct: int | None = None     # approx distinct values inside (what collect brings back)
+    stalled: bool = False           # last refinement did not narrow the bracket
     values: dict[int, float] = field(default_factory=dict)
 
 
@@ -105,17 +112,18 @@ class QuantileJob:
                 targets.append(t)
                 per_col[c].append(t)
 
-        if targets:
+        slow = self._fast(df, targets) if targets else []
+        if slow:
             for _ in range(MAX_ROUNDS):
-                self._verify(df, targets)
-                big = [t for t in targets
-                       if t.distinct > self.collect_cap and t.lo < t.hi]
+                self._verify(df, slow)
+                big = [t for t in slow if t.inside > self.collect_cap and t.lo < t.hi
+                       and not (t.distinct is not None and t.distinct <= self.collect_cap)]
                 if not big:
                     break
                 self._refine(df, big)
             else:  # pragma: no cover
                 raise RuntimeError("quantile refinement did not converge")
-            self._collect(df, targets)
+            self._collect(df, slow)
 
         out: dict[str, list[float | None]] = {}
         for c in self.cols:
@@ -136,6 +144,67 @@ class QuantileJob:
     def run(self, df: DataFrame) -> dict[str, list[float | None]]:
         return self.finish(df, df.agg(*self.sketch_aggs()).first())
 
+    def _fast(self, df: DataFrame, targets: list[_Target]) -> list[_Target]:
+        """One pass: gap counts + grouped interval values.  Returns the targets
+        it could not prove (left for the slow loop)."""
+        by_col: dict[str, list[_Target]] = {}
+        for t in targets:
+            by_col.setdefault(t.column, []).append(t)
+        layout = []      # per column: list of (lo, hi, [targets])
+        entries = []
+        for ci, (c, ts) in enumerate(by_col.items()):
+            ivs: list[list] = []
+            for t in sorted(ts, key=lambda t: t.lo):
+                if ivs and t.lo <= ivs[-1][1]:
+                    ivs[-1][1] = max(ivs[-1][1], t.hi)
+                    ivs[-1][2].append(t)
+                else:
+                    ivs.append([t.lo, t.hi, [t]])
+            layout.append((c, ivs))
+            v = _dbl(c)
+            seg = None
+            for k, (lo, hi, _) in enumerate(ivs):
+                seg = (F.when(v < F.lit(lo), F.lit(2 * k)) if seg is None
+                       else seg.when(v < F.lit(lo), F.lit(2 * k)))
+                seg = seg.when(v <= F.lit(hi), F.lit(2 * k + 1))
+            seg = seg.otherwise(F.lit(2 * len(ivs)))
+            val = F.when(seg % 2 == 1, v)
+            entries.append(F.when(v.isNotNull(), F.struct(F.lit(ci).alias("c"), seg.alias("s"),
+                                                          val.alias("v"))))
+        n_iv = sum(len(ivs) for _, ivs in layout)
+        limit = self.collect_cap * n_iv + 2 * n_iv + len(layout)
+        grouped = (df.select(F.explode(F.array(*entries)).alias("e"))
+                     .where(F.col("e").isNotNull())
+                     .groupBy("e.c", "e.s", "e.v").count())
+        got = grouped.limit(limit + 1).collect()   # bounded by construction
+        if len(got) > limit:
+            return targets
+        segs: dict[int, dict[int, list[tuple]]] = {}
+        for r in got:
+            segs.setdefault(int(r["c"]), {}).setdefault(int(r["s"]), []).append(
+                (r["v"], int(r["count"])))
+        slow = []
+        for ci, (c, ivs) in enumerate(layout):
+            cs = segs.get(ci, {})
+            below = 0
+            for k, (lo, hi, ts) in enumerate(ivs):
+                below += sum(n for _, n in cs.get(2 * k, []))
+                pairs = sorted(cs.get(2 * k + 1, []))
+                inside = sum(n for _, n in pairs)
+                for t in ts:
+                    if below <= t.ranks[0] and below + inside > t.ranks[-1]:
+                        pos, j = below, 0
+                        for rk in t.ranks:
+                            while pos + pairs[j][1] <= rk:
+                                pos += pairs[j][1]
+                                j += 1
+                            t.values[rk] = float(pairs[j][0])
+                    else:
+                        t.lo, t.hi = -math.inf, math.inf
+                        slow.append(t)
+                below += inside
+        return slow
+
     def _verify(self, df: DataFrame, targets: list[_Target]) -> None:
         todo = [t for t in targets if t.below is None]
         while todo:
@@ -145,13 +214,15 @@ class QuantileJob:
                 aggs.append(F.count_if(v < F.lit(t.lo)).alias(f"b{i}"))
                 inb = (v >= F.lit(t.lo)) & (v <= F.lit(t.hi))
                 aggs.append(F.count_if(inb).alias(f"n{i}"))
-                aggs.append(F.approx_count_distinct(F.when(inb, v), 0.02).alias(f"d{i}"))
+                if t.stalled:  # the sketch could not shrink it: many duplicates?
+                    aggs.append(F.approx_count_distinct(F.when(inb, v), 0.02).alias(f"d{i}"))
             r = df.agg(*aggs).first()
             retry = []
             for i, t in enumerate(todo):
                 b, n = int(r[f"b{i}"]), int(r[f"n{i}"])
                 if b <= t.ranks[0] and b + n > t.ranks[-1]:
-                    t.below, t.inside, t.distinct = b, n, int(r[f"d{i}"])
+                    t.below, t.inside = b, n
+                    t.distinct = int(r[f"d{i}"]) if t.stalled else None
                 else:  # sketch error beyond its bound: take the full range
                     t.lo, t.hi = -math.inf, math.inf
                     retry.append(t)
@@ -174,6 +245,7 @@ class QuantileJob:
             got = r[f"p{i}"]
             lo = t.lo if probes[i][0] <= 0.0 else float(got[0])
             hi = t.hi if probes[i][1] >= 1.0 else float(got[1])
+            t.stalled = (lo, hi) == (t.lo, t.hi)
             t.lo, t.hi, t.below, t.inside = lo, hi, None, None
 
     def _collect(self, df: DataFrame, targets: list[_Target]) -> None:
