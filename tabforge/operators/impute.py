@@ -124,39 +124,44 @@ def drop_missing_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame
     return df.na.drop(subset=cols) if cols else df.na.drop()
 
 
-def _fill_directional(df: DataFrame, cols: list[str], partition_by: list[str], order_by: str,
-                      forward: bool, buckets: int) -> DataFrame:
+def _fill_directional(df: DataFrame, cols: list[str], partition_by: list[str],
+                      order_by: str | list[str], forward: bool, buckets: int) -> DataFrame:
     """Forward/backward fill that survives a hot partition key.
 
-    Rows of one key are cut into ``buckets`` ranges of the order key; the fill
-    runs per (key, range) and the last non-null value of earlier ranges is
-    carried over from a small table of one row per (key, range).  So one key
-    holding a third of all rows is spread over up to ``buckets`` tasks.
+    Rows of one key are cut into ``buckets`` ranges of the first order column;
+    the fill runs per (key, range), and the last (first) non-null value of the
+    earlier (later) ranges is carried over from a small table with one row per
+    (key, range).  So one key holding a third of all rows is spread over up to
+    ``buckets`` tasks instead of one.
     """
-    o = col(order_by)
-    ocast = o.cast("double") if df.schema[order_by].dataType.simpleString() != "timestamp" \
-        else F.unix_micros(o).cast("double")
-    r = df.agg(F.min(ocast).alias("lo"), F.max(ocast).alias("hi")).first()
+    order = [order_by] if isinstance(order_by, str) else list(order_by)
+    first = order[0]
+    o0 = col(first)
+    is_ts = df.schema[first].dataType.simpleString().startswith("timestamp")
+    num = (F.unix_micros(o0.cast("timestamp")) if is_ts else o0).cast("double")
+    r = df.agg(F.min(num).alias("lo"), F.max(num).alias("hi")).first()
     lo, hi = r["lo"], r["hi"]
-    if lo is None:
+    if lo is None or not cols:
         return df
     width = (hi - lo) / buckets if hi > lo else 1.0
-    b = F.least(F.floor((ocast - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+    b = F.least(F.floor((num - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
     keys = [col(k) for k in partition_by]
     base = df.withColumn("__b", b)
-    agg_fn = F.last if forward else F.first
-    # carry table: per (key, bucket) the last (first) non-null value of each column
+    okey = F.struct(*[col(c) for c in order])
+    pick = F.max_by if forward else F.min_by
     summary = base.groupBy(*keys, "__b").agg(*[
-        (F.max_by(col(c), F.when(col(c).isNotNull(), ocast)) if forward
-         else F.min_by(col(c), F.when(col(c).isNotNull(), ocast))).alias(f"__s{i}")
-        for i, c in enumerate(cols)])
-    wb = Window.partitionBy(*keys).orderBy(F.col("__b") if forward else F.col("__b").desc())
-    wb = wb.rowsBetween(Window.unboundedPreceding, -1)
+        pick(col(c), F.when(col(c).isNotNull(), okey)).alias(f"__s{i}") for i, c in enumerate(cols)])
+    agg_fn = F.last if forward else F.first
+    wb = Window.partitionBy(*keys).orderBy("__b").rowsBetween(
+        Window.unboundedPreceding, -1) if forward else Window.partitionBy(*keys).orderBy(
+        "__b").rowsBetween(1, Window.unboundedFollowing)
     carry = summary.select(*keys, "__b", *[
         agg_fn(F.col(f"__s{i}"), ignorenulls=True).over(wb).alias(f"__c{i}")
         for i in range(len(cols))])
-    wr = Window.partitionBy(*keys, "__b").orderBy(o if forward else o.desc())
-    wr = wr.rowsBetween(Window.unboundedPreceding, 0)
+    ords = [col(c) for c in order]
+    wr = Window.partitionBy(*keys, "__b").orderBy(*ords)
+    wr = (wr.rowsBetween(Window.unboundedPreceding, 0) if forward
+          else wr.rowsBetween(0, Window.unboundedFollowing))
     filled = base.select(*[col(c) for c in df.columns], "__b",
                          *[agg_fn(col(c), ignorenulls=True).over(wr).alias(f"__f{i}")
                            for i, c in enumerate(cols)])
@@ -166,14 +171,14 @@ def _fill_directional(df: DataFrame, cols: list[str], partition_by: list[str], o
         if c in cols else col(c) for c in df.columns])
 
 
-def forward_fill(df: DataFrame, cols: list[str], partition_by: list[str], order_by: str,
+def forward_fill(df: DataFrame, cols: list[str], partition_by: list[str], order_by,
                  buckets: int = 64) -> DataFrame:
     """R3 'forward_fill': last non-null value at or before the row, per key
     in ``order_by`` order (an order key is mandatory: rows have no order)."""
     return _fill_directional(df, cols, partition_by, order_by, True, buckets)
 
 
-def backward_fill(df: DataFrame, cols: list[str], partition_by: list[str], order_by: str,
+def backward_fill(df: DataFrame, cols: list[str], partition_by: list[str], order_by,
                   buckets: int = 64) -> DataFrame:
     """R3 'backward_fill': next non-null value at or after the row."""
     return _fill_directional(df, cols, partition_by, order_by, False, buckets)

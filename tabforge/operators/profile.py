@@ -54,17 +54,19 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, *,
     cols = numeric_columns(df) if cols is None else list(cols)
     if not cols:
         return spark.createDataFrame([], NUMERIC_PROFILE_SCHEMA)
+    # Pass 1: moments + quantile sketch.  Distinct counts are kept out of this
+    # pass on purpose: Spark's distinct rewrite (Expand) would evaluate the
+    # large sketch buffers once per distinct value group (measured 10x slower).
     qjob = QuantileJob({c: [0.25, 0.5, 0.75] for c in cols})
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):
         v = col(c).cast("double")
-        distinct = F.approx_count_distinct(v) if approx_distinct else F.count_distinct(v)
         aggs += [F.count_if(v.isNull()).alias(f"m{i}"),
-                 distinct.alias(f"d{i}"),
                  F.avg(v).alias(f"a{i}"),
                  F.stddev_samp(v).alias(f"s{i}"),
                  F.var_samp(v).alias(f"v{i}")]
     row = df.agg(*aggs, *qjob.sketch_aggs()).first()
+    # Pass 2 (one job): exact quartiles from the sketch brackets.
     quart = qjob.finish(df, row)
 
     n_rows = int(row["__rows"])
@@ -74,12 +76,17 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, *,
         if q1 is not None:
             iqr = q3 - q1
             fences[c] = (q1 - fold * iqr, q3 + fold * iqr)
-    out_counts = {}
-    if fences:
-        fence_row = df.agg(*[
-            F.count_if((col(c).cast("double") < F.lit(lo)) | (col(c).cast("double") > F.lit(hi)))
-             .alias(f"o{i}") for i, (c, (lo, hi)) in enumerate(fences.items())]).first()
-        out_counts = {c: int(fence_row[f"o{i}"]) for i, c in enumerate(fences)}
+    # Pass 3: outlier counts (strict) + distinct counts.
+    p3 = []
+    for i, c in enumerate(cols):
+        v = col(c).cast("double")
+        if c in fences:
+            lo, hi = fences[c]
+            p3.append(F.count_if((v < F.lit(lo)) | (v > F.lit(hi))).alias(f"o{i}"))
+        p3.append((F.approx_count_distinct(v) if approx_distinct else F.count_distinct(v)).alias(f"d{i}"))
+    r3 = df.agg(*p3).first()
+    out_counts = {c: int(r3[f"o{i}"]) for i, c in enumerate(cols) if c in fences}
+    row = {**row.asDict(), **{f"d{i}": r3[f"d{i}"] for i in range(len(cols))}}
 
     rows = []
     for i, c in enumerate(cols):

@@ -170,3 +170,253 @@ def _describe_sql() -> str:
 
 
 ORACLE["describe_all"] = _describe_sql()
+
+
+# ---------------------------------------------------------------- preparation
+_LG = fixture_cte("lineitem_gaps")
+
+ORACLE["impute_mean"] = _LG + """
+SELECT l_orderkey, l_linenumber,
+       ROUND(COALESCE(l_discount, (SELECT AVG(l_discount) FROM lineitem_gaps)), 6) AS l_discount,
+       ROUND(COALESCE(l_tax, (SELECT AVG(l_tax) FROM lineitem_gaps)), 6) AS l_tax
+FROM lineitem_gaps"""
+
+ORACLE["impute_median"] = _LG + """
+SELECT l_orderkey, l_linenumber,
+       ROUND(COALESCE(l_discount, (SELECT QUANTILE_CONT(l_discount, 0.5) FROM lineitem_gaps)), 6) AS l_discount,
+       ROUND(COALESCE(l_tax, (SELECT QUANTILE_CONT(l_tax, 0.5) FROM lineitem_gaps)), 6) AS l_tax
+FROM lineitem_gaps"""
+
+ORACLE["impute_mode"] = fixture_cte("orders_gaps") + """
+SELECT o_orderkey,
+       COALESCE(o_orderpriority, (SELECT o_orderpriority FROM orders_gaps WHERE o_orderpriority IS NOT NULL
+                                  GROUP BY o_orderpriority ORDER BY COUNT(*) DESC, o_orderpriority LIMIT 1))
+         AS o_orderpriority,
+       ROUND(COALESCE(o_totalprice, (SELECT o_totalprice FROM orders_gaps WHERE o_totalprice IS NOT NULL
+                                     GROUP BY o_totalprice ORDER BY COUNT(*) DESC, o_totalprice LIMIT 1)), 6)
+         AS o_totalprice
+FROM orders_gaps"""
+
+ORACLE["forward_fill"] = fixture_cte("events_gaps") + """
+SELECT event_id, user_id, ts,
+       ROUND(LAST_VALUE(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS value
+FROM events_gaps"""
+
+ORACLE["backward_fill"] = fixture_cte("events_gaps") + """
+SELECT event_id, user_id, ts,
+       ROUND(FIRST_VALUE(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id
+             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS value
+FROM events_gaps"""
+
+ORACLE["drop_missing_rows"] = _LG + """
+SELECT l_orderkey, l_linenumber, ROUND(l_discount, 6) AS l_discount, ROUND(l_tax, 6) AS l_tax
+FROM lineitem_gaps WHERE l_discount IS NOT NULL AND l_tax IS NOT NULL"""
+
+ORACLE["feature_engineering"] = _LG + """
+SELECT l_orderkey, l_linenumber, ROUND(l_quantity, 6) AS l_quantity,
+       ROUND(l_extendedprice / NULLIF(l_quantity, 0), 6) AS unit_price,
+       ROUND(l_tax / NULLIF(l_discount, 0), 6) AS tax_per_discount,
+       ROUND(l_extendedprice * l_discount, 4) AS discount_value,
+       ROUND(l_tax + l_discount, 6) AS tax_plus_discount,
+       ROUND(CAST(l_quantity AS DOUBLE) - l_linenumber, 6) AS qty_minus_line,
+       ROUND((l_extendedprice / NULLIF(l_quantity, 0)) * l_quantity, 4) AS unit_price_x_qty
+FROM lineitem_gaps"""
+
+
+def _winsor_sql(lo_expr: str, hi_expr: str) -> str:
+    """Eligibility (sd > 0; not <= 10 distinct with ratio < 0.05) + clip."""
+    cols = ["l_extendedprice", "l_quantity", "l_discount", "l_linenumber"]
+    stats = ",\n".join(
+        f"(SELECT {lo_expr.format(x=f'CAST({c} AS DOUBLE)', c=c)} FROM lineitem_gaps) AS lo_{c}, "
+        f"(SELECT {hi_expr.format(x=f'CAST({c} AS DOUBLE)', c=c)} FROM lineitem_gaps) AS hi_{c}, "
+        f"(SELECT STDDEV_SAMP({c}) > 0 AND NOT (COUNT(DISTINCT {c}) <= 10 AND "
+        f"COUNT(DISTINCT {c}) * 1.0 / COUNT(*) < 0.05) FROM lineitem_gaps) AS ok_{c}"
+        for c in cols)
+    sel = ",\n".join(
+        f"ROUND(CASE WHEN s.ok_{c} AND {c} IS NOT NULL THEN LEAST(GREATEST(CAST({c} AS DOUBLE), s.lo_{c}), "
+        f"s.hi_{c}) ELSE {c} END, 6) AS {c}" if c != "l_linenumber" else
+        f"CASE WHEN s.ok_{c} AND {c} IS NOT NULL THEN CAST(LEAST(GREATEST(CAST({c} AS DOUBLE), s.lo_{c}), "
+        f"s.hi_{c}) AS INTEGER) ELSE {c} END AS {c}"
+        for c in cols)
+    return _LG[:-1] + f""", s AS (SELECT {stats})
+SELECT l_orderkey, {sel} FROM lineitem_gaps, s"""
+
+
+ORACLE["winsorize_iqr"] = _winsor_sql(
+    "QUANTILE_CONT({x}, 0.25) - 1.5 * (QUANTILE_CONT({x}, 0.75) - QUANTILE_CONT({x}, 0.25))",
+    "QUANTILE_CONT({x}, 0.75) + 1.5 * (QUANTILE_CONT({x}, 0.75) - QUANTILE_CONT({x}, 0.25))")
+ORACLE["winsorize_gaussian"] = _winsor_sql("AVG({x}) - 2.0 * STDDEV_SAMP({x})",
+                                           "AVG({x}) + 2.0 * STDDEV_SAMP({x})")
+ORACLE["winsorize_mad"] = _winsor_sql(
+    "QUANTILE_CONT({x}, 0.5) - 2.0 * (SELECT QUANTILE_CONT(ABS(CAST(g.{c} AS DOUBLE) - "
+    "(SELECT QUANTILE_CONT(CAST(h.{c} AS DOUBLE), 0.5) FROM lineitem_gaps h)), 0.5) FROM lineitem_gaps g)",
+    "QUANTILE_CONT({x}, 0.5) + 2.0 * (SELECT QUANTILE_CONT(ABS(CAST(g.{c} AS DOUBLE) - "
+    "(SELECT QUANTILE_CONT(CAST(h.{c} AS DOUBLE), 0.5) FROM lineitem_gaps h)), 0.5) FROM lineitem_gaps g)")
+ORACLE["winsorize_quantiles"] = _winsor_sql("QUANTILE_CONT({x}, 0.05)", "QUANTILE_CONT({x}, 0.95)")
+
+ORACLE["outlier_remove"] = _LG[:-1] + """, f AS (
+  SELECT QUANTILE_CONT(l_extendedprice, 0.25) - 0.25 * (QUANTILE_CONT(l_extendedprice, 0.75)
+           - QUANTILE_CONT(l_extendedprice, 0.25)) AS lo,
+         QUANTILE_CONT(l_extendedprice, 0.75) + 0.25 * (QUANTILE_CONT(l_extendedprice, 0.75)
+           - QUANTILE_CONT(l_extendedprice, 0.25)) AS hi FROM lineitem_gaps)
+SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice, 6) AS l_extendedprice
+FROM lineitem_gaps, f WHERE l_extendedprice IS NULL OR (l_extendedprice >= lo AND l_extendedprice <= hi)"""
+
+ORACLE["onehot_encode"] = fixture_cte("orders_gaps") + """
+SELECT * FROM (PIVOT (SELECT o_orderkey, 'o_orderpriority_' || COALESCE(o_orderpriority, 'missing') AS lvl
+                      FROM orders_gaps)
+               ON lvl USING CAST(COUNT(*) AS INTEGER) GROUP BY o_orderkey)"""
+
+ORACLE["onehot_drop_last"] = """
+SELECT o_orderkey,
+       CAST(o_orderstatus = 'F' AS INTEGER) AS o_orderstatus_F,
+       CAST(o_orderstatus = 'O' AS INTEGER) AS o_orderstatus_O
+FROM orders"""
+
+ORACLE["frequency_encode"] = """
+SELECT p.p_partkey, ROUND(b.f, 6) AS p_brand, ROUND(t.f, 6) AS p_type
+FROM part p
+JOIN (SELECT p_brand, COUNT(*) * 1.0 / (SELECT COUNT(*) FROM part) AS f FROM part GROUP BY p_brand) b
+  ON b.p_brand = p.p_brand
+JOIN (SELECT p_type, COUNT(*) * 1.0 / (SELECT COUNT(*) FROM part) AS f FROM part GROUP BY p_type) t
+  ON t.p_type = p.p_type"""
+
+ORACLE["label_encode"] = """
+SELECT p_partkey, CAST(DENSE_RANK() OVER (ORDER BY p_brand) - 1 AS BIGINT) AS p_brand,
+       CAST(DENSE_RANK() OVER (ORDER BY p_type) - 1 AS BIGINT) AS p_type
+FROM part"""
+
+ORACLE["target_encode"] = """
+WITH g AS (SELECT AVG(p_retailprice) AS m FROM part),
+     b AS (SELECT p_brand, COUNT(p_retailprice) AS n, AVG(p_retailprice) AS mu FROM part GROUP BY p_brand)
+SELECT p.p_partkey, ROUND((b.n * b.mu + 10.0 * g.m) / (b.n + 10.0), 6) AS p_brand,
+       ROUND(p.p_retailprice, 6) AS p_retailprice
+FROM part p JOIN b ON b.p_brand = p.p_brand, g"""
+
+ORACLE["log_transform"] = _LG[:-1] + """, s AS (
+  SELECT CASE WHEN MIN(l_extendedprice) <= 0 THEN 1 - MIN(l_extendedprice) ELSE 0 END AS se,
+         CASE WHEN MIN(l_discount) <= 0 THEN 1 - MIN(l_discount) ELSE 0 END AS sd,
+         CASE WHEN MIN(l_tax) <= 0 THEN 1 - MIN(l_tax) ELSE 0 END AS st FROM lineitem_gaps)
+SELECT l_orderkey, l_linenumber,
+       ROUND(CASE WHEN l_extendedprice + se > 0 THEN LN(l_extendedprice + se) END, 6) AS l_extendedprice,
+       ROUND(CASE WHEN l_discount + sd > 0 THEN LN(l_discount + sd) END, 6) AS l_discount,
+       ROUND(CASE WHEN l_tax + st > 0 THEN LN(l_tax + st) END, 6) AS l_tax
+FROM lineitem_gaps, s"""
+
+
+def _yj(x: str, lam: float) -> str:
+    pos = f"LN(1 + {x})" if lam == 0 else f"(POWER({x} + 1, {lam}) - 1) / {lam}"
+    neg = f"-LN(1 - {x})" if lam == 2 else f"-(POWER(1 - {x}, {2 - lam}) - 1) / {2 - lam}"
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} >= 0 THEN {pos} ELSE {neg} END"
+
+
+ORACLE["yeo_johnson_fixed"] = _LG + f"""
+SELECT l_orderkey, l_linenumber,
+       ROUND({_yj('l_quantity', 0.5)}, 6) AS l_quantity,
+       ROUND({_yj('l_discount', -0.7)}, 6) AS l_discount,
+       ROUND({_yj('(l_quantity - 25.5)', 1.5)}, 6) AS centred_qty,
+       ROUND({_yj('(l_quantity - 25.5)', 0.0)}, 6) AS centred_qty0,
+       ROUND({_yj('(l_quantity - 25.5)', 2.0)}, 3) AS centred_qty2
+FROM lineitem_gaps"""
+
+ORACLE["box_cox_sqrt"] = _LG + """
+SELECT l_orderkey, l_linenumber,
+       ROUND(CASE WHEN l_quantity > 0 THEN (POWER(l_quantity, 0.3) - 1) / 0.3 END, 6) AS l_quantity,
+       ROUND(CASE WHEN l_discount > 0 THEN LN(l_discount) END, 6) AS l_discount,
+       ROUND(CASE WHEN l_extendedprice >= 0 THEN SQRT(l_extendedprice) END, 6) AS l_extendedprice
+FROM lineitem_gaps"""
+
+
+def _scale_sql(centre: str, spread: str) -> str:
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    stats = ", ".join(f"{centre.format(x=c)} AS c_{c}, "
+                      f"CASE WHEN {spread.format(x=c)} = 0 OR {spread.format(x=c)} IS NULL THEN 1.0 "
+                      f"ELSE {spread.format(x=c)} END AS s_{c}" for c in cols)
+    sel = ", ".join(f"ROUND(({c} - c_{c}) / s_{c}, 6) AS {c}" for c in cols)
+    return _LG[:-1] + f""", s AS (SELECT {stats} FROM lineitem_gaps)
+SELECT l_orderkey, l_linenumber, {sel} FROM lineitem_gaps, s"""
+
+
+ORACLE["scale_standard"] = _scale_sql("AVG({x})", "STDDEV_POP({x})")
+ORACLE["scale_minmax"] = _scale_sql("MIN({x})", "(MAX({x}) - MIN({x}))")
+ORACLE["scale_robust"] = _scale_sql("QUANTILE_CONT({x}, 0.5)",
+                                    "(QUANTILE_CONT({x}, 0.75) - QUANTILE_CONT({x}, 0.25))")
+
+_SEL_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_linestatus", "flag_rare", "rare_txt",
+             "qty_copy", "price_copy"]
+
+
+def _constant_sql(tol: float) -> str:
+    parts = [f"""SELECT '{c}' AS column_name FROM (SELECT MAX(n) * 1.0 / SUM(n) AS share FROM
+              (SELECT COUNT(*) AS n FROM lineitem_selection WHERE {c} IS NOT NULL GROUP BY {c})) x
+              WHERE share >= {tol}""" for c in _SEL_COLS]
+    return fixture_cte("lineitem_selection") + " UNION ALL ".join(parts)
+
+
+ORACLE["drop_constant"] = _constant_sql(0.99)
+ORACLE["drop_constant_clustering"] = _constant_sql(0.98)
+
+
+def _dup_sql() -> str:
+    parts = []
+    for j, b in enumerate(_SEL_COLS):
+        earlier = " OR ".join(
+            f"(SELECT COUNT(*) FROM lineitem_selection WHERE CAST({a} AS VARCHAR) IS DISTINCT FROM "
+            f"CAST({b} AS VARCHAR)) = 0" for a in _SEL_COLS[:j]) or "FALSE"
+        parts.append(f"SELECT '{b}' AS column_name WHERE {earlier}")
+    return fixture_cte("lineitem_selection") + " UNION ALL ".join(parts)
+
+
+ORACLE["drop_duplicates"] = _dup_sql()
+
+ORACLE["target_label_roundtrip"] = """
+WITH cls AS (SELECT o_orderstatus AS c, CAST(ROW_NUMBER() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS i
+             FROM (SELECT DISTINCT o_orderstatus FROM orders WHERE o_orderstatus IS NOT NULL))
+SELECT l.l_orderkey, l.l_linenumber,
+       COALESCE(f.i, -1) AS flag_idx, COALESCE(f.c, 'UNKNOWN') AS flag_back,
+       COALESCE(s.i, -1) AS status_idx, COALESCE(s.c, 'UNKNOWN') AS status_back
+FROM lineitem l LEFT JOIN cls f ON f.c = l.l_returnflag LEFT JOIN cls s ON s.c = l.l_linestatus"""
+
+ORACLE["target_regression_fences"] = fixture_cte("orders_gaps")[:-1] + """, k AS (
+  SELECT * FROM orders_gaps WHERE o_totalprice IS NOT NULL),
+q AS (SELECT QUANTILE_CONT(o_totalprice, 0.25) AS q1, QUANTILE_CONT(o_totalprice, 0.75) AS q3 FROM k),
+f AS (SELECT q1 - 3.0 * (q3 - q1) AS lo, q3 + 3.0 * (q3 - q1) AS hi FROM q),
+e AS (SELECT COUNT(*) AS n FROM k, f WHERE o_totalprice < lo OR o_totalprice > hi)
+SELECT o_orderkey, ROUND(CASE WHEN (SELECT n FROM e) > 0 THEN LEAST(GREATEST(o_totalprice, lo), hi)
+                              ELSE o_totalprice END, 6) AS o_totalprice
+FROM k, f"""
+
+
+def _ieee_round(sql: str) -> str:
+    """Rewrite every two-argument ``ROUND(expr, d)`` as
+    ``(ROUND((expr) * 10^d) / 10^d)``, the form the Spark queries use."""
+    out, i, key = [], 0, "ROUND("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        depth, k, comma = 1, j + len(key), -1
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner = sql[j + len(key):k - 1]
+        if comma < 0:
+            out.append(key + _ieee_round(inner) + ")")
+        else:
+            expr = _ieee_round(sql[j + len(key):comma])
+            d = int(sql[comma + 1:k - 1].strip())
+            m = float(10 ** d)
+            out.append(f"(ROUND(({expr}) * {m}) / {m})")
+        i = k
+
+
+ORACLE = {k: _ieee_round(v) for k, v in ORACLE.items()}

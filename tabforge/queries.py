@@ -31,12 +31,20 @@ def query(name: str):
     return deco
 
 
+def fix_round(c, d: int):
+    """round(x * 10^d) / 10^d: the product is the same IEEE double in every
+    engine, so the oracle's ROUND(x * 1e{d}) / 1e{d} gives the same value even
+    on an exact decimal half (which a decimal-based ROUND(x, d) may not)."""
+    m = float(10 ** d)
+    return F.round(c * F.lit(m), 0) / F.lit(m)
+
+
 def rounded(df: DataFrame, coarse: dict[str, int] | None = None) -> DataFrame:
     coarse = {**COARSE, **(coarse or {})}
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f.name), coarse.get(f.name, DECIMALS)).alias(f.name))
+            out.append(fix_round(F.col(f.name), coarse.get(f.name, DECIMALS)).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
@@ -98,3 +106,272 @@ def q_quality(spark, sf_dir):
 def q_describe(spark, sf_dir):
     """A8 on customer with gaps (numeric and text columns)."""
     return rounded(prof.describe(fixture(spark, sf_dir, "customer_gaps")))
+
+
+# ---------------------------------------------------------------- preparation
+from tabforge.functions import scalar as fx  # noqa: E402
+from tabforge.operators import encode, engineer, impute, outliers, scale, select, transform  # noqa: E402
+from tabforge.operators import target as tgt  # noqa: E402
+
+
+def _li_gaps(spark, sf_dir, cols):
+    return fixture(spark, sf_dir, "lineitem_gaps").select(*cols)
+
+
+@query("impute_mean")
+def q_impute_mean(spark, sf_dir):
+    """R1 mean."""
+    df = _li_gaps(spark, sf_dir, ["l_orderkey", "l_linenumber", "l_discount", "l_tax"])
+    return rounded(impute.apply_fill(df, impute.fit_numeric(df, ["l_discount", "l_tax"], "mean")))
+
+
+@query("impute_median")
+def q_impute_median(spark, sf_dir):
+    """R1 median (exact, distributed)."""
+    df = _li_gaps(spark, sf_dir, ["l_orderkey", "l_linenumber", "l_discount", "l_tax"])
+    return rounded(impute.apply_fill(df, impute.fit_numeric(df, ["l_discount", "l_tax"], "median")))
+
+
+@query("impute_mode")
+def q_impute_mode(spark, sf_dir):
+    """R2 most frequent (text) and R3 'mode' for a numeric column."""
+    df = fixture(spark, sf_dir, "orders_gaps").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    fills = {**impute.fit_categorical(df, ["o_orderpriority"]),
+             **impute.fit_numeric(df, ["o_totalprice"], "mode")}
+    return rounded(impute.apply_fill(df, fills))
+
+
+@query("forward_fill")
+def q_forward_fill(spark, sf_dir):
+    """R3 forward_fill per user in (ts, event_id) order."""
+    df = fixture(spark, sf_dir, "events_gaps").select("event_id", "user_id", "ts", "value")
+    return rounded(impute.forward_fill(df, ["value"], ["user_id"], ["ts", "event_id"]))
+
+
+@query("backward_fill")
+def q_backward_fill(spark, sf_dir):
+    """R3 backward_fill per user in (ts, event_id) order."""
+    df = fixture(spark, sf_dir, "events_gaps").select("event_id", "user_id", "ts", "value")
+    return rounded(impute.backward_fill(df, ["value"], ["user_id"], ["ts", "event_id"]))
+
+
+@query("drop_missing_rows")
+def q_drop_missing(spark, sf_dir):
+    """R3 drop: rows with a missing discount or tax removed."""
+    df = _li_gaps(spark, sf_dir, ["l_orderkey", "l_linenumber", "l_discount", "l_tax"])
+    return rounded(impute.drop_missing_rows(df, ["l_discount", "l_tax"]))
+
+
+ENGINEERING_RULES = [
+    {"new_feature": "unit_price", "source_columns": ["l_extendedprice", "l_quantity"],
+     "transformation": ["df['unit_price'] = df['l_extendedprice'] / df['l_quantity']"]},
+    {"new_feature": "tax_per_discount", "source_columns": ["l_tax", "l_discount"],
+     "transformation": ["l_tax / l_discount"]},
+    {"new_feature": "discount_value", "source_columns": ["l_extendedprice", "l_discount"],
+     "transformation": ["l_extendedprice * l_discount"]},
+    {"new_feature": "tax_plus_discount", "source_columns": ["l_tax", "l_discount"],
+     "transformation": ["l_tax + l_discount"]},
+    {"new_feature": "qty_minus_line", "source_columns": ["l_quantity", "l_linenumber"],
+     "transformation": ["l_quantity - l_linenumber"]},
+    {"new_feature": "unit_price_x_qty", "source_columns": ["unit_price", "l_quantity"],
+     "operation": "multiply"},
+    {"new_feature": "skipped", "source_columns": ["l_quantity", "no_such_column"],
+     "transformation": ["a / b"]},
+]
+
+
+@query("feature_engineering")
+def q_feature_engineering(spark, sf_dir):
+    """Four operations, division by zero -> null, a layered rule,
+    and a rule with a missing source skipped."""
+    df = _li_gaps(spark, sf_dir, ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                                  "l_discount", "l_tax"])
+    rules = engineer.accept(ENGINEERING_RULES, df.columns)
+    return rounded(engineer.apply(df, rules).drop("l_extendedprice", "l_discount", "l_tax"),
+                   {"discount_value": 4, "unit_price_x_qty": 4})
+
+
+WINSOR_COLS = ["l_extendedprice", "l_quantity", "l_discount", "l_linenumber"]
+
+
+def _winsor(spark, sf_dir, method, fold):
+    df = _li_gaps(spark, sf_dir, ["l_orderkey", *WINSOR_COLS])
+    ok, _ = outliers.eligible(df, WINSOR_COLS)
+    return rounded(outliers.apply_clip(df, outliers.fit_fences(df, ok, method, fold)))
+
+
+@query("winsorize_iqr")
+def q_winsor_iqr(spark, sf_dir):
+    """R6 + R7: IQR fences, fold 1.5, on the eligible columns only."""
+    return _winsor(spark, sf_dir, "iqr", 1.5)
+
+
+@query("winsorize_gaussian")
+def q_winsor_gauss(spark, sf_dir):
+    """R8 gaussian: mean +- 2 sd."""
+    return _winsor(spark, sf_dir, "gaussian", 2.0)
+
+
+@query("winsorize_mad")
+def q_winsor_mad(spark, sf_dir):
+    """R8 mad: median +- 2 MAD."""
+    return _winsor(spark, sf_dir, "mad", 2.0)
+
+
+@query("winsorize_quantiles")
+def q_winsor_quant(spark, sf_dir):
+    """R8 quantiles: [p5, p95]."""
+    return _winsor(spark, sf_dir, "quantiles", 0.05)
+
+
+@query("outlier_remove")
+def q_outlier_remove(spark, sf_dir):
+    """R9 remove: rows outside the IQR fence of the price are removed."""
+    df = _li_gaps(spark, sf_dir, ["l_orderkey", "l_linenumber", "l_extendedprice"])
+    return rounded(outliers.remove_outside(df, outliers.fit_fences(df, ["l_extendedprice"], "iqr", 0.25)))
+
+
+@query("onehot_encode")
+def q_onehot(spark, sf_dir):
+    """All levels, null -> 'missing' level, original column dropped."""
+    df = fixture(spark, sf_dir, "orders_gaps").select("o_orderkey", "o_orderpriority")
+    return encode.apply_onehot(df, encode.fit_onehot(df, ["o_orderpriority"]))
+
+
+@query("onehot_drop_last")
+def q_onehot_drop_last(spark, sf_dir):
+    """R10 for clustering: the last level dropped."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return encode.apply_onehot(df, encode.fit_onehot(df, ["o_orderstatus"]), drop_last=True)
+
+
+@query("frequency_encode")
+def q_frequency(spark, sf_dir):
+    """Level -> share of rows."""
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    return rounded(encode.join_levels(df, encode.fit_frequency(df, ["p_brand", "p_type"])))
+
+
+@query("label_encode")
+def q_label(spark, sf_dir):
+    """R12 label: sorted level index."""
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    return encode.join_levels(df, encode.fit_label(df, ["p_brand", "p_type"]))
+
+
+@query("target_encode")
+def q_target_enc(spark, sf_dir):
+    """R12 target: smoothed mean of p_retailprice per brand (m = 10)."""
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
+    maps = encode.fit_target(df, ["p_brand"], "p_retailprice", 10.0)
+    return rounded(encode.join_levels(df, maps))
+
+
+@query("log_transform")
+def q_log(spark, sf_dir):
+    """ln(x + shift), shift = 1 - min when min <= 0 (stored)."""
+    df = _li_gaps(spark, sf_dir, ["l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax"])
+    return rounded(transform.apply_log(df, transform.fit_log_shift(
+        df, ["l_extendedprice", "l_discount", "l_tax"])))
+
+
+YJ_FIXED = [("l_quantity", 0.5), ("l_discount", -0.7), ("centred_qty", 1.5), ("centred_qty0", 0.0),
+            ("centred_qty2", 2.0)]
+
+
+@query("yeo_johnson_fixed")
+def q_yj(spark, sf_dir):
+    """F8 for fixed lambdas on positive and negative values (incl. 0 and 2)."""
+    df = _li_gaps(spark, sf_dir, ["l_orderkey", "l_linenumber", "l_quantity", "l_discount"])
+    df = df.select("*", (F.col("l_quantity") - 25.5).alias("centred_qty"),
+                   (F.col("l_quantity") - 25.5).alias("centred_qty0"),
+                   (F.col("l_quantity") - 25.5).alias("centred_qty2"))
+    return rounded(transform.apply_yeo_johnson(df, dict(YJ_FIXED)), {"centred_qty2": 3})
+
+
+@query("box_cox_sqrt")
+def q_boxcox(spark, sf_dir):
+    """Box-Cox with fixed lambdas (x <= 0 -> null) and square root."""
+    df = _li_gaps(spark, sf_dir, ["l_orderkey", "l_linenumber", "l_quantity", "l_discount",
+                                  "l_extendedprice"])
+    df = transform.apply_box_cox(df, {"l_quantity": 0.3, "l_discount": 0.0})
+    return rounded(transform.apply_sqrt(df, ["l_extendedprice"]))
+
+
+SCALE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _scaled(spark, sf_dir, method):
+    df = _li_gaps(spark, sf_dir, ["l_orderkey", "l_linenumber", *SCALE_COLS])
+    return rounded(scale.apply_scaler(df, scale.fit_scaler(df, SCALE_COLS, method)))
+
+
+@query("scale_standard")
+def q_scale_std(spark, sf_dir):
+    """(x - mean) / population sd."""
+    return _scaled(spark, sf_dir, "standard")
+
+
+@query("scale_minmax")
+def q_scale_mm(spark, sf_dir):
+    """(x - min) / (max - min)."""
+    return _scaled(spark, sf_dir, "minmax")
+
+
+@query("scale_robust")
+def q_scale_rb(spark, sf_dir):
+    """(x - median) / IQR."""
+    return _scaled(spark, sf_dir, "robust")
+
+
+def _names(spark, names):
+    return spark.createDataFrame([(n,) for n in names], "column_name string")
+
+
+@query("drop_constant")
+def q_drop_constant(spark, sf_dir):
+    """Columns whose top value holds >= 99 % of rows."""
+    df = fixture(spark, sf_dir, "lineitem_selection")
+    return _names(spark, select.quasi_constant(df, tol=0.99))
+
+
+@query("drop_constant_clustering")
+def q_drop_constant_cl(spark, sf_dir):
+    """R18 with the clustering tolerance 0.98."""
+    df = fixture(spark, sf_dir, "lineitem_selection")
+    return _names(spark, select.quasi_constant(df, tol=0.98))
+
+
+@query("drop_duplicates")
+def q_drop_dup(spark, sf_dir):
+    """Columns equal to an earlier column, keep first."""
+    return _names(spark, select.duplicates(fixture(spark, sf_dir, "lineitem_selection")))
+
+
+@query("drop_correlated")
+def q_drop_corr(spark, sf_dir):
+    """Greedy keep-first above |r| = 0.95."""
+    df = fixture(spark, sf_dir, "lineitem_selection")
+    return _names(spark, select.correlated(df, ["l_quantity", "l_extendedprice", "l_discount",
+                                                "qty_copy", "price_copy", "flag_rare"], 0.95))
+
+
+@query("target_label_roundtrip")
+def q_target_label(spark, sf_dir):
+    """Classes of o_orderstatus (sorted) applied to lineitem
+    flags: unknown -> -1 -> 'UNKNOWN'."""
+    st, _ = tgt.fit_target(table(spark, sf_dir, "orders"), "o_orderstatus", "classification")
+    li = table(spark, sf_dir, "lineitem")
+    fi = tgt.encode_target(st, F.col("l_returnflag"))
+    si = tgt.encode_target(st, F.col("l_linestatus"))
+    return li.select("l_orderkey", "l_linenumber", fi.alias("flag_idx"),
+                     tgt.decode_label(st, fi).alias("flag_back"), si.alias("status_idx"),
+                     tgt.decode_label(st, si).alias("status_back"))
+
+
+@query("target_regression_fences")
+def q_target_reg(spark, sf_dir):
+    """Regression target capped at 3 IQR when any value lies beyond."""
+    df = fixture(spark, sf_dir, "orders_gaps").select("o_orderkey", "o_totalprice")
+    st, kept = tgt.fit_target(df, "o_totalprice", "regression")
+    return rounded(kept.select("o_orderkey", tgt.encode_target(st).alias("o_totalprice")))

@@ -62,3 +62,14 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fixture_cte(*names: str) -> str:
     """``WITH`` clause defining the fixture views, for the oracle SQL."""
     return "WITH " + ",\n".join(f"{n} AS ({FIXTURE_SQL[n]})" for n in names) + "\n"
+
+
+# A selection fixture with a rare flag (99.5 % one value), a
+# rare text value (98 % one value) and an exact copy of a column.
+FIXTURE_SQL["lineitem_selection"] = """
+        SELECT l_quantity, l_extendedprice, l_discount, l_linestatus,
+               CASE WHEN l_orderkey % 200 = 0 THEN 1.0 ELSE 0.0 END AS flag_rare,
+               CASE WHEN l_orderkey % 50 = 0 THEN 'x' ELSE 'y' END AS rare_txt,
+               l_quantity * 1.0 AS qty_copy,
+               l_extendedprice + 0.0 AS price_copy
+        FROM lineitem"""
