@@ -420,3 +420,168 @@ def _ieee_round(sql: str) -> str:
 
 
 ORACLE = {k: _ieee_round(v) for k, v in ORACLE.items()}
+
+
+# ---------------------------------------------------------------- split, metrics, neighbours
+ORACLE["split_stratified"] = """
+SELECT o_orderstatus, COUNT(*) AS n_rows,
+       CAST(COUNT(*) - FLOOR(COUNT(*) * 0.2 + 0.5) AS BIGINT) AS n_train,
+       CAST(FLOOR(COUNT(*) * 0.2 + 0.5) AS BIGINT) AS n_test
+FROM orders GROUP BY o_orderstatus"""
+
+ORACLE["regression_metrics"] = _ieee_round("""
+WITH g AS (SELECT l_returnflag, l_linestatus, AVG(l_extendedprice) AS yhat FROM lineitem
+           GROUP BY l_returnflag, l_linestatus),
+p AS (SELECT l.l_extendedprice AS y, g.yhat FROM lineitem l JOIN g USING (l_returnflag, l_linestatus)),
+a AS (SELECT COUNT(*) AS n, SUM((y - yhat) * (y - yhat)) AS sse, SUM(ABS(y - yhat)) AS sae,
+             VAR_POP(y) AS vp FROM p)
+SELECT ROUND(CASE WHEN vp * n = 0 THEN CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END ELSE 1 - sse / (vp * n) END, 6) AS r2,
+       ROUND(SQRT(sse / n), 6) AS rmse, ROUND(sae / n, 6) AS mae FROM a""")
+
+ORACLE["classification_metrics"] = _ieee_round("""
+WITH f AS (SELECT o_orderpriority, o_orderstatus, COUNT(*) AS cnt FROM orders GROUP BY 1, 2),
+m AS (SELECT o_orderpriority, o_orderstatus AS yhat FROM (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY cnt DESC, o_orderstatus) rn FROM f)
+      WHERE rn = 1),
+p AS (SELECT o.o_orderstatus AS t, m.yhat AS p FROM orders o JOIN m USING (o_orderpriority)),
+cls AS (SELECT t AS c FROM p UNION SELECT p FROM p),
+per AS (SELECT c, (SELECT COUNT(*) FROM p WHERE t = c) AS support, (SELECT COUNT(*) FROM p WHERE p.p = c) AS npred,
+               (SELECT COUNT(*) FROM p WHERE t = c AND p.p = c) AS tp FROM cls),
+pr AS (SELECT *, CASE WHEN npred > 0 THEN tp * 1.0 / npred ELSE 0 END AS prec,
+                 CASE WHEN support > 0 THEN tp * 1.0 / support ELSE 0 END AS rec FROM per),
+f1 AS (SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0 END AS f1 FROM pr)
+SELECT ROUND(SUM(tp) * 1.0 / SUM(support), 6) AS accuracy, ROUND(SUM(f1 * support) / SUM(support), 6) AS f1,
+       ROUND(SUM(prec * support) / SUM(support), 6) AS precision,
+       ROUND(SUM(rec * support) / SUM(support), 6) AS recall FROM f1""")
+
+ORACLE["clustering_metrics"] = _ieee_round("""
+WITH e AS (SELECT vec_id, label AS k, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT vec_id, k, UNNEST(x) AS v, UNNEST(generate_series(1, len(x))) AS i FROM e),
+n AS (SELECT k, COUNT(*) AS nk FROM e GROUP BY k),
+c AS (SELECT k, i, AVG(v) AS cv FROM u GROUP BY k, i),
+psi AS (SELECT k, SUM(v * v) AS psi FROM u GROUP BY k),
+sq AS (SELECT vec_id, SUM(v * v) AS sq FROM u GROUP BY vec_id),
+dp AS (SELECT u.vec_id, c.k AS kk, SUM(u.v * c.cv) AS dp FROM u JOIN c ON u.i = c.i GROUP BY u.vec_id, c.k),
+diss AS (SELECT dp.vec_id, dp.kk, sq.sq + psi.psi / n.nk - 2 * dp.dp AS dd
+         FROM dp JOIN sq ON sq.vec_id = dp.vec_id JOIN psi ON psi.k = dp.kk JOIN n ON n.k = dp.kk),
+pt AS (SELECT e.vec_id, e.k, MAX(n.nk) AS nk,
+              MAX(CASE WHEN d.kk = e.k THEN d.dd * n.nk / (n.nk - 1) END) AS a,
+              MIN(CASE WHEN d.kk <> e.k THEN d.dd END) AS b
+       FROM e JOIN diss d ON d.vec_id = e.vec_id JOIN n ON n.k = e.k GROUP BY e.vec_id, e.k),
+sil AS (SELECT AVG(CASE WHEN nk <= 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END) AS s
+        FROM pt),
+own AS (SELECT u.vec_id, u.k, SUM((u.v - c.cv) * (u.v - c.cv)) AS cd FROM u JOIN c ON c.k = u.k AND c.i = u.i
+        GROUP BY u.vec_id, u.k),
+sk AS (SELECT k, AVG(SQRT(cd)) AS s FROM own GROUP BY k),
+mij AS (SELECT a.k AS ki, b.k AS kj, SQRT(SUM((a.cv - b.cv) * (a.cv - b.cv))) AS m
+        FROM c a JOIN c b ON a.i = b.i AND a.k <> b.k GROUP BY a.k, b.k),
+db AS (SELECT AVG(r) AS db FROM (SELECT mij.ki, MAX((si.s + sj.s) / mij.m) AS r FROM mij
+        JOIN sk si ON si.k = mij.ki JOIN sk sj ON sj.k = mij.kj GROUP BY mij.ki)),
+g AS (SELECT i, SUM(c.cv * n.nk) / (SELECT COUNT(*) FROM e) AS gv FROM c JOIN n ON n.k = c.k GROUP BY i),
+bw AS (SELECT SUM(n.nk * (c.cv - g.gv) * (c.cv - g.gv)) AS b FROM c JOIN n ON n.k = c.k JOIN g ON g.i = c.i),
+wi AS (SELECT SUM(cd) AS w FROM own),
+kk AS (SELECT COUNT(*) AS kk, (SELECT COUNT(*) FROM e) AS nn FROM n)
+SELECT CAST(kk.kk AS INTEGER) AS n_clusters, ROUND(sil.s, 6) AS silhouette_sq, ROUND(db.db, 6) AS davies_bouldin,
+       ROUND((bw.b / (kk.kk - 1)) / (wi.w / (kk.nn - kk.kk)), 4) AS calinski_harabasz
+FROM sil, db, bw, wi, kk""")
+
+_KNN_SQL = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+p AS (SELECT a.vec_id AS qid, b.vec_id AS rid, list_distance(a.x, b.x) AS dist
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY dist, rid) AS rk FROM p)"""
+
+ORACLE["knn_neighbors"] = _ieee_round(_KNN_SQL + """
+SELECT qid AS vec_id, CAST(rk AS INTEGER) AS rank, rid AS neighbor_id, ROUND(dist, 6) AS distance
+FROM r WHERE rk <= 5""")
+
+ORACLE["knn_classify"] = _KNN_SQL + """,
+v AS (SELECT r.qid, l.label, COUNT(*) AS votes FROM r JOIN embeddings l ON l.vec_id = r.rid
+      WHERE rk <= 5 GROUP BY r.qid, l.label),
+b AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY votes DESC, label) AS o FROM v)
+SELECT qid AS vec_id, CAST(label AS INTEGER) AS prediction, CAST(votes AS INTEGER) AS votes FROM b WHERE o = 1"""
+
+ORACLE["dbscan"] = """
+WITH RECURSIVE st AS (SELECT AVG(c_acctbal) AS ma, STDDEV_POP(c_acctbal) AS sa,
+                             AVG(c_nationkey) AS mn, STDDEV_POP(c_nationkey) AS sn FROM customer),
+pts AS (SELECT c_custkey AS id, (c_acctbal - ma) / sa AS a, (c_nationkey - mn) / sn AS b FROM customer, st),
+nb AS (SELECT p.id AS a, q.id AS b FROM pts p JOIN pts q
+       ON SQRT((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)) <= 0.15),
+core AS (SELECT a AS id FROM nb GROUP BY a HAVING COUNT(*) >= 4),
+ce AS (SELECT nb.a, nb.b FROM nb JOIN core c1 ON c1.id = nb.a JOIN core c2 ON c2.id = nb.b),
+reach(a, b) AS (SELECT a, b FROM ce UNION SELECT r.a, ce.b FROM reach r JOIN ce ON ce.a = r.b),
+comp AS (SELECT a AS id, MIN(b) AS lbl FROM reach GROUP BY a),
+border AS (SELECT nb.a AS id, MIN(comp.lbl) AS lbl FROM nb JOIN comp ON comp.id = nb.b
+           WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a),
+allc AS (SELECT * FROM comp UNION ALL SELECT * FROM border),
+num AS (SELECT lbl, CAST(DENSE_RANK() OVER (ORDER BY lbl) - 1 AS INTEGER) AS cluster
+        FROM (SELECT DISTINCT lbl FROM allc))
+SELECT p.id AS c_custkey, COALESCE(num.cluster, -1) AS cluster
+FROM pts p LEFT JOIN allc ON allc.id = p.id LEFT JOIN num ON num.lbl = allc.lbl"""
+
+
+def _task_sql() -> str:
+    last = {"orders": ("o_orderpriority", False), "lineitem": ("l_shipdate", False),
+            "customer": ("c_mktsegment", False), "part": ("p_retailprice", True),
+            "supplier": ("s_acctbal", True), "nation": ("n_regionkey", True), "events": ("props", False)}
+    parts = []
+    for t, (c, is_num) in last.items():
+        parts.append(f"""SELECT '{t}' AS table_name,
+          CASE WHEN COUNT(DISTINCT {c}) = 1 THEN 'Clustering'
+               WHEN COUNT(DISTINCT {c}) <= 20 AND COUNT(DISTINCT {c}) * 1.0 / COUNT(*) < 0.05 THEN 'Classification'
+               WHEN {str(is_num).upper()} THEN 'Regression' ELSE 'Classification' END AS learning_type,
+          CASE WHEN COUNT(DISTINCT {c}) = 1 THEN NULL ELSE '{c}' END AS target FROM {t}""")
+    return " UNION ALL ".join(parts)
+
+
+ORACLE["task_detection"] = _task_sql()
+
+
+def _prepare_orders_sql(source: str, fit_src: str = "og") -> str:
+    lv = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    num = ["o_custkey", "o_totalprice", "price_per_cust"] + [f"o_orderpriority_{v}" for v in lv]
+    onehot = ",\n".join(f"CAST(o_orderpriority = '{v}' AS INTEGER) AS \"o_orderpriority_{v}\"" for v in lv)
+    stats = ", ".join(f"AVG(\"{c}\") AS m{i}, CASE WHEN STDDEV_POP(\"{c}\") = 0 THEN 1.0 "
+                      f"ELSE STDDEV_POP(\"{c}\") END AS s{i}" for i, c in enumerate(num))
+    scaled = ",\n".join(f"ROUND((\"{c}\" - m{i}) / s{i}, 6) AS \"{c}\"" for i, c in enumerate(num))
+    # the chain is fitted on og (orders with gaps) and applied to `source`
+    return f"""
+WITH og AS ({FIXTURE_SQL_ORDERS_GAPS}),
+fit_imp AS (SELECT AVG(o_totalprice) AS m_tp,
+                   (SELECT o_orderpriority FROM og WHERE o_orderpriority IS NOT NULL GROUP BY 1
+                    ORDER BY COUNT(*) DESC, 1 LIMIT 1) AS m_pr FROM og),
+imp_f AS (SELECT o_custkey, COALESCE(o_totalprice, m_tp) AS o_totalprice,
+                 COALESCE(o_orderpriority, m_pr) AS o_orderpriority FROM og, fit_imp),
+eng_f AS (SELECT *, o_totalprice / NULLIF(CAST(o_custkey AS DOUBLE), 0) AS price_per_cust FROM imp_f),
+fit_pf AS (SELECT COUNT(*) - COUNT(price_per_cust) AS holes, QUANTILE_CONT(price_per_cust, 0.5) AS med FROM eng_f),
+pf_f AS (SELECT o_custkey, o_totalprice, o_orderpriority,
+                CASE WHEN holes > 0 THEN COALESCE(price_per_cust, med) ELSE price_per_cust END AS price_per_cust
+         FROM eng_f, fit_pf),
+fit_w AS (SELECT QUANTILE_CONT(o_totalprice, 0.25) AS a1, QUANTILE_CONT(o_totalprice, 0.75) AS a3,
+                 QUANTILE_CONT(price_per_cust, 0.25) AS b1, QUANTILE_CONT(price_per_cust, 0.75) AS b3 FROM pf_f),
+win_f AS (SELECT o_custkey, LEAST(GREATEST(o_totalprice, a1 - 1.5 * (a3 - a1)), a3 + 1.5 * (a3 - a1)) AS o_totalprice,
+                 LEAST(GREATEST(price_per_cust, b1 - 1.5 * (b3 - b1)), b3 + 1.5 * (b3 - b1)) AS price_per_cust,
+                 {onehot}
+          FROM pf_f, fit_w),
+fit_s AS (SELECT {stats} FROM win_f),
+src AS ({source}),
+imp AS (SELECT o_custkey, COALESCE(o_totalprice, m_tp) AS o_totalprice,
+               COALESCE(o_orderpriority, m_pr) AS o_orderpriority, o_orderstatus FROM src, fit_imp),
+eng AS (SELECT *, o_totalprice / NULLIF(CAST(o_custkey AS DOUBLE), 0) AS price_per_cust FROM imp),
+pf AS (SELECT o_custkey, o_totalprice, o_orderpriority, o_orderstatus,
+              CASE WHEN holes > 0 THEN COALESCE(price_per_cust, med) ELSE price_per_cust END AS price_per_cust
+       FROM eng, fit_pf),
+win AS (SELECT o_custkey, LEAST(GREATEST(o_totalprice, a1 - 1.5 * (a3 - a1)), a3 + 1.5 * (a3 - a1)) AS o_totalprice,
+               LEAST(GREATEST(price_per_cust, b1 - 1.5 * (b3 - b1)), b3 + 1.5 * (b3 - b1)) AS price_per_cust,
+               {onehot}, o_orderstatus
+        FROM pf, fit_w)
+SELECT {scaled},
+       CAST(CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE -1 END AS INTEGER) AS o_orderstatus
+FROM win, fit_s"""
+
+
+from tabforge.sources.tables import FIXTURE_SQL as _FX  # noqa: E402
+
+FIXTURE_SQL_ORDERS_GAPS = _FX["orders_gaps"]
+ORACLE["prepare_orders"] = _ieee_round(_prepare_orders_sql("SELECT * FROM og"))
+ORACLE["prepare_orders_transform"] = _ieee_round(_prepare_orders_sql("SELECT * FROM orders"))

@@ -375,3 +375,134 @@ def q_target_reg(spark, sf_dir):
     df = fixture(spark, sf_dir, "orders_gaps").select("o_orderkey", "o_totalprice")
     st, kept = tgt.fit_target(df, "o_totalprice", "regression")
     return rounded(kept.select("o_orderkey", tgt.encode_target(st).alias("o_totalprice")))
+
+
+# ---------------------------------------------------------------- split, metrics, neighbours
+from tabforge.operators import dbscan as dbs  # noqa: E402
+from tabforge.operators import metrics as met  # noqa: E402
+from tabforge.operators import neighbors as nbr  # noqa: E402
+from tabforge.operators import split as spl  # noqa: E402
+from tabforge.plans import plan as pl  # noqa: E402
+from tabforge.plans import prep as pp  # noqa: E402
+
+
+@query("split_stratified")
+def q_split(spark, sf_dir):
+    """M1: exact per-class test counts round(0.2 * n_class), deterministic."""
+    s = spl.assign_split(table(spark, sf_dir, "orders"), 0.2, "o_orderstatus")
+    return (s.groupBy("o_orderstatus")
+             .agg(F.count(F.lit(1)).alias("n_rows"),
+                  F.count_if(F.col(spl.SPLIT_COL) == "train").alias("n_train"),
+                  F.count_if(F.col(spl.SPLIT_COL) == "test").alias("n_test")))
+
+
+@query("regression_metrics")
+def q_reg_metrics(spark, sf_dir):
+    """M17 for the prediction 'mean price of the (returnflag, linestatus) group'."""
+    li = table(spark, sf_dir, "lineitem")
+    g = li.groupBy("l_returnflag", "l_linestatus").agg(F.avg("l_extendedprice").alias("yhat"))
+    pred = li.join(F.broadcast(g), ["l_returnflag", "l_linestatus"])  # 6 groups
+    return rounded(met.regression_metrics(pred, "l_extendedprice", "yhat"))
+
+
+@query("classification_metrics")
+def q_cls_metrics(spark, sf_dir):
+    """M18 for the prediction 'most frequent status of the order's priority'."""
+    o = table(spark, sf_dir, "orders")
+    freq = o.groupBy("o_orderpriority", "o_orderstatus").count()
+    mode = freq.groupBy("o_orderpriority").agg(F.min_by("o_orderstatus", F.struct(
+        (-F.col("count")).alias("c"), F.col("o_orderstatus").alias("s"))).alias("yhat"))
+    pred = o.join(F.broadcast(mode), "o_orderpriority")  # 5 groups
+    return rounded(met.classification_metrics(pred, "o_orderstatus", "yhat"))
+
+
+@query("clustering_metrics")
+def q_cluster_metrics(spark, sf_dir):
+    """M19-M21 for the given embedding labels taken as clusters."""
+    e = table(spark, sf_dir, "embeddings")
+    return rounded(met.clustering_metrics(e, "embedding", "label", noise_label=None),
+                   {"calinski_harabasz": 4})
+
+
+@query("knn_neighbors")
+def q_knn(spark, sf_dir):
+    """M10 core: exact 5 nearest other vectors of every embedding."""
+    e = table(spark, sf_dir, "embeddings")
+    nb = nbr.knn(e, "vec_id", e, "vec_id", "embedding", k=5, exclude_self=True)
+    return rounded(nb.select(F.col("qid").alias("vec_id"), "rank", F.col("rid").alias("neighbor_id"),
+                             F.col("dist").alias("distance")))
+
+
+@query("knn_classify")
+def q_knn_cls(spark, sf_dir):
+    """Leave-one-out 5-NN vote of the embedding labels."""
+    e = table(spark, sf_dir, "embeddings")
+    p = nbr.knn_classify(e, "vec_id", e, "vec_id", "embedding", "label", k=5, exclude_self=True)
+    return p.select(F.col("qid").alias("vec_id"), F.col("prediction").cast("int").alias("prediction"),
+                    "votes")
+
+
+def _customer_std(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    st = c.agg(F.avg("c_acctbal").alias("ma"), F.stddev_pop("c_acctbal").alias("sa"),
+               F.avg("c_nationkey").alias("mn"), F.stddev_pop("c_nationkey").alias("sn")).first()
+    return c.select("c_custkey", ((F.col("c_acctbal") - st["ma"]) / st["sa"]).alias("a"),
+                    ((F.col("c_nationkey") - st["mn"]) / st["sn"]).alias("b"))
+
+
+@query("dbscan")
+def q_dbscan(spark, sf_dir):
+    """DBSCAN(eps 0.15, min 4) on standardised (balance, nation)."""
+    return dbs.dbscan(_customer_std(spark, sf_dir), "c_custkey", ["a", "b"], eps=0.15, min_samples=4)
+
+
+TASK_TABLES = ["orders", "lineitem", "customer", "part", "supplier", "nation", "events"]
+
+
+@query("task_detection")
+def q_task(spark, sf_dir):
+    """T1 on the last column of each table."""
+    rows = []
+    for t in TASK_TABLES:
+        lt, target = pl.detect_task(table(spark, sf_dir, t))
+        rows.append((t, lt, target))
+    return spark.createDataFrame(rows, "table_name string, learning_type string, target string")
+
+
+ORDERS_PLAN = {
+    "columns_to_drop": {"column_list": ["o_orderdate"], "reasons": {}},
+    "columns_to_keep": {"column_list": ["o_custkey", "o_totalprice", "o_orderpriority"], "details": {}},
+    "feature_engineering_suggestions": [
+        {"new_feature": "price_per_cust", "source_columns": ["o_totalprice", "o_custkey"],
+         "transformation": ["df['price_per_cust'] = df['o_totalprice'] / df['o_custkey']"]}],
+    "pipeline_recommendation": {
+        "step_1_missing_values": {"numeric_strategy": "mean", "categorical_strategy": "mode"},
+        "step_2_outliers": {"method": "winsorize", "columns_affected": ["o_totalprice"],
+                            "parameters": {"capping_method": "iqr", "fold": 1.5}},
+        "step_3_encoding": {"onehot_columns": ["o_orderpriority"], "frequency_columns": []},
+        "step_4_transformation": {"log_transform": [], "yeo_johnson": []},
+        "step_5_scaling": {"method": "standard", "columns": []},
+        "step_6_feature_selection": {"drop_constant": True},
+    },
+}
+
+
+def _orders_config():
+    return pl.TaskConfig("Supervised", "Classification", target="o_orderstatus", index_column="o_orderkey")
+
+
+@query("prepare_orders")
+def q_prepare_orders(spark, sf_dir):
+    """Whole preparation chain (target, drop, impute, engineer, post-fill,
+    winsorise, one-hot, scale, select) fitted on orders with gaps."""
+    _, out = pp.fit(fixture(spark, sf_dir, "orders_gaps"), ORDERS_PLAN, _orders_config())
+    return rounded(out)
+
+
+@query("prepare_orders_transform")
+def q_prepare_orders_t(spark, sf_dir):
+    """Fitted state saved as JSON, reloaded, and applied to new rows (the
+    orders without gaps): row count kept, no nulls left (R22)."""
+    fp, _ = pp.fit(fixture(spark, sf_dir, "orders_gaps"), ORDERS_PLAN, _orders_config())
+    again = pp.FittedPrep.from_json(fp.to_json())
+    return rounded(again.transform(table(spark, sf_dir, "orders")))
