@@ -585,3 +585,20 @@ from tabforge.sources.tables import FIXTURE_SQL as _FX  # noqa: E402
 FIXTURE_SQL_ORDERS_GAPS = _FX["orders_gaps"]
 ORACLE["prepare_orders"] = _ieee_round(_prepare_orders_sql("SELECT * FROM og"))
 ORACLE["prepare_orders_transform"] = _ieee_round(_prepare_orders_sql("SELECT * FROM orders"))
+
+
+# ---------------------------------------------------------------- streaming, sources
+_WIN_SQL = _ieee_round(fixture_cte("events_gaps") + """
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end,
+       event_type, COUNT(*) AS n_rows, COUNT(*) - COUNT(value) AS n_missing,
+       ROUND(AVG(value), 6) AS mean, ROUND(MIN(value), 6) AS min, ROUND(MAX(value), 6) AS max,
+       ROUND(STDDEV_SAMP(value), 6) AS std
+FROM events_gaps GROUP BY 1, 2, 3""")
+ORACLE["stream_window_profile"] = _WIN_SQL
+ORACLE["stream_window_profile_batch"] = _WIN_SQL
+
+_CUST = _ieee_round("SELECT c_custkey, c_name, c_nationkey, ROUND(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer")
+for _k in ("source_csv", "source_json", "source_parquet", "source_xml"):
+    ORACLE[_k] = _CUST
+
+ORACLE["prediction_history"] = "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus"

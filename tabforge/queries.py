@@ -506,3 +506,193 @@ def q_prepare_orders_t(spark, sf_dir):
     fp, _ = pp.fit(fixture(spark, sf_dir, "orders_gaps"), ORDERS_PLAN, _orders_config())
     again = pp.FittedPrep.from_json(fp.to_json())
     return rounded(again.transform(table(spark, sf_dir, "orders")))
+
+
+# ---------------------------------------------------------------- training runs (rows-only checks)
+from tabforge.operators import models as mdl  # noqa: E402
+from tabforge.plans import automl  # noqa: E402
+
+CLS_FAST = ["LogisticRegression", "KNN", "DecisionTree", "RandomForest"]
+CLS_BOOST = ["GradientBoosting", "GradientBoostingSubsampled"]
+REG_FAST = ["LinearRegression", "Ridge", "Lasso", "ElasticNet", "RandomForest"]
+REG_BOOST = ["GradientBoosting", "GradientBoostingSubsampled"]
+
+
+def _cls_run(spark, sf_dir, only):
+    return automl.run_supervised(fixture(spark, sf_dir, "orders_gaps"), _orders_config(), ORDERS_PLAN,
+                                 only=only)
+
+
+def _leaderboard(lb: DataFrame) -> DataFrame:
+    return lb.drop("fit_time", "hyperparameters", "error")
+
+
+@query("train_classification")
+def q_train_cls(spark, sf_dir):
+    """Split, prepare on train, fit, rank."""
+    return _leaderboard(_cls_run(spark, sf_dir, CLS_FAST).result.leaderboard)
+
+
+@query("train_classification_boosted")
+def q_train_cls_boost(spark, sf_dir):
+    """M7/M8: boosted trees (one-vs-rest above two classes)."""
+    return _leaderboard(_cls_run(spark, sf_dir, CLS_BOOST).result.leaderboard)
+
+
+def _reg_config():
+    return pl.TaskConfig("Supervised", "Regression", target="l_extendedprice")
+
+
+def _reg_run(spark, sf_dir, only):
+    df = fixture(spark, sf_dir, "lineitem_gaps").drop("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
+    return automl.run_supervised(df, _reg_config(), None, only=only)
+
+
+@query("train_regression")
+def q_train_reg(spark, sf_dir):
+    """M2-M6, M17, M24 with the rule-built plan (T3) on lineitem."""
+    r = _reg_run(spark, sf_dir, REG_FAST)
+    return _leaderboard(r.result.leaderboard).join(r.advice.select("model_name", "verdict"), "model_name")
+
+
+@query("train_regression_boosted")
+def q_train_reg_boost(spark, sf_dir):
+    """M7/M8 regression."""
+    return _leaderboard(_reg_run(spark, sf_dir, REG_BOOST).result.leaderboard)
+
+
+@query("train_clustering")
+def q_train_clu(spark, sf_dir):
+    """M12-M14, M16, M19-M22 on customer with the rule-built plan."""
+    df = fixture(spark, sf_dir, "customer_gaps").drop("c_name")
+    cfg = pl.TaskConfig("Unsupervised", "Clustering", index_column="c_custkey")
+    return _leaderboard(automl.run_clustering(df, cfg).result.leaderboard)
+
+
+@query("predict_batch")
+def q_predict(spark, sf_dir):
+    """Score raw orders with the fitted preparation and a logistic model:
+    decoded class and confidence per order."""
+    r = _cls_run(spark, sf_dir, ["LogisticRegression"])
+    model = r.result.models["LogisticRegression"]
+    return mdl.score(table(spark, sf_dir, "orders"), r.prep, model, keep=["o_orderkey"])
+
+
+@query("plan_rules")
+def q_plan(spark, sf_dir):
+    """The rule-built plan of customer (classification on segment),
+    one row per (section, column)."""
+    cfg = pl.TaskConfig("Supervised", "Classification", target="c_mktsegment")
+    p = pl.build_plan(fixture(spark, sf_dir, "customer_gaps"), cfg)
+    pr = p["pipeline_recommendation"]
+    rows = [("drop", c, "; ".join(p["columns_to_drop"]["reasons"].get(c, [])))
+            for c in p["columns_to_drop"]["column_list"]]
+    rows += [("keep", c, p["columns_to_keep"]["details"][c]["priority"])
+             for c in p["columns_to_keep"]["column_list"]]
+    for step, body in pr.items():
+        for k, v in body.items():
+            if isinstance(v, list):
+                rows += [(f"{step}.{k}", c, "") for c in v]
+            elif not isinstance(v, dict):
+                rows.append((f"{step}.{k}", "", str(v)))
+    return spark.createDataFrame(rows, "section string, column_name string, value string")
+
+
+@query("infer_types")
+def q_types(spark, sf_dir):
+    """T2 + P6: every orders column written as text, types inferred back and
+    applied (a column is cast only when every value parses)."""
+    o = table(spark, sf_dir, "orders")
+    txt = o.select(*[F.col(c).cast("string").alias(c) for c in o.columns])
+    types = pl.infer_types(txt)
+    back = pl.apply_types(txt, types)
+    return spark.createDataFrame([(c, types.get(c), t) for c, t in back.dtypes],
+                                 "column_name string, inferred string, applied string")
+
+
+# ---------------------------------------------------------------- streaming
+from tabforge.streaming import stream as stm  # noqa: E402
+
+
+@query("stream_window_profile")
+def q_stream_profile(spark, sf_dir):
+    """Daily window profile of events.value per event type, computed by a
+    streaming query over the events parquet (watermark 1 day)."""
+    stream = stm.read_stream(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema)
+    gapped = stream.select("event_id", "user_id", "ts", "event_type",
+                           F.when(F.col("event_id") % 4 == 0, F.lit(None)).otherwise(F.col("value"))
+                           .alias("value"))
+    out = stm.run_to_memory(stm.windowed_profile(gapped, "ts", "value", "1 day", "1 day", ["event_type"]),
+                            mode="complete")
+    return rounded(out)
+
+
+@query("stream_window_profile_batch")
+def q_stream_profile_batch(spark, sf_dir):
+    """X3 batch twin (same operator on a batch frame)."""
+    return rounded(stm.windowed_profile(fixture(spark, sf_dir, "events_gaps"), "ts", "value", "1 day",
+                                        "1 day", ["event_type"]))
+
+
+@query("stream_score")
+def q_stream_score(spark, sf_dir):
+    """X1 + X2: orders read as a stream, scored with the batch-fitted
+    preparation and model, appended to a Parquet prediction log."""
+    r = _cls_run(spark, sf_dir, ["LogisticRegression"])
+    stream = stm.read_stream(spark, f"{sf_dir}/orders.parquet", table(spark, sf_dir, "orders").schema)
+    scored = stm.score_stream(stream, r.prep, r.result.models["LogisticRegression"], keep=["o_orderkey"])
+    path = stm.scratch(spark, "prediction-log")
+    stm.prediction_log(scored, path).awaitTermination()
+    return spark.read.parquet(path).drop("logged_at")
+
+
+# ---------------------------------------------------------------- sources and sinks
+from tabforge.sources import loader, sinks  # noqa: E402
+
+
+def _roundtrip(spark, sf_dir, fmt, **write_opts):
+    c = table(spark, sf_dir, "customer")
+    path = stm.scratch(spark, f"customer-{fmt}") + ("." + fmt if fmt != "parquet" else "")
+    if fmt == "xml":
+        c.write.format("xml").option("rootTag", "customers").option("rowTag", "customer").save(path)
+        back = loader.load_table(spark, path, fmt="xml", row_tag="customer")
+    else:
+        sinks.write_table(c, path, fmt, **write_opts)
+        back = loader.load_table(spark, path, fmt=fmt)
+    back = pl.apply_types(back, {f.name: f.dataType.simpleString() for f in c.schema.fields})
+    return rounded(back.select(*c.columns))
+
+
+@query("source_csv")
+def q_csv(spark, sf_dir):
+    """Customer written as ';'-separated CSV, read back with
+    delimiter detection and inferred types, re-typed (P6)."""
+    return _roundtrip(spark, sf_dir, "csv", sep=";")
+
+
+@query("source_json")
+def q_json(spark, sf_dir):
+    """JSON lines round trip."""
+    return _roundtrip(spark, sf_dir, "json")
+
+
+@query("source_parquet")
+def q_parquet(spark, sf_dir):
+    """S3: Parquet round trip."""
+    return _roundtrip(spark, sf_dir, "parquet")
+
+
+@query("source_xml")
+def q_xml(spark, sf_dir):
+    """XML round trip (row per element, all text, then re-typed)."""
+    return _roundtrip(spark, sf_dir, "xml")
+
+
+@query("prediction_history")
+def q_history(spark, sf_dir):
+    """Append two batches to a history table; count and last 10."""
+    path = stm.scratch(spark, "history")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    sinks.append_history(o.where(F.col("o_orderkey") % 2 == 0), path)
+    sinks.append_history(o.where(F.col("o_orderkey") % 2 == 1), path)
+    return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
