@@ -390,7 +390,8 @@ FROM k, f"""
 
 def _ieee_round(sql: str) -> str:
     """Rewrite every two-argument ``ROUND(expr, d)`` as
-    ``(ROUND((expr) * 10^d) / 10^d)``, the form the Spark queries use."""
+    ``(ROUND((expr) * 10^d) / 10^d + 0.0)``, the form the Spark queries use
+    (``+ 0.0`` turns -0.0 into 0.0)."""
     out, i, key = [], 0, "ROUND("
     while True:
         j = sql.find(key, i)
@@ -415,7 +416,7 @@ def _ieee_round(sql: str) -> str:
             expr = _ieee_round(sql[j + len(key):comma])
             d = int(sql[comma + 1:k - 1].strip())
             m = float(10 ** d)
-            out.append(f"(ROUND(({expr}) * {m}) / {m})")
+            out.append(f"(ROUND(({expr}) * {m}) / {m} + 0.0)")
         i = k
 
 

@@ -36,7 +36,7 @@ def fix_round(c, d: int):
     engine, so the oracle's ROUND(x * 1e{d}) / 1e{d} gives the same value even
     on an exact decimal half (which a decimal-based ROUND(x, d) may not)."""
     m = float(10 ** d)
-    return F.round(c * F.lit(m), 0) / F.lit(m)
+    return F.round(c * F.lit(m), 0) / F.lit(m) + F.lit(0.0)   # + 0.0 turns -0.0 into 0.0
 
 
 def rounded(df: DataFrame, coarse: dict[str, int] | None = None) -> DataFrame:
