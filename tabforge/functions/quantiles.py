@@ -18,14 +18,13 @@ column.  Here:
    most ``collect_cap`` (value, count) pairs per bracket reach the driver,
    from which the order statistics are read.
 
-Fast path (the common case): steps 2 and 4 are one pass.  Per column the
-brackets are merged into disjoint intervals; each value is mapped by one
-``CASE`` chain to its gap or interval, grouped by (column, segment, value if
-inside an interval) and at most ``collect_cap`` groups per interval are
-collected.  Gap counts give the rows below each interval, which proves (or
-refutes) that the interval holds its ranks.  Only refuted or oversized
-brackets go through the loop above.  So the common case is 2 Spark jobs, or 1
-extra job when the sketch rides along in a caller's aggregate.
+Fast path (the common case): per column the brackets are merged into
+disjoint intervals; one ``count_if`` aggregate gives the rows below each
+interval, and one filtered pass groups only the rows inside an interval by
+value (at most ``collect_cap`` groups per interval are collected).  The counts
+prove (or refute) that an interval holds its ranks; only refuted or oversized
+brackets go through the loop above.  So the common case is 3 light Spark
+jobs, 2 when the sketch rides along in a caller's aggregate.
 """
 
 from __future__ import annotations
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tabforge.functions.columns import col
 
-DEFAULT_ACCURACY = 10000
+DEFAULT_ACCURACY = 5000
 DEFAULT_COLLECT_CAP = 100_000
 MAX_ROUNDS = 8
 
@@ -145,14 +144,15 @@ class QuantileJob:
         return self.finish(df, df.agg(*self.sketch_aggs()).first())
 
     def _fast(self, df: DataFrame, targets: list[_Target]) -> list[_Target]:
-        """One pass: gap counts + grouped interval values.  Returns the targets
-        it could not prove (left for the slow loop)."""
+        """Two light passes: rows below each interval (count_if aggregate),
+        then only the rows inside an interval are grouped by value and
+        collected (at most ``collect_cap`` groups per interval).  Returns the
+        targets it could not prove (left for the slow loop)."""
         by_col: dict[str, list[_Target]] = {}
         for t in targets:
             by_col.setdefault(t.column, []).append(t)
-        layout = []      # per column: list of (lo, hi, [targets])
-        entries = []
-        for ci, (c, ts) in enumerate(by_col.items()):
+        layout = []      # per column: list of [lo, hi, [targets]]
+        for c, ts in by_col.items():
             ivs: list[list] = []
             for t in sorted(ts, key=lambda t: t.lo):
                 if ivs and t.lo <= ivs[-1][1]:
@@ -161,39 +161,36 @@ class QuantileJob:
                 else:
                     ivs.append([t.lo, t.hi, [t]])
             layout.append((c, ivs))
+        below_aggs, entries, any_in = [], [], None
+        for ci, (c, ivs) in enumerate(layout):
             v = _dbl(c)
-            seg = None
             for k, (lo, hi, _) in enumerate(ivs):
-                seg = (F.when(v < F.lit(lo), F.lit(2 * k)) if seg is None
-                       else seg.when(v < F.lit(lo), F.lit(2 * k)))
-                seg = seg.when(v <= F.lit(hi), F.lit(2 * k + 1))
-            seg = seg.otherwise(F.lit(2 * len(ivs)))
-            val = F.when(seg % 2 == 1, v)
-            entries.append(F.when(v.isNotNull(), F.struct(F.lit(ci).alias("c"), seg.alias("s"),
-                                                          val.alias("v"))))
+                below_aggs.append(F.count_if(v < F.lit(lo)).alias(f"b{ci}_{k}"))
+                inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
+                any_in = inside if any_in is None else (any_in | inside)
+                entries.append(F.when(inside, F.struct(F.lit(ci).alias("c"), F.lit(k).alias("s"),
+                                                       v.alias("v"))))
+        below = df.agg(*below_aggs).first()
         n_iv = sum(len(ivs) for _, ivs in layout)
-        limit = self.collect_cap * n_iv + 2 * n_iv + len(layout)
-        grouped = (df.select(F.explode(F.array(*entries)).alias("e"))
+        limit = self.collect_cap * n_iv
+        grouped = (df.where(any_in).select(F.explode(F.array(*entries)).alias("e"))
                      .where(F.col("e").isNotNull())
                      .groupBy("e.c", "e.s", "e.v").count())
         got = grouped.limit(limit + 1).collect()   # bounded by construction
         if len(got) > limit:
             return targets
-        segs: dict[int, dict[int, list[tuple]]] = {}
+        segs: dict[tuple[int, int], list[tuple]] = {}
         for r in got:
-            segs.setdefault(int(r["c"]), {}).setdefault(int(r["s"]), []).append(
-                (r["v"], int(r["count"])))
+            segs.setdefault((int(r["c"]), int(r["s"])), []).append((r["v"], int(r["count"])))
         slow = []
         for ci, (c, ivs) in enumerate(layout):
-            cs = segs.get(ci, {})
-            below = 0
             for k, (lo, hi, ts) in enumerate(ivs):
-                below += sum(n for _, n in cs.get(2 * k, []))
-                pairs = sorted(cs.get(2 * k + 1, []))
+                b = int(below[f"b{ci}_{k}"])
+                pairs = sorted(segs.get((ci, k), []))
                 inside = sum(n for _, n in pairs)
                 for t in ts:
-                    if below <= t.ranks[0] and below + inside > t.ranks[-1]:
-                        pos, j = below, 0
+                    if b <= t.ranks[0] and b + inside > t.ranks[-1]:
+                        pos, j = b, 0
                         for rk in t.ranks:
                             while pos + pairs[j][1] <= rk:
                                 pos += pairs[j][1]
@@ -202,7 +199,6 @@ class QuantileJob:
                     else:
                         t.lo, t.hi = -math.inf, math.inf
                         slow.append(t)
-                below += inside
         return slow
 
     def _verify(self, df: DataFrame, targets: list[_Target]) -> None:

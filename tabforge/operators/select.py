@@ -85,6 +85,58 @@ def duplicates(df: DataFrame, cols: list[str] | None = None) -> list[str]:
     return [c for c in cols if c in dup]
 
 
+def constant_and_duplicates(df: DataFrame, cols: list[str], tol: float = CONSTANT_TOL,
+                            drop_dup: bool = True, accuracy: int = 10000) -> tuple[list[str], list[str]]:
+    """R18 + R19 sharing their passes: one aggregate holds the quantile probes
+    of every numeric column and the fingerprint of every column; a second one
+    confirms the constant candidates and the duplicate pairs together.
+    Duplicates are looked for among the columns that are not constant."""
+    num = [c for c in cols if c in set(numeric_columns(df))]
+    txt = [c for c in cols if c not in num]
+    lo_p, hi_p = min(0.5, 1.0 - tol + 2.0 / accuracy), max(0.5, tol - 2.0 / accuracy)
+    rowh = F.xxhash64(*[col(c) for c in cols])
+    aggs = [F.percentile_approx(col(c).cast("double"), [lo_p, hi_p], accuracy).alias(f"p{i}")
+            for i, c in enumerate(num)]
+    if drop_dup and len(cols) >= 2:
+        aggs += [F.sum(F.xxhash64(F.col("__h"), col(c).cast("string")) % F.lit(1 << 40)).alias(f"f{i}")
+                 for i, c in enumerate(cols)]
+    base = df.select(rowh.alias("__h"), *[col(c) for c in cols])
+    r1 = base.agg(*aggs).first() if aggs else None
+    cand: dict[str, object] = {}
+    for i, c in enumerate(num):
+        p = r1[f"p{i}"]
+        if p is not None and p[0] == p[1]:
+            cand[c] = p[0]
+    if txt:
+        cand.update({c: v for c, v in modes(df, txt).items() if v is not None})
+    groups: dict = {}
+    if drop_dup and len(cols) >= 2:
+        for i, c in enumerate(cols):
+            groups.setdefault(r1[f"f{i}"], []).append(c)
+    pairs = [(m[0], x) for m in groups.values() for x in m[1:]]
+    types = {c: df.schema[c].dataType.simpleString() for c in cols}
+    aggs2 = []
+    names = list(cand)
+    for i, c in enumerate(names):
+        x = col(c).cast("double") if c in num else col(c).cast("string")
+        aggs2 += [F.count_if(x == F.lit(cand[c])).alias(f"t{i}"), F.count(x).alias(f"n{i}")]
+    aggs2 += [F.count_if(~col(a).cast("string").eqNullSafe(col(b).cast("string"))).alias(f"x{k}")
+              for k, (a, b) in enumerate(pairs)]
+    r2 = df.agg(*aggs2).first() if aggs2 else None
+    const = {c for i, c in enumerate(names)
+             if int(r2[f"n{i}"]) and int(r2[f"t{i}"]) / int(r2[f"n{i}"]) >= tol}
+    # duplicates among the non-constant columns, keep first
+    same = {(a, b) for k, (a, b) in enumerate(pairs) if int(r2[f"x{k}"]) == 0 and types[a] == types[b]}
+    dup = set()
+    for members in groups.values():
+        # columns proven equal to the group's first member (identical columns
+        # are constant together); the first one not dropped as constant stays
+        ident = [members[0]] + [b for b in members[1:] if (members[0], b) in same]
+        live = [c for c in ident if c not in const]
+        dup.update(live[1:])
+    return [c for c in cols if c in const], [c for c in cols if c in dup]
+
+
 def correlated(df: DataFrame, cols: list[str] | None = None,
                threshold: float = CORRELATION_THRESHOLD) -> list[str]:
     """Greedy keep-first: walking the columns in order, a kept column

@@ -23,6 +23,8 @@ from tabforge.functions.scalar import binary_feature, parse_operation
 from tabforge.operators import encode, impute, outliers, scale, select, transform
 from tabforge.operators.target import TargetState, apply_target, fit_target
 from tabforge.plans.plan import Plan, TaskConfig
+from tabforge.session import spread
+from tabforge.trace import step
 
 SANITISE = {"[": "_", "]": "_", "<": "_", ">": "_"}   # fixed: characters replaced in names
 
@@ -155,11 +157,12 @@ def fit(df: DataFrame, plan: Plan | dict, config: TaskConfig, store_dir: str | N
     rows (rows with a missing target are removed, as at fit in the reference)."""
     plan = Plan(plan).validate(target=config.target)
     fp = FittedPrep(config=config.__dict__.copy())
-    df = normalise_missing(df)
+    df = spread(normalise_missing(df))   # narrow inputs only; see session.spread
     fp.input_columns = [c for c in df.columns if c != config.index_column]
     tname = config.target if config.supervised else None
     if tname:
-        tstate, df = fit_target(df, tname, config.learning_type.lower())
+        with step("fit.target"):
+            tstate, df = fit_target(df, tname, config.learning_type.lower())
         fp.target = tstate.to_json()
     elif config.target and config.target in df.columns:
         df = df.drop(config.target)
@@ -196,10 +199,12 @@ def fit(df: DataFrame, plan: Plan | dict, config: TaskConfig, store_dir: str | N
         fp.fill_steps = [{"kind": strategy, "columns": [c for c, n in nulls.items() if n > 0],
                           "partition_by": part, "order_by": order_by}]
     else:
-        fp.num_fill = impute.fit_numeric(cur, numeric(cur), strategy)
+        with step("fit.impute_numeric"):
+            fp.num_fill = impute.fit_numeric(cur, numeric(cur), strategy)
     cat_strategy = m.get("categorical_strategy", "mode")
     if cat_strategy in ("mode", "most_frequent", "frequent"):
-        fp.cat_fill = impute.fit_categorical(cur, text(cur))
+        with step("fit.impute_text"):
+            fp.cat_fill = impute.fit_categorical(cur, text(cur))
     cur = fp._features(df, upto="engineer")
 
     # step 2: feature engineering (a rule may use an earlier new column)
@@ -214,7 +219,8 @@ def fit(df: DataFrame, plan: Plan | dict, config: TaskConfig, store_dir: str | N
         cur = cur.withColumn(s["new_feature"], binary_feature(op, src))
 
     # post-engineering fill: fitted imputer value, else fit-time median / 'missing'
-    nulls = impute.null_counts(cur, feats(cur))
+    with step("fit.post_fill_nulls"):
+        nulls = impute.null_counts(cur, feats(cur))
     holes = [c for c, n in nulls.items() if n > 0]
     num_holes = [c for c in holes if c in numeric(cur) and c not in fp.num_fill]
     med = exact_quantiles(cur, {c: [0.5] for c in num_holes}) if num_holes else {}
@@ -232,15 +238,17 @@ def fit(df: DataFrame, plan: Plan | dict, config: TaskConfig, store_dir: str | N
     method = o.get("method", "winsorize")
     engineered = [c for c in numeric(cur) if c not in original]
     cand = list(dict.fromkeys([c for c in o.get("columns_affected", []) if c in numeric(cur)] + engineered))
-    ok, skipped = outliers.eligible(cur, cand)
+    with step("fit.outlier_eligible"):
+        ok, skipped = outliers.eligible(cur, cand)
     params = o.get("parameters", {}) or {}
     fold = float(params.get("fold", 1.5))
     if config.clustering:
         fold = max(fold, 2.0)
     if ok:
         if method == "winsorize":
-            fp.fences = {c: list(v) for c, v in outliers.fit_fences(
-                cur, ok, params.get("capping_method", "iqr"), fold).items()}
+            with step("fit.fences"):
+                fp.fences = {c: list(v) for c, v in outliers.fit_fences(
+                    cur, ok, params.get("capping_method", "iqr"), fold).items()}
         elif method == "clip":
             lo, hi = params.get("lower"), params.get("upper")
             fp.fences = {c: [lo, hi] for c in ok}
@@ -255,7 +263,8 @@ def fit(df: DataFrame, plan: Plan | dict, config: TaskConfig, store_dir: str | N
     # step 4: encoding
     e = pr.get("step_3_encoding", {}) or {}
     onehot_cols = [c for c in e.get("onehot_columns", []) if c in cur.columns and c != tname]
-    fp.onehot = encode.fit_onehot(cur, onehot_cols)
+    with step("fit.onehot"):
+        fp.onehot = encode.fit_onehot(cur, onehot_cols)
     fp.drop_last = config.clustering
     maps = []
     maps += encode.fit_frequency(cur, [c for c in e.get("frequency_columns", [])
@@ -286,7 +295,8 @@ def fit(df: DataFrame, plan: Plan | dict, config: TaskConfig, store_dir: str | N
     cols = [c for c in s.get("columns", []) if c in cur.columns and c != tname]
     if not cols:
         cols = numeric(cur)
-    fp.scaler = {c: list(v) for c, v in scale.fit_scaler(cur, cols, fp.scaler_method).items()}
+    with step("fit.scaler"):
+        fp.scaler = {c: list(v) for c, v in scale.fit_scaler(cur, cols, fp.scaler_method).items()}
     cur = fp._features(df, upto="select")
 
     # step 7: feature selection
@@ -294,12 +304,12 @@ def fit(df: DataFrame, plan: Plan | dict, config: TaskConfig, store_dir: str | N
     out = []
     fcols = feats(cur)
     if len(fcols) >= 2:
-        if sel.get("drop_constant", True):
-            tol = select.CONSTANT_TOL_CLUSTERING if config.clustering else select.CONSTANT_TOL
-            out += select.quasi_constant(cur, fcols, tol)
-        rest = [c for c in fcols if c not in out]
-        if len(rest) >= 2 and sel.get("drop_duplicates", True):
-            out += select.duplicates(cur, rest)
+        tol = select.CONSTANT_TOL_CLUSTERING if config.clustering else select.CONSTANT_TOL
+        with step("fit.constant+duplicates"):
+            const, dup = select.constant_and_duplicates(
+                cur, fcols, tol if sel.get("drop_constant", True) else 2.0,
+                drop_dup=sel.get("drop_duplicates", True))
+        out += const + dup
         rest = [c for c in fcols if c not in out]
         if sel.get("drop_correlated", False) and len(rest) >= 2:
             out += select.correlated(cur, [c for c in rest if c in numeric(cur)],

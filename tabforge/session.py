@@ -60,3 +60,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Prepare the input of a multi-pass operator.
+
+    A narrow input (fewer partitions than the cluster's parallelism, e.g. one
+    large file with a single row group) is spread round-robin once and
+    persisted (memory and disk), so the following passes run in parallel and
+    read it once.  A wide input is returned as it is: no shuffle, and each
+    pass reads only the Parquet columns it needs.  Call ``release`` when done.
+    """
+    from pyspark import StorageLevel
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par).persist(StorageLevel.MEMORY_AND_DISK)
+    return df
+
+
+def release(df: DataFrame) -> None:
+    if df.is_cached:
+        df.unpersist()

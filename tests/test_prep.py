@@ -113,3 +113,14 @@ def test_detect_task(spark):
     assert detect_task(table(spark, SF_SMALL, "part"))[0] == "Regression"
     one = spark.createDataFrame([(1, "a"), (2, "a")], "x long, y string")
     assert detect_task(one) == ("Clustering", None)
+
+
+def test_constant_and_duplicates_shared_passes(spark):
+    rows = [(float(i), float(i), 0.0, 0.0, "k", float(i % 7)) for i in range(300)]
+    rows[5] = (5.0, 5.0, 1.0, 1.0, "k", 5.0)
+    df = spark.createDataFrame(rows, "a double, b double, z double, z2 double, s string, c double")
+    const, dup = select.constant_and_duplicates(df, df.columns, tol=0.99)
+    assert const == ["z", "z2", "s"]
+    assert dup == ["b"]
+    assert select.quasi_constant(df, tol=0.99) == const
+    assert [c for c in select.duplicates(df) if c not in const] == dup
