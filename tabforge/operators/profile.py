@@ -276,3 +276,80 @@ def profile_report(df: DataFrame, target: str | None = None,
 
 def spark_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
+
+
+SAMPLE_VALUES = 5        # fixed value: distinct sample values reported per column
+
+
+def sample_values(df: DataFrame, cols: list[str] | None = None, n: int = SAMPLE_VALUES) -> DataFrame:
+    """A4: the ``n`` smallest distinct non-null values per column, as text
+    (rows have no order, so "first seen" becomes "smallest").  Distinct
+    values are grouped with partial aggregation and ``row_number() <= n``
+    keeps a per-task top-n before the final shuffle."""
+    cols = list(df.columns) if cols is None else list(cols)
+    num = set(numeric_columns(df))
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"),
+                 (col(c).cast("double") if c in num else F.lit(None).cast("double")).alias("num"),
+                 col(c).cast("string").alias("value")) for c in cols])).alias("e")).select("e.*")
+    d = long.where(F.col("value").isNotNull()).distinct()
+    w = Window.partitionBy("column_name").orderBy(F.col("num").asc_nulls_last(), F.col("value"))
+    return (d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+             .select("column_name", F.col("rank").cast("int").alias("rank"), "value"))
+
+
+def memory_estimate_mb(df: DataFrame) -> float:
+    """A16 (estimate): 8 bytes per numeric / temporal / boolean cell plus the
+    UTF-8 length of every text cell, in MiB; one aggregate pass."""
+    parts = []
+    for f in df.schema.fields:
+        t = f.dataType.simpleString()
+        if t == "string":
+            parts.append(F.coalesce(F.sum(F.octet_length(col(f.name))), F.lit(0)))
+        else:
+            parts.append(F.count(F.lit(1)) * F.lit(8))
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return float(df.agg(total.alias("b")).first()["b"]) / (1024.0 ** 2)
+
+
+def dataset_summary(df: DataFrame) -> dict:
+    """``dataset_summary``: per-column table (dtype, missing, distinct, sample
+    values, numeric stats or mode) plus rows, column count and memory
+    estimate.  A handful of jobs whatever the width."""
+    num = numeric_columns(df)
+    cat = [c for c in df.columns if c not in num]
+    out = {"rows": row_count(df), "columns_count": len(df.columns),
+           "memory_usage_mb": memory_estimate_mb(df),
+           "numeric": numeric_profile(df, num) if num else None,
+           "categorical": categorical_profile(df, categorical_columns(df)) if categorical_columns(df) else None,
+           "value_counts": value_counts(df, categorical_columns(df)) if categorical_columns(df) else None,
+           "sample_values": sample_values(df)}
+    del cat
+    return out
+
+
+def insights(missing: DataFrame, numeric: DataFrame, corr: DataFrame,
+             n_missing: int = 10, n_outliers: int = 10, n_corr: int = 8) -> DataFrame:
+    """Columns with the most missing values (top 10), with the most
+    outliers (top 10) and the strongest correlations (top 8); ties by name."""
+    w_m = Window.orderBy(F.desc("value"), F.asc("column_name"))
+    m = (missing.where(F.col("n_missing") > 0)
+                .select(F.lit("missing").alias("list_name"), "column_name",
+                        F.col("missing_pct").alias("value")))
+    o = (numeric.where(F.col("n_outliers") > 0)
+                .select(F.lit("outliers").alias("list_name"), "column_name",
+                        F.col("n_outliers").cast("double").alias("value")))
+    c = corr.select(F.lit("correlations").alias("list_name"), F.col("pair").alias("column_name"),
+                    F.abs("correlation").alias("value"))
+    parts = []
+    for df_, k in ((m, n_missing), (o, n_outliers), (c, n_corr)):
+        parts.append(df_.withColumn("rank", F.row_number().over(w_m)).where(F.col("rank") <= k))
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select("list_name", F.col("rank").cast("int").alias("rank"), "column_name", "value")
+
+
+def class_counts(df: DataFrame, label: str) -> DataFrame:
+    """Rows per class (partial aggregation)."""
+    return df.groupBy(col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))

@@ -603,3 +603,67 @@ for _k in ("source_csv", "source_json", "source_parquet", "source_xml"):
     ORACLE[_k] = _CUST
 
 ORACLE["prediction_history"] = "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus"
+
+
+# ---------------------------------------------------------------- summary extras
+def _samples_sql() -> str:
+    num = {"l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+           "l_discount", "l_tax"}
+    parts = []
+    for c in LINEITEM_ALL:
+        n = f"CAST({c} AS DOUBLE)" if c in num else "CAST(NULL AS DOUBLE)"
+        v = (f"CAST(CAST({c} AS DOUBLE) AS VARCHAR)" if c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+             else ("strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')" if c == "l_shipdate" else f"CAST({c} AS VARCHAR)"))
+        parts.append(f"SELECT DISTINCT '{c}' AS column_name, {n} AS num, {v} AS value FROM lineitem_gaps "
+                     f"WHERE {c} IS NOT NULL")
+    return fixture_cte("lineitem_gaps")[:-1] + f""", d AS ({' UNION ALL '.join(parts)}),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY num ASC NULLS LAST, value) AS rk FROM d)
+SELECT column_name, CAST(rk AS INTEGER) AS rank, value FROM r WHERE rk <= 5"""
+
+
+ORACLE["sample_values"] = _samples_sql()
+
+ORACLE["memory_estimate"] = _ieee_round(fixture_cte("lineitem_gaps") + """
+SELECT COUNT(*) AS n_rows, 11 AS n_columns,
+       ROUND((COUNT(*) * 8 * 9 + COALESCE(SUM(STRLEN(l_returnflag)), 0)
+              + COALESCE(SUM(STRLEN(l_linestatus)), 0)) / 1048576.0, 6) AS memory_mb
+FROM lineitem_gaps""")
+
+
+def _insights_sql() -> str:
+    prof_cte = _numeric_profile_sql("lineitem_gaps", LINEITEM_NUMERIC, LINEITEM_TYPES)
+    miss = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS n_missing, "
+        f"(COUNT(*) - COUNT({c})) * 100.0 / COUNT(*) AS pct FROM lineitem_gaps" for c in LINEITEM_ALL)
+    pairs = []
+    for i, a in enumerate(LINEITEM_NUMERIC):
+        for b in LINEITEM_NUMERIC[i + 1:]:
+            pairs.append(f"SELECT '{a}_vs_{b}' AS column_name, ABS(CORR(CAST({a} AS DOUBLE), "
+                         f"CAST({b} AS DOUBLE))) AS value FROM lineitem_gaps")
+    return _ieee_round(fixture_cte("lineitem_gaps")[:-1] + prof_cte + f"""
+    , miss AS ({miss}),
+    cor AS ({' UNION ALL '.join(pairs)}),
+    lists AS (
+      SELECT 'missing' AS list_name, column_name, pct AS value FROM miss WHERE n_missing > 0
+      UNION ALL SELECT 'outliers', column_name, CAST(n_outliers AS DOUBLE) FROM prof WHERE n_outliers > 0
+      UNION ALL SELECT 'correlations', column_name, value FROM cor WHERE value IS NOT NULL),
+    ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY list_name ORDER BY value DESC, column_name) AS rk FROM lists)
+    SELECT list_name, CAST(rk AS INTEGER) AS rank, column_name, ROUND(value, 6) AS value FROM ranked
+    WHERE (list_name = 'missing' AND rk <= 10) OR (list_name = 'outliers' AND rk <= 10)
+       OR (list_name = 'correlations' AND rk <= 8)""")
+
+
+ORACLE["profile_insights"] = _insights_sql()
+
+ORACLE["class_counts"] = "SELECT o_orderstatus AS label, COUNT(*) AS n FROM orders GROUP BY o_orderstatus"
+
+ORACLE["prep_report"] = fixture_cte("orders_gaps") + """
+SELECT 'added' AS item, c AS column_name, CAST(NULL AS BIGINT) AS n
+FROM (VALUES ('o_orderpriority_1-URGENT'), ('o_orderpriority_2-HIGH'), ('o_orderpriority_3-MEDIUM'),
+             ('o_orderpriority_4-NOT SPECIFIED'), ('o_orderpriority_5-LOW'), ('price_per_cust')) t(c)
+UNION ALL SELECT 'removed', c, NULL FROM (VALUES ('o_orderdate'), ('o_orderpriority')) t(c)
+UNION ALL SELECT 'missing_before', NULL,
+       (SELECT SUM(CASE WHEN o_custkey IS NULL THEN 1 ELSE 0 END + CASE WHEN o_totalprice IS NULL THEN 1 ELSE 0 END
+                 + CASE WHEN o_orderdate IS NULL THEN 1 ELSE 0 END + CASE WHEN o_orderpriority IS NULL THEN 1 ELSE 0 END)
+        FROM orders_gaps)
+UNION ALL SELECT 'missing_after', NULL, 0"""

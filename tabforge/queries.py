@@ -696,3 +696,49 @@ def q_history(spark, sf_dir):
     sinks.append_history(o.where(F.col("o_orderkey") % 2 == 0), path)
     sinks.append_history(o.where(F.col("o_orderkey") % 2 == 1), path)
     return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- summary extras
+@query("sample_values")
+def q_samples(spark, sf_dir):
+    """A4: five smallest distinct values of every lineitem column (with gaps)."""
+    return prof.sample_values(fixture(spark, sf_dir, "lineitem_gaps"))
+
+
+@query("memory_estimate")
+def q_memory(spark, sf_dir):
+    """A1 + A16: rows, columns and the memory estimate of lineitem with gaps."""
+    df = fixture(spark, sf_dir, "lineitem_gaps")
+    return rounded(spark.createDataFrame(
+        [(prof.row_count(df), len(df.columns), prof.memory_estimate_mb(df))],
+        "n_rows long, n_columns int, memory_mb double"))
+
+
+@query("profile_insights")
+def q_insights(spark, sf_dir):
+    """Top missing / outlier columns and strongest correlations."""
+    df = fixture(spark, sf_dir, "lineitem_gaps")
+    ins = prof.insights(prof.missing_summary(df), prof.numeric_profile(df, LINEITEM_NUMERIC),
+                        prof.correlations(df, LINEITEM_NUMERIC, keep_all=True))
+    return rounded(ins)
+
+
+@query("class_counts")
+def q_class_counts(spark, sf_dir):
+    """Class counts of the order status (stratification input)."""
+    return prof.class_counts(table(spark, sf_dir, "orders"), "o_orderstatus")
+
+
+@query("prep_report")
+def q_prep_report(spark, sf_dir):
+    """T8 + A17: columns added / removed and missing values before and after
+    preparation of orders with gaps."""
+    og = fixture(spark, sf_dir, "orders_gaps")
+    fp, out = pp.fit(og, ORDERS_PLAN, _orders_config())
+    feats = [c for c in og.columns if c not in ("o_orderstatus", "o_orderkey")]
+    before = og.select(*feats).agg(*[F.count_if(F.col(c).isNull()) for c in feats]).first()
+    after = out.agg(*[F.count_if(F.col(f"`{c}`").isNull()) for c in out.columns]).first()
+    rows = [("added", c, None) for c in fp.report["columns_added"]]
+    rows += [("removed", c, None) for c in fp.report["columns_removed"]]
+    rows += [("missing_before", None, int(sum(before))), ("missing_after", None, int(sum(after)))]
+    return spark.createDataFrame(rows, "item string, column_name string, n long")
