@@ -24,7 +24,7 @@ def dbscan(df: DataFrame, id_col: str, features, eps: float = 0.5, min_samples:
            index: PivotIndex | None = None) -> DataFrame:
     """Returns (id, cluster) for every row of ``df``; ids must be orderable."""
     idx = index or PivotIndex(df, id_col, features)
-    pairs = cut_lineage(range_pairs(idx, df, id_col, features, eps).select(
+    pairs = cut_lineage(range_pairs(idx, df, id_col, features, eps, self_join=index is None).select(
         F.col("qid").alias("a"), F.col("rid").alias("b")))       # includes (a, a)
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     core = counts.where(F.col("n") >= min_samples).select(F.col("a").alias("id"))
