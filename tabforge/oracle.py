@@ -667,3 +667,29 @@ UNION ALL SELECT 'missing_before', NULL,
                  + CASE WHEN o_orderdate IS NULL THEN 1 ELSE 0 END + CASE WHEN o_orderpriority IS NULL THEN 1 ELSE 0 END)
         FROM orders_gaps)
 UNION ALL SELECT 'missing_after', NULL, 0"""
+
+
+def _correlated_sql() -> str:
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "qty_copy", "price_copy", "flag_rare"]
+    pairs = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols[i + 1:], i + 1):
+            pairs.append(f"SELECT {i + 1} AS ai, {j + 1} AS bi, CORR(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r "
+                         f"FROM lineitem_selection")
+    names = ", ".join(f"({i + 1}, '{c}')" for i, c in enumerate(cols))
+    return fixture_cte("lineitem_selection")[:-1] + f""",
+cols(i, name) AS (VALUES {names}),
+hi AS (SELECT ai, bi FROM ({' UNION ALL '.join(pairs)}) WHERE r IS NOT NULL AND ABS(r) > 0.95),
+g(j, kept) AS (
+  SELECT 0, CAST([] AS INTEGER[])
+  UNION ALL
+  SELECT g.j + 1,
+         CASE WHEN EXISTS (SELECT 1 FROM hi WHERE hi.bi = g.j + 1 AND list_contains(g.kept, hi.ai))
+              THEN g.kept ELSE list_append(g.kept, g.j + 1) END
+  FROM g WHERE g.j < {len(cols)})
+SELECT name AS column_name FROM cols, (SELECT kept FROM g WHERE j = {len(cols)}) k
+WHERE NOT list_contains(k.kept, cols.i)"""
+
+
+ORACLE["drop_correlated"] = "WITH RECURSIVE " + _correlated_sql()[len("WITH "):]
+ORACLE["prediction_history"] = "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus"

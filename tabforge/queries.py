@@ -693,8 +693,9 @@ def q_history(spark, sf_dir):
     """Append two batches to a history table; count and last 10."""
     path = stm.scratch(spark, "history")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    sinks.append_history(o.where(F.col("o_orderkey") % 2 == 0), path)
-    sinks.append_history(o.where(F.col("o_orderkey") % 2 == 1), path)
+    # two batches that together hold every order: finished ones, then the rest
+    sinks.append_history(o.where(F.col("o_orderstatus") == "F"), path)
+    sinks.append_history(o.where(F.col("o_orderstatus") != "F"), path)
     return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
