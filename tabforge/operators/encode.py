@@ -117,21 +117,84 @@ def apply_onehot(df: DataFrame, levels: dict[str, list[str]], drop_last: bool =
     return df.select(*keep, *new)
 
 
-# ------------------------------------------------------------------ frequency
-def fit_frequency(df: DataFrame, cols: list[str], store_dir: str | None = None) -> list[LevelMap]:
-    """Level -> share of rows (partial aggregation per level)."""
-    if not cols:
-        return []
+# ------------------------------------------------------------------ shared level table
+def _levels(df: DataFrame, cols: list[str], target: str | None = None) -> DataFrame:
+    """(column_name, level, n, n_y, sum_y) for every level of every column in
+    one grouped pass (partial aggregation: a hot level costs one row per task)."""
+    y = col(target).cast("double") if target else F.lit(None).cast("double")
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), as_level(c).alias("level")) for c in cols])).alias("e"),
+        y.alias("__y")).select("e.*", "__y")
+    return long.groupBy("column_name", "level").agg(
+        F.count(F.lit(1)).alias("n"), F.count("__y").alias("n_y"), F.sum("__y").alias("sum_y"))
+
+
+def _fit_maps(df: DataFrame, cols: list[str], value: str, value_type: str, default,
+              store_dir: str | None, target: str | None = None, sort_index: bool = False,
+              extra: dict | None = None) -> list[LevelMap]:
+    """Level maps for many columns from one level table: sizes in one small
+    job, all inline maps in one collect, large maps written per column."""
+    from pyspark import StorageLevel
     spark = df.sparkSession
-    n = df.count()
+    lv = _levels(df, cols, target).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = {r["column_name"]: (int(r["k"]), int(r["rows"])) for r in
+             lv.groupBy("column_name").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("rows")).collect()}
+    expr = F.expr(value) if isinstance(value, str) else value
+    small = [c for c in cols if sizes.get(c, (0, 0))[0] <= INLINE_LEVELS]
+    rows: dict[str, list] = {c: [] for c in small}
+    if small:
+        ctx = {c: sizes[c][1] for c in small}
+        n_lit = F.create_map(*[x for c in small for x in (F.lit(c), F.lit(float(ctx[c])))])
+        got = (lv.where(F.col("column_name").isin(small))
+                 .select("column_name", "level", expr.alias("value"), F.element_at(n_lit, F.col("column_name"))
+                         .alias("__rows"), "n", "n_y", "sum_y").collect())   # <= INLINE_LEVELS per column
+        for r in got:
+            rows[r["column_name"]].append(r)
     out = []
     for c in cols:
-        t = (df.groupBy(as_level(c).alias("level")).count()
-               .select("level", (F.col("count") / F.lit(float(n))).alias("value")))
-        out.append(_materialise(spark, c, t, "double", 0.0, store_dir))
+        k, n_rows = sizes.get(c, (0, 0))
+        if c in small:
+            if sort_index:
+                pairs = [(lvl, i) for i, lvl in enumerate(sorted(r["level"] for r in rows[c]))]
+            else:
+                pairs = [(r["level"], _finish(r, value_type, n_rows, extra)) for r in rows[c]]
+            out.append(LevelMap(c, value_type, pairs, None, k, default))
+            continue
+        one = lv.where(F.col("column_name") == c)
+        if sort_index:
+            table = (one.select("level").orderBy("level").rdd.zipWithIndex()
+                     .map(lambda p: (p[0]["level"], int(p[1]))).toDF("level string, value bigint"))
+        else:
+            table = one.select("level", _finish_col(value_type, n_rows, extra).alias("value"))
+        out.append(_materialise(spark, c, table, value_type, default, store_dir))
+    lv.unpersist()
     return out
 
 
+def _finish(r, value_type: str, n_rows: int, extra: dict | None):
+    if extra and extra.get("kind") == "target":
+        m, g = extra["smoothing"], extra["mean"]
+        mu = (r["sum_y"] / r["n_y"]) if r["n_y"] else g
+        return (r["n_y"] * mu + m * g) / (r["n_y"] + m)
+    return r["n"] / float(n_rows)
+
+
+def _finish_col(value_type: str, n_rows: int, extra: dict | None):
+    if extra and extra.get("kind") == "target":
+        m, g = extra["smoothing"], extra["mean"]
+        mu = F.coalesce(F.col("sum_y") / F.col("n_y"), F.lit(g))
+        return (F.col("n_y") * mu + F.lit(m * g)) / (F.col("n_y") + F.lit(m))
+    return F.col("n") / F.lit(float(n_rows))
+
+
+# ------------------------------------------------------------------ frequency
+def fit_frequency(df: DataFrame, cols: list[str], store_dir: str | None = None) -> list[LevelMap]:
+    """Level -> share of rows; unseen -> 0."""
+    if not cols:
+        return []
+    return _fit_maps(df, cols, "n", "double", 0.0, store_dir)
+
+
 # ------------------------------------------------------------------ label
 def fit_label(df: DataFrame, cols: list[str], store_dir: str | None = None) -> list[LevelMap]:
     """R12 'label': index of the level in sorted order (0-based); unseen -> -1.
@@ -139,20 +202,9 @@ def fit_label(df: DataFrame, cols: list[str], store_dir: str | None = None) -> l
     Small level sets are sorted on the driver; large ones are range-sorted and
     numbered with ``zipWithIndex`` (no global window, so no single task holds
     all levels)."""
-    spark = df.sparkSession
-    out = []
-    for c in cols:
-        levels = df.select(as_level(c).alias("level")).distinct()
-        n = levels.count()
-        if n <= INLINE_LEVELS:
-            rows = [(lv, float(i)) for i, lv in enumerate(sorted(r["level"] for r in levels.collect()))]
-            out.append(LevelMap(c, "bigint", [(lv, int(i)) for lv, i in rows], None, n, -1))
-            continue
-        indexed = (levels.orderBy("level").rdd.zipWithIndex()
-                   .map(lambda p: (p[0]["level"], int(p[1])))
-                   .toDF("level string, value bigint"))
-        out.append(_materialise(spark, c, indexed, "bigint", -1, store_dir))
-    return out
+    if not cols:
+        return []
+    return _fit_maps(df, cols, "n", "bigint", -1, store_dir, sort_index=True)
 
 
 # ------------------------------------------------------------------ target
@@ -160,17 +212,11 @@ def fit_target(df: DataFrame, cols: list[str], target: str, smoothing: float = 1
                store_dir: str | None = None) -> list[LevelMap]:
     """R12 'target': smoothed mean of the target per level,
     (n_l * mean_l + m * mean) / (n_l + m); unseen -> the global mean."""
-    spark = df.sparkSession
-    y = col(target).cast("double")
-    g = df.agg(F.avg(y).alias("m")).first()["m"]
-    out = []
-    for c in cols:
-        t = (df.groupBy(as_level(c).alias("level"))
-               .agg(F.count(y).alias("n"), F.avg(y).alias("mu"))
-               .select("level", ((F.col("n") * F.coalesce(F.col("mu"), F.lit(g)) + F.lit(smoothing * g))
-                                 / (F.col("n") + F.lit(smoothing))).alias("value")))
-        out.append(_materialise(spark, c, t, "double", g, store_dir))
-    return out
+    if not cols:
+        return []
+    g = df.agg(F.avg(col(target).cast("double")).alias("m")).first()["m"]
+    return _fit_maps(df, cols, "n", "double", g, store_dir, target=target,
+                     extra={"kind": "target", "smoothing": smoothing, "mean": g})
 
 
 def level_column_name(c: str, level: str) -> str:

@@ -124,3 +124,24 @@ def test_constant_and_duplicates_shared_passes(spark):
     assert dup == ["b"]
     assert select.quasi_constant(df, tol=0.99) == const
     assert [c for c in select.duplicates(df) if c not in const] == dup
+
+
+def test_large_level_maps_written_and_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"v{i % 7}", float(i)) for i in range(70)], "id long, c string, y double")
+    inline = {
+        "freq": {r.id: r.c for r in encode.join_levels(df, encode.fit_frequency(df, ["c"])).collect()},
+        "label": {r.id: r.c for r in encode.join_levels(df, encode.fit_label(df, ["c"])).collect()},
+        "target": {r.id: r.c for r in encode.join_levels(df, encode.fit_target(df, ["c"], "y")).collect()},
+    }
+    monkeypatch.setattr(encode, "INLINE_LEVELS", 3)
+    monkeypatch.setattr(encode, "BROADCAST_LEVELS", 3)
+    maps = encode.fit_frequency(df, ["c"])
+    assert maps[0].rows is None and maps[0].path
+    big = {
+        "freq": {r.id: r.c for r in encode.join_levels(df, maps).collect()},
+        "label": {r.id: r.c for r in encode.join_levels(df, encode.fit_label(df, ["c"])).collect()},
+        "target": {r.id: r.c for r in encode.join_levels(df, encode.fit_target(df, ["c"], "y")).collect()},
+    }
+    assert big["label"] == inline["label"]
+    for k in ("freq", "target"):
+        assert big[k] == pytest.approx(inline[k])
