@@ -180,11 +180,10 @@ def correlations(df: DataFrame, cols: list[str] | None = None,
     schema = "pair string, column_a string, column_b string, correlation double"
     if not pairs:
         return spark.createDataFrame([], schema)
-    row = df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"r{k}")
-                   for k, (a, b) in enumerate(pairs)]).first()
+    vals = pair_correlations(df, pairs)
     rows = []
     for k, (a, b) in enumerate(pairs):
-        r = row[f"r{k}"]
+        r = vals[k]
         if r is None:
             continue
         if keep_all or abs(r) > threshold:
@@ -192,6 +191,22 @@ def correlations(df: DataFrame, cols: list[str] | None = None,
     return spark.createDataFrame(rows, schema)
 
 
+MAX_PAIRS_PER_PASS = 2000   # aggregate expressions per pass for wide tables
+
+
+def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> list[float | None]:
+    """Pearson r per pair (pairwise-complete, as the ``corr`` aggregate).  At
+    most ``MAX_PAIRS_PER_PASS`` pairs per aggregate pass, so a wide table
+    takes several bounded passes instead of one huge expression."""
+    out: list[float | None] = []
+    for s in range(0, len(pairs), MAX_PAIRS_PER_PASS):
+        chunk = pairs[s:s + MAX_PAIRS_PER_PASS]
+        row = df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"r{k}")
+                       for k, (a, b) in enumerate(chunk)]).first()
+        out += [row[f"r{k}"] for k in range(len(chunk))]
+    return out
+
+
 def missing_summary(df: DataFrame) -> DataFrame:
     """(column_name, n_missing, missing_pct) for every column in one pass."""
     spark = df.sparkSession

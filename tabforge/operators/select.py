@@ -145,9 +145,8 @@ def correlated(df: DataFrame, cols: list[str] | None = None,
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     if not pairs:
         return []
-    r = df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"r{k}")
-                 for k, (a, b) in enumerate(pairs)]).first()
-    corr = {(a, b): r[f"r{k}"] for k, (a, b) in enumerate(pairs)}
+    from tabforge.operators.profile import pair_correlations
+    corr = dict(zip(pairs, pair_correlations(df, pairs)))
     dropped: set[str] = set()
     for i, a in enumerate(cols):
         if a in dropped:

@@ -81,3 +81,14 @@ def test_quality_score(spark):
     r = prof.quality_score(miss, num, 5).first()
     assert r.total_missing_percentage == pytest.approx(round((0 + 20 + 20) / 3, 2))
     assert r.quality_band in ("Excellent", "Good", "Needs attention")
+
+
+def test_correlations_chunked_equal_single_pass(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame(rng.normal(size=(200, 5)), columns=list("abcde"))
+    pdf["f"] = pdf["a"] * 2 + 0.01 * rng.normal(size=200)
+    df = spark.createDataFrame(pdf)
+    one = {r.pair: r.correlation for r in prof.correlations(df, keep_all=True).collect()}
+    monkeypatch.setattr(prof, "MAX_PAIRS_PER_PASS", 2)
+    many = {r.pair: r.correlation for r in prof.correlations(df, keep_all=True).collect()}
+    assert one == pytest.approx(many) and len(one) == 15
