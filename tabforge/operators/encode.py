@@ -91,15 +91,15 @@ def fit_onehot(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), as_level(c).alias("level")) for c in cols])).alias("e"))
     grouped = long.select("e.*").distinct()
-    counts = {r["column_name"]: r["n"] for r in
-              grouped.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
-    too_many = {c: n for c, n in counts.items() if n > MAX_ONEHOT_LEVELS}
-    if too_many:
-        raise ValueError(f"one-hot would create too many columns {too_many}; "
-                         f"use frequency or label encoding for these columns")
+    cap = MAX_ONEHOT_LEVELS * len(cols)
+    got = grouped.limit(cap + 1).collect()   # one bounded job
     levels: dict[str, list[str]] = {c: [] for c in cols}
-    for r in grouped.collect():  # <= MAX_ONEHOT_LEVELS per column
+    for r in got:
         levels[r["column_name"]].append(r["level"])
+    too_many = {c: len(v) for c, v in levels.items() if len(v) > MAX_ONEHOT_LEVELS}
+    if too_many or len(got) > cap:
+        raise ValueError(f"one-hot would create too many columns {too_many or cols}; "
+                         f"use frequency or label encoding for these columns")
     return {c: sorted(v) for c, v in levels.items()}
 
 
