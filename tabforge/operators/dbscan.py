@@ -1,7 +1,18 @@
-"""DBSCAN (M14): eps-neighbourhoods by an exact pivot-pruned range join,
-core points by neighbour counts, clusters as connected components of the
-core graph (min-label propagation), border points attached to the smallest
-neighbouring core label, the rest noise (-1).
+"""DBSCAN (M14) without materialising every pair within eps.
+
+1. Eps-neighbour counts: the pivot-pruned block join (see ``neighbors``)
+   emits one count per query and block, never the pairs; core points are
+   those with at least ``min_samples`` neighbours (the point included).
+2. Core connectivity: inside each block the components of the core-core
+   eps-graph are found by union-find and emitted as stars (each member
+   linked to the component's smallest id): at most |Q| + |R| edges instead
+   of |Q| x |R|.  The union of the per-block stars has exactly the
+   connected components of the union of the block graphs, so clusters are
+   exact; components come from min-label propagation with pointer jumping,
+   checkpointed every round.
+3. Border points have fewer than ``min_samples`` neighbours, so their core
+   neighbour lists are bounded; each takes the smallest neighbouring label.
+   The rest is noise (-1).
 
 Labels are numbered 0.. in order of the smallest point id of each cluster,
 which is the discovery order of a scan in id order.
@@ -9,32 +20,99 @@ which is the discovery order of a scan in id order.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions.columns import col
-from tabforge.operators.neighbors import PivotIndex, range_pairs
+from tabforge.operators.neighbors import PivotIndex, _exact_dist, _stack
 from tabforge.session import cut_lineage
 
 MAX_ITER = 200
 INLINE_LABELS = 100_000
 
 
+def _count_fn(eps: float):
+    def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or r.empty:
+            return pd.DataFrame({"qid": [], "n": []})
+        d = _exact_dist(_stack(q["x"]), _stack(r["x"]))
+        return pd.DataFrame({"qid": q["qid"].to_numpy(), "n": (d <= eps).sum(axis=1).astype("int64")})
+    return fn
+
+
+def _forest_fn(eps: float):
+    """Spanning forest of the core-core eps-graph of one block."""
+    def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        q = q[q["core"]]
+        r = r[r["core"]]
+        if q.empty or r.empty:
+            return pd.DataFrame({"a": [], "b": []})
+        d = _exact_dist(_stack(q["x"]), _stack(r["x"]))
+        qi, ri = np.nonzero(d <= eps)
+        qid, rid = q["qid"].to_numpy(), r["rid"].to_numpy()
+        parent: dict = {}
+
+        def find(v):
+            root = v
+            while parent.get(root, root) != root:
+                root = parent[root]
+            while parent.get(v, v) != root:      # path compression
+                parent[v], v = root, parent[v]
+            return root
+        for i, j in zip(qi, ri):
+            a, b = int(qid[i]), int(rid[j])
+            if a == b:
+                continue
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        # a star per block component: every member linked to the component's
+        # smallest id (same connectivity, paths of length <= 2 inside a block)
+        ea = [v for v in parent if find(v) != v]
+        eb = [find(v) for v in ea]
+        return pd.DataFrame({"a": np.array(ea, dtype="int64"), "b": np.array(eb, dtype="int64")})
+    return fn
+
+
+def _border_fn(eps: float):
+    """For non-core queries: their core neighbours (fewer than min_samples)."""
+    def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        q = q[~q["core"]]
+        r = r[r["core"]]
+        if q.empty or r.empty:
+            return pd.DataFrame({"a": [], "b": []})
+        d = _exact_dist(_stack(q["x"]), _stack(r["x"]))
+        qi, ri = np.nonzero(d <= eps)
+        return pd.DataFrame({"a": q["qid"].to_numpy()[qi], "b": r["rid"].to_numpy()[ri]})
+    return fn
+
+
 def dbscan(df: DataFrame, id_col: str, features, eps: float = 0.5, min_samples: int = 5,
            index: PivotIndex | None = None) -> DataFrame:
-    """Returns (id, cluster) for every row of ``df``; ids must be orderable."""
+    """Returns (id, cluster) for every row of ``df``; ids must be integers."""
     idx = index or PivotIndex(df, id_col, features)
-    pairs = cut_lineage(range_pairs(idx, df, id_col, features, eps, self_join=index is None).select(
-        F.col("qid").alias("a"), F.col("rid").alias("b")))       # includes (a, a)
-    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    core = counts.where(F.col("n") >= min_samples).select(F.col("a").alias("id"))
-    core = cut_lineage(core)
-    edges = (pairs.join(core.withColumnRenamed("id", "a"), "a")
-                  .join(core.withColumnRenamed("id", "b"), "b")
-                  .where(F.col("a") != F.col("b")).select("a", "b"))
-    edges = cut_lineage(edges)
-    labels = core.select("id", F.col("id").alias("lbl"))
-    for i in range(MAX_ITER):
+    q = idx.as_queries() if index is None else idx.locate(df, id_col, features).drop("dq")
+    cand = cut_lineage(idx.candidates(
+        q.select("qid", "x", F.lit(-1).alias("own"), F.lit(float(eps)).alias("lim"))))
+    # 1. neighbour counts -> core flags
+    counts = idx.pairs(cand, fn=_count_fn(eps), schema="qid long, n long")
+    flags = cut_lineage(counts.groupBy("qid").agg(F.sum("n").alias("n"))
+                        .select(F.col("qid").alias("id"), (F.col("n") >= min_samples).alias("core")))
+    # each side gets its own derived flag column (distinct attributes for the cogroup)
+    cand_f = cand.join(flags.select(F.col("id").alias("qid"), F.coalesce("core", F.lit(False)).alias("core")),
+                       "qid")
+    pts_f = idx.points.join(flags.select(F.col("id").alias("rid"),
+                                         F.coalesce("core", F.lit(False)).alias("core")), "rid")
+    # 2. spanning-forest edges between core points
+    forest = idx.pairs(cand_f, fn=_forest_fn(eps), schema="a long, b long", points=pts_f,
+                       q_extra=["core"], r_extra=["core"])
+    edges = cut_lineage(forest.unionByName(forest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                        .distinct())
+    core = flags.where("core").select("id")
+    labels = cut_lineage(core.select("id", F.col("id").alias("lbl")))
+    for _ in range(MAX_ITER):
         nb = (edges.join(labels.withColumnRenamed("id", "b").withColumnRenamed("lbl", "nl"), "b")
                    .groupBy("a").agg(F.min("nl").alias("nl")))
         new = (labels.join(nb.withColumnRenamed("a", "id"), "id", "left")
@@ -49,23 +127,22 @@ def dbscan(df: DataFrame, id_col: str, features, eps: float = 0.5, min_samples:
         labels = new
         if changed == 0:
             break
-    # border points: not core, with a core neighbour -> smallest core label
-    border = (pairs.join(labels.withColumnRenamed("id", "b"), "b")
-                   .join(core.withColumnRenamed("id", "a"), "a", "left_anti")
-                   .groupBy("a").agg(F.min("lbl").alias("lbl"))
-                   .withColumnRenamed("a", "id"))
+    # 3. border points: smallest label among their (few) core neighbours
+    near = idx.pairs(cand_f, fn=_border_fn(eps), schema="a long, b long", points=pts_f,
+                     q_extra=["core"], r_extra=["core"])
+    border = (near.join(labels.withColumnRenamed("id", "b"), "b")
+                  .groupBy("a").agg(F.min("lbl").alias("lbl")).withColumnRenamed("a", "id"))
     assigned = labels.unionByName(border)
     comps = assigned.select("lbl").distinct()
     n = comps.count()
     spark = df.sparkSession
     if n <= INLINE_LABELS:
         order = sorted(r["lbl"] for r in comps.collect())
-        num = spark.createDataFrame([(v, i) for i, v in enumerate(order)],
-                                    schema=f"lbl {labels.schema['lbl'].dataType.simpleString()}, cluster int")
-        num = F.broadcast(num)
+        num = F.broadcast(spark.createDataFrame([(int(v), i) for i, v in enumerate(order)],
+                                                "lbl long, cluster int"))   # <= INLINE_LABELS rows
     else:
         num = (comps.orderBy("lbl").rdd.zipWithIndex()
-               .map(lambda p: (p[0]["lbl"], int(p[1]))).toDF(["lbl", "cluster"]))
+               .map(lambda p: (int(p[0]["lbl"]), int(p[1]))).toDF("lbl long, cluster int"))
     out = assigned.join(num, "lbl").select("id", "cluster")
-    return (df.select(col(id_col).alias("id")).join(out, "id", "left")
+    return (df.select(col(id_col).cast("long").alias("id")).join(out, "id", "left")
               .select(F.col("id").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("cluster")))
