@@ -693,3 +693,24 @@ WHERE NOT list_contains(k.kept, cols.i)"""
 
 ORACLE["drop_correlated"] = "WITH RECURSIVE " + _correlated_sql()[len("WITH "):]
 ORACLE["prediction_history"] = "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus"
+
+
+def _infer_types_sql() -> str:
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    parts = []
+    for c in cols:
+        v = f"TRIM(CAST({c} AS VARCHAR))"
+        parts.append(f"""SELECT '{c}' AS column_name, COUNT({v}) AS n,
+            COUNT(*) FILTER (WHERE regexp_full_match({v}, '[+-]?[0-9]+')
+                             AND TRY_CAST({v} AS BIGINT) IS NOT NULL) AS nl,
+            COUNT(TRY_CAST({v} AS DOUBLE)) AS nd,
+            COUNT(*) FILTER (WHERE LOWER({v}) IN ('true', 'false')) AS nb,
+            COUNT(TRY_CAST({v} AS TIMESTAMP)) AS nt, COUNT(DISTINCT {v}) AS nu FROM orders""")
+    return f"""WITH s AS ({' UNION ALL '.join(parts)}),
+t AS (SELECT column_name, CASE WHEN nl = n THEN 'bigint' WHEN nd = n THEN 'double'
+                               WHEN nb = n THEN 'boolean' WHEN nt = n THEN 'timestamp'
+                               WHEN nu < 0.5 * n THEN 'category' ELSE 'string' END AS inferred FROM s)
+SELECT column_name, inferred, CASE WHEN inferred = 'category' THEN 'string' ELSE inferred END AS applied FROM t"""
+
+
+ORACLE["infer_types"] = _infer_types_sql()
