@@ -714,3 +714,71 @@ SELECT column_name, inferred, CASE WHEN inferred = 'category' THEN 'string' ELSE
 
 
 ORACLE["infer_types"] = _infer_types_sql()
+
+
+def _plan_rules_sql() -> str:
+    """T3 rules over the customer profile (target c_mktsegment excluded):
+    per-column statistics, then each plan entry derived from them."""
+    num = {"c_custkey": True, "c_nationkey": True, "c_acctbal": False}   # column -> integer type
+    txt = ["c_name"]
+    parts = []
+    for c, is_int in num.items():
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(f"""
+        SELECT '{c}' AS column_name, 'num' AS kind, {str(is_int).upper()} AS is_int,
+               COUNT(*) AS n_rows, COUNT(*) - COUNT({x}) AS n_missing, COUNT(DISTINCT {x}) AS n_distinct,
+               MIN({x}) AS mn, QUANTILE_CONT({x}, 0.25) AS q1, QUANTILE_CONT({x}, 0.75) AS q3,
+               AVG({x}) AS mean FROM customer_gaps""")
+    for c in txt:
+        parts.append(f"""
+        SELECT '{c}', 'txt', FALSE, COUNT(*), COUNT(*) - COUNT({c}), COUNT(DISTINCT {c}),
+               NULL, NULL, NULL, NULL FROM customer_gaps""")
+    cells = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS x FROM customer_gaps"
+                               for c in num)
+    return fixture_cte("customer_gaps")[:-1] + f""",
+base AS ({" UNION ALL ".join(parts)}),
+cells AS ({cells}),
+moments AS (
+  SELECT b.column_name,
+         COUNT(c.x) FILTER (WHERE c.x < b.q1 - 1.5 * (b.q3 - b.q1) OR c.x > b.q3 + 1.5 * (b.q3 - b.q1))
+           AS n_outliers,
+         AVG(POWER(c.x - b.mean, 3)) / POWER(AVG(POWER(c.x - b.mean, 2)), 1.5) AS skew
+  FROM base b JOIN cells c ON c.column_name = b.column_name AND c.x IS NOT NULL
+  GROUP BY b.column_name),
+st AS (
+  SELECT b.*, b.n_missing * 100.0 / b.n_rows AS pct, COALESCE(m.n_outliers, 0) AS n_outliers, m.skew
+  FROM base b LEFT JOIN moments m ON m.column_name = b.column_name),
+judged AS (
+  SELECT *, CONCAT_WS('; ',
+           CASE WHEN (is_int OR kind = 'txt') AND n_distinct = n_rows THEN 'identifier: every value unique' END,
+           CASE WHEN pct > 60 THEN PRINTF('%.1f%% missing values', pct) END,
+           CASE WHEN n_distinct <= 1 THEN 'constant: no variance' END) AS reason
+  FROM st),
+keep AS (SELECT * FROM judged WHERE reason = ''),
+wins AS (SELECT column_name FROM keep WHERE kind = 'num' AND n_outliers > 0)
+SELECT 'drop' AS section, column_name, reason AS value FROM judged WHERE reason <> ''
+UNION ALL SELECT 'keep', column_name,
+                 CASE WHEN pct < 5 THEN 'high' WHEN pct < 30 THEN 'medium' ELSE 'low' END FROM keep
+UNION ALL SELECT 'step_1_missing_values.numeric_strategy', '',
+                 CASE WHEN EXISTS (SELECT 1 FROM wins) THEN 'median' ELSE 'mean' END
+UNION ALL SELECT 'step_1_missing_values.categorical_strategy', '', 'mode'
+UNION ALL SELECT 'step_1_missing_values.columns_affected', column_name, '' FROM keep
+UNION ALL SELECT 'step_2_outliers.method', '', 'winsorize'
+UNION ALL SELECT 'step_2_outliers.columns_affected', column_name, '' FROM wins
+UNION ALL SELECT 'step_3_encoding.onehot_columns', column_name, '' FROM keep
+          WHERE kind = 'txt' AND n_distinct <= 10
+UNION ALL SELECT 'step_3_encoding.frequency_columns', column_name, '' FROM keep
+          WHERE kind = 'txt' AND n_distinct > 10
+UNION ALL SELECT 'step_4_transformation.log_transform', column_name, '' FROM keep
+          WHERE kind = 'num' AND ABS(skew) > 1 AND column_name NOT IN (SELECT column_name FROM wins)
+                AND COALESCE(mn, 0) > 0
+UNION ALL SELECT 'step_4_transformation.yeo_johnson', column_name, '' FROM keep
+          WHERE kind = 'num' AND ABS(skew) > 1 AND column_name NOT IN (SELECT column_name FROM wins)
+                AND COALESCE(mn, 0) <= 0
+UNION ALL SELECT 'step_5_scaling.method', '', 'standard'
+UNION ALL SELECT 'step_6_feature_selection.drop_correlated', '', 'False'
+UNION ALL SELECT 'step_6_feature_selection.correlation_threshold', '', '0.95'
+UNION ALL SELECT 'step_6_feature_selection.drop_constant', '', 'True'"""
+
+
+ORACLE["plan_rules"] = _plan_rules_sql()
