@@ -113,6 +113,9 @@ def _corr_sql(src: str, cols: list[str], threshold: float = 0.7) -> str:
 
 
 ORACLE["correlations"] = fixture_cte("lineitem_gaps")[:-1] + _corr_sql("lineitem_gaps", LINEITEM_NUMERIC)
+ORACLE["correlations_charges"] = (fixture_cte("lineitem_charges")[:-1]
+                                  + _corr_sql("lineitem_charges", ["l_quantity", "l_extendedprice", "l_discount",
+                                                                   "l_tax", "disc_price", "charge"]))
 ORACLE["correlation_pairs"] = (fixture_cte("lineitem_gaps")[:-1]
                                + _corr_sql("lineitem_gaps", LINEITEM_NUMERIC, threshold=-1.0))
 

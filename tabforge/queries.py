@@ -50,6 +50,7 @@ def rounded(df: DataFrame, coarse: dict[str, int] | None = None) -> DataFrame:
     return df.select(*out)
 
 
+CHARGE_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "disc_price", "charge"]
 LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                     "l_extendedprice", "l_discount", "l_tax"]
 LINEITEM_TEXT = ["l_returnflag", "l_linestatus"]
@@ -81,6 +82,13 @@ def q_correlations(spark, sf_dir):
     return rounded(prof.correlations(fixture(spark, sf_dir, "lineitem_gaps"), LINEITEM_NUMERIC))
 
 
+@query("correlations_charges")
+def q_correlations_charges(spark, sf_dir):
+    """A14 with pairs above the threshold: lineitem with its derived
+    discounted price and charge (which follow the extended price)."""
+    return rounded(prof.correlations(fixture(spark, sf_dir, "lineitem_charges"), CHARGE_NUMERIC))
+
+
 @query("correlation_pairs")
 def q_correlation_pairs(spark, sf_dir):
     """A14 without the threshold: the full upper triangle."""

@@ -37,6 +37,13 @@ FIXTURE_SQL = {
         SELECT event_id, user_id, ts, event_type,
                CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS value
         FROM events""",
+    "lineitem_charges": """
+        SELECT *, l_extendedprice * (1 - l_discount) AS disc_price,
+               l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge
+        FROM (SELECT l_quantity, l_extendedprice,
+                     CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_discount END AS l_discount,
+                     CASE WHEN l_linenumber = 3 THEN NULL ELSE l_tax END AS l_tax
+              FROM lineitem) g""",
     "doc_quality": """
         SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
