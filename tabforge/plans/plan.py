@@ -22,6 +22,9 @@ from tabforge.functions.columns import (INTEGRAL_TYPES, categorical_columns, col
 
 ML_TYPES = ("Supervised", "Unsupervised")
 LEARNING_TYPES = ("Regression", "Classification", "Clustering")
+# The reference's settings that are stored but read by no operator.
+PROCESSING_TYPES = ("Training-Alone", "Pre-Processes+Training")
+HARDWARE = ("CPU", "GPU", "Hybrid")
 REQUIRED_KEYS = ("columns_to_drop", "columns_to_keep", "pipeline_recommendation")
 
 # Fixed values of the reference's rules.
@@ -42,6 +45,10 @@ class TaskConfig:
     target: str | None = None
     index_column: str | None = None
     test_size: float = 0.2
+    # stored with the run (as in the reference); no operator reads them
+    processing_type: str = "Pre-Processes+Training"
+    acceleration_hardware: str = "CPU"
+    hyper_parameter_tuning: bool = False
 
     def __post_init__(self):
         if self.ml_type not in ML_TYPES:
@@ -52,6 +59,10 @@ class TaskConfig:
             raise ValueError("a supervised task needs a target column")
         if not 0.05 <= self.test_size <= 0.5:
             raise ValueError("test_size must lie in [0.05, 0.5]")
+        if self.processing_type not in PROCESSING_TYPES:
+            raise ValueError(f"processing_type must be one of {PROCESSING_TYPES}, got {self.processing_type!r}")
+        if self.acceleration_hardware not in HARDWARE:
+            raise ValueError(f"acceleration_hardware must be one of {HARDWARE}, got {self.acceleration_hardware!r}")
 
     @property
     def clustering(self) -> bool:

@@ -107,6 +107,10 @@ def test_plan_rules_and_validation(spark):
         TaskConfig("Supervised", "Classification")
     with pytest.raises(ValueError):
         TaskConfig("Supervised", "Sorting", target="x")
+    with pytest.raises(ValueError):
+        TaskConfig("Supervised", "Regression", target="x", acceleration_hardware="TPU")
+    cfg = TaskConfig("Unsupervised", "Clustering", processing_type="Training-Alone", hyper_parameter_tuning=True)
+    assert TaskConfig(**cfg.__dict__) == cfg
 
 
 def test_detect_task(spark):
