@@ -409,7 +409,8 @@ def q_reg_metrics(spark, sf_dir):
     """M17 for the prediction 'mean price of the (returnflag, linestatus) group'."""
     li = table(spark, sf_dir, "lineitem")
     g = li.groupBy("l_returnflag", "l_linestatus").agg(F.avg("l_extendedprice").alias("yhat"))
-    pred = li.join(F.broadcast(g), ["l_returnflag", "l_linestatus"])  # 6 groups
+    # no broadcast hint: AQE broadcasts the group table after measuring it
+    pred = li.join(g, ["l_returnflag", "l_linestatus"])
     return rounded(met.regression_metrics(pred, "l_extendedprice", "yhat"))
 
 
@@ -420,7 +421,7 @@ def q_cls_metrics(spark, sf_dir):
     freq = o.groupBy("o_orderpriority", "o_orderstatus").count()
     mode = freq.groupBy("o_orderpriority").agg(F.min_by("o_orderstatus", F.struct(
         (-F.col("count")).alias("c"), F.col("o_orderstatus").alias("s"))).alias("yhat"))
-    pred = o.join(F.broadcast(mode), "o_orderpriority")  # 5 groups
+    pred = o.join(mode, "o_orderpriority")  # AQE broadcasts it once measured small
     return rounded(met.classification_metrics(pred, "o_orderstatus", "yhat"))
 
 
