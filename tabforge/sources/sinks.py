@@ -38,10 +38,11 @@ def json_clean(obj):
 
 
 def write_report(df: DataFrame, path: str) -> str:
-    """A report table as JSON lines, doubles rounded and NaN/inf nulled."""
+    """A report table as JSON lines (a folder of part files, written by
+    every task: no single-task funnel), doubles rounded and NaN/inf nulled."""
     out = df.select(*[json_safe(c).alias(c) if t in ("double", "float") else F.col(f"`{c}`")
                       for c, t in df.dtypes])
-    out.coalesce(1).write.mode("overwrite").json(path)
+    out.write.mode("overwrite").json(path)
     return path
 
 

@@ -75,3 +75,13 @@ def test_stream_scoring_equals_batch(spark):
     streamed = stm.run_to_memory(stm.score_stream(s, r.prep, model, keep=["o_orderkey"]), mode="append")
     got = {x.o_orderkey: (x.prediction, x.confidence) for x in streamed.collect()}
     assert got == batch
+
+
+def test_write_report_nulls_non_finite(spark):
+    d = tempfile.mkdtemp(prefix="tabforge-report-")
+    df = spark.createDataFrame([("a", float("nan")), ("b", float("inf")), ("c", 1.23456789)],
+                               "column_name string, v double").repartition(3)
+    sinks.write_report(df, d + "/r")
+    got = {r.column_name: r.v for r in spark.read.json(d + "/r").collect()}
+    assert got["a"] is None and got["b"] is None and abs(got["c"] - 1.23456789) < 1e-4
+    assert len(got) == 3
