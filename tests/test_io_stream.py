@@ -85,3 +85,18 @@ def test_write_report_nulls_non_finite(spark):
     got = {r.column_name: r.v for r in spark.read.json(d + "/r").collect()}
     assert got["a"] is None and got["b"] is None and abs(got["c"] - 1.23456789) < 1e-4
     assert len(got) == 3
+
+
+def test_checkpoint_dir_needs_shared_folder_on_cluster():
+    """No machine-local scratch folder on a cluster: an unset setting raises."""
+    import pytest
+    from types import SimpleNamespace
+    from tabforge.session import checkpoint_dir
+    sc = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, default=None: default, set=lambda k, v: None),
+                           sparkContext=sc)
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(fake)
+    shared = SimpleNamespace(conf=SimpleNamespace(get=lambda k, default=None: "hdfs:///ckpt", set=lambda k, v: None),
+                             sparkContext=sc)
+    assert checkpoint_dir(shared) == "hdfs:///ckpt"
