@@ -19,12 +19,13 @@ column.  Here:
    from which the order statistics are read.
 
 Fast path (the common case): per column the brackets are merged into
-disjoint intervals; one ``count_if`` aggregate gives the rows below each
-interval, and one filtered pass groups only the rows inside an interval by
-value (at most ``collect_cap`` groups per interval are collected).  The counts
-prove (or refute) that an interval holds its ranks; only refuted or oversized
-brackets go through the loop above.  So the common case is 3 light Spark
-jobs, 2 when the sketch rides along in a caller's aggregate.
+disjoint intervals, and one pass places every row in a gap or an interval:
+gap rows are only counted (partial aggregation folds them per task), rows
+inside an interval are grouped by value (at most ``collect_cap`` groups per
+interval are collected).  The counts prove (or refute) that an interval holds
+its ranks; only refuted or oversized brackets go through the loop above.  So
+the common case is 2 light Spark jobs, 1 when the sketch rides along in a
+caller's aggregate.
 """
 
 from __future__ import annotations
@@ -144,10 +145,14 @@ class QuantileJob:
         return self.finish(df, df.agg(*self.sketch_aggs()).first())
 
     def _fast(self, df: DataFrame, targets: list[_Target]) -> list[_Target]:
-        """Two light passes: rows below each interval (count_if aggregate),
-        then only the rows inside an interval are grouped by value and
-        collected (at most ``collect_cap`` groups per interval).  Returns the
-        targets it could not prove (left for the slow loop)."""
+        """One light pass: per column, each row is placed in a gap between the
+        merged intervals or inside one of them.  Gap rows carry no value, so
+        partial aggregation folds them into one row per (column, gap) per
+        task; rows inside an interval are grouped by value (at most
+        ``collect_cap`` groups per interval are collected).  The rows below an
+        interval are the prefix sum of the positions before it.  Returns the
+        targets whose interval does not hold their ranks (left for the slow
+        loop)."""
         by_col: dict[str, list[_Target]] = {}
         for t in targets:
             by_col.setdefault(t.column, []).append(t)
@@ -161,39 +166,46 @@ class QuantileJob:
                 else:
                     ivs.append([t.lo, t.hi, [t]])
             layout.append((c, ivs))
-        below_aggs, entries, any_in = [], [], None
+        entries = []
         for ci, (c, ivs) in enumerate(layout):
             v = _dbl(c)
+            # position: 2k = gap below interval k, 2k + 1 = inside interval k
+            pos = None
             for k, (lo, hi, _) in enumerate(ivs):
-                below_aggs.append(F.count_if(v < F.lit(lo)).alias(f"b{ci}_{k}"))
-                inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
-                any_in = inside if any_in is None else (any_in | inside)
-                entries.append(F.when(inside, F.struct(F.lit(ci).alias("c"), F.lit(k).alias("s"),
-                                                       v.alias("v"))))
-        below = df.agg(*below_aggs).first()
+                pos = (F.when(v < F.lit(lo), F.lit(2 * k)) if pos is None
+                       else pos.when(v < F.lit(lo), F.lit(2 * k)))
+                pos = pos.when(v <= F.lit(hi), F.lit(2 * k + 1))
+            pos = pos.otherwise(F.lit(2 * len(ivs)))
+            entries.append(F.when(v.isNotNull(), F.struct(
+                F.lit(ci).alias("c"), pos.alias("s"),
+                F.when(pos % 2 == 1, v).alias("v"))))
         n_iv = sum(len(ivs) for _, ivs in layout)
-        limit = self.collect_cap * n_iv
-        grouped = (df.where(any_in).select(F.explode(F.array(*entries)).alias("e"))
+        limit = self.collect_cap * n_iv + n_iv + len(layout)   # values + gap rows
+        grouped = (df.select(F.explode(F.array(*entries)).alias("e"))
                      .where(F.col("e").isNotNull())
                      .groupBy("e.c", "e.s", "e.v").count())
         got = grouped.limit(limit + 1).collect()   # bounded by construction
         if len(got) > limit:
             return targets
+        per_pos: dict[tuple[int, int], int] = {}
         segs: dict[tuple[int, int], list[tuple]] = {}
         for r in got:
-            segs.setdefault((int(r["c"]), int(r["s"])), []).append((r["v"], int(r["count"])))
+            ci, sp, n = int(r["c"]), int(r["s"]), int(r["count"])
+            per_pos[(ci, sp)] = per_pos.get((ci, sp), 0) + n
+            if sp % 2 == 1:
+                segs.setdefault((ci, sp // 2), []).append((r["v"], n))
         slow = []
         for ci, (c, ivs) in enumerate(layout):
             for k, (lo, hi, ts) in enumerate(ivs):
-                b = int(below[f"b{ci}_{k}"])
+                b = sum(per_pos.get((ci, sp), 0) for sp in range(2 * k + 1))
                 pairs = sorted(segs.get((ci, k), []))
                 inside = sum(n for _, n in pairs)
                 for t in ts:
                     if b <= t.ranks[0] and b + inside > t.ranks[-1]:
-                        pos, j = b, 0
+                        pos_, j = b, 0
                         for rk in t.ranks:
-                            while pos + pairs[j][1] <= rk:
-                                pos += pairs[j][1]
+                            while pos_ + pairs[j][1] <= rk:
+                                pos_ += pairs[j][1]
                                 j += 1
                             t.values[rk] = float(pairs[j][0])
                     else:

@@ -82,3 +82,19 @@ def test_clip_keeps_nulls(spark):
 def test_json_safe(spark):
     df = spark.createDataFrame([(float("nan"),), (1.23456789,)], "x double")
     assert [r[0] for r in df.select(fx.json_safe("x")).collect()] == [None, 1.234568]
+
+
+def test_quantiles_many_intervals_duplicates_nulls(spark):
+    """Several disjoint brackets per column (gaps between them are counted in
+    the same pass), heavy duplicates and nulls; exact against numpy."""
+    rng = np.random.default_rng(3)
+    n = 5000
+    cont = rng.normal(size=n)
+    dup = rng.integers(0, 7, size=n).astype(float)
+    gaps = np.where(rng.random(n) < 0.3, np.nan, rng.exponential(size=n))
+    rows = [(float(a), float(b), None if np.isnan(c) else float(c)) for a, b, c in zip(cont, dup, gaps)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(4)
+    probs = [0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
+    got = exact_quantiles(df, {"a": probs, "b": probs, "c": probs}, accuracy=200)
+    for name, vals in (("a", cont), ("b", dup), ("c", gaps[~np.isnan(gaps)])):
+        assert np.allclose(got[name], np.quantile(vals, probs, method="linear"), atol=1e-12), name
