@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import exact_dedup, mixing, near_dedup, sharding
 from .common import shared_path, written
 
 REGISTRY = {}
@@ -66,3 +66,25 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"),
                       F.lit(1).alias("map_version"))
+
+
+@register
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: two-word shingles, similarity of 80 %."""
+    out = near_dedup.near_duplicates(documents(spark, sf_dir), size=2, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@register
+def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates of all documents; of equal texts the largest doc_id stays."""
+    out = exact_dedup.dedup(documents(spark, sf_dir), extra={"text_sha256": F.sha2(F.col("text").cast("binary"), 256)})
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+ORACLE["op10_exact"] = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
