@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, sharding
+from . import bpe, exact_dedup, language_id, mixing, near_dedup, sharding
 from .common import shared_path, written
 
 REGISTRY = {}
@@ -88,3 +89,20 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@register
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's token ids and the text they decode to, as digests."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.digests(bpe.decode(bpe.encode(documents(spark, sf_dir), path), path))
+
+
+@register
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of the labelled ones."""
+    docs = documents(spark, sf_dir)
+    apart = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs.where(~apart & F.col("doc_id").isNotNull()))
+    return language_id.predict(docs, model, {"held_out": apart}).select(
+        "doc_id", "held_out", "lang_pred", "score", F.size("mix").alias("n_languages"))
