@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, near_dedup, sharding
+from . import bpe, exact_dedup, language_id, mixing, near_dedup, sharding, token_counts, token_files
 from .common import shared_path, written
 
 REGISTRY = {}
@@ -106,3 +106,19 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(~apart & F.col("doc_id").isNotNull()))
     return language_id.predict(docs, model, {"held_out": apart}).select(
         "doc_id", "held_out", "lang_pred", "score", F.size("mix").alias("n_languages"))
+
+
+@register
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document through a new digest cache."""
+    out = token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"),
+                                    shared_path(spark, "token-cache"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@register
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to files and read back."""
+    folder = shared_path(spark, "token-ids")
+    index = token_files.write(documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.check(index, folder)
