@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, near_dedup, sharding, token_counts, token_files
+from . import ann, bpe, exact_dedup, html_text, language_id, mixing, near_dedup, sharding, token_counts, token_files
 from .common import shared_path, written
 
 REGISTRY = {}
@@ -108,6 +108,21 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score", F.size("mix").alias("n_languages"))
 
 
+@register
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest other vectors of every vector whose id is divisible by 50."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    graph = ann.index(vectors, 5, "vec_id", "embedding")
+    return ann.search(graph, vectors.where(F.col("vec_id") % 50 == 0), 5, "vec_id", "embedding")
+
+
+@register
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    out = html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id", "url"])
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @register
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document through a new digest cache."""
