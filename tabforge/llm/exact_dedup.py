@@ -107,7 +107,8 @@ def differing(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, ch
     Chunks are grouped by content: a group of copies has one content for each
     chunk number.
     """
-    repeated = groups.where("group_size > 1").select("scan_key", "n_bytes").distinct()
+    # a table of its own: Spark knows its size, and broadcasts it or not
+    repeated = written(groups.where("group_size > 1").select("scan_key", "n_bytes").distinct(), "repeated")
     found = _rows(docs, id_col, text_col, key).join(repeated, ["scan_key", "n_bytes"], "left_semi")
     contents = (found.select("scan_key", "n_bytes", F.explode(chunks_of(F.col("text").cast("binary"), chunk)).alias("c"))
                 .select("scan_key", "n_bytes", "c.chunk_no", "c.chunk").distinct())

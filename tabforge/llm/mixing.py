@@ -142,11 +142,15 @@ def repeats(u: Column, whole: Column, cut: Column, extra: Column) -> Column:
 def apply_mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               source_col: str = "source", seed: int = 17) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (same columns)."""
-    src, n = free_name(docs.columns, "mix_source"), free_name(docs.columns, "mix_times")
-    p = plan.select(F.col("source").alias(src), F.col("whole").alias(n), F.col("cut").alias(n + "_cut"),
-                    F.col("extra").alias(n + "_extra"))
-    d = docs.join(p, docs[source_col].cast("string").eqNullSafe(p[src]))
-    times = repeats(unit_hash(seed, docs[id_col], docs[text_col]), p[n], p[n + "_cut"], p[n + "_extra"])
-    return (d.withColumn(n, times).where(F.col(n) > 0)
-            .withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"))))
-            .select(*[docs[c] for c in docs.columns]))
+    names = list(docs.columns)
+    free = {}
+    for k in ("mix_source", "mix_whole", "mix_cut", "mix_extra", "mix_times"):
+        free[k] = free_name(names, k)
+        names.append(free[k])
+    p = plan.select(*[F.col(k[4:]).alias(free[k]) for k in list(free)[:4]])
+    own = {c: docs[f"`{c}`"] for c in docs.columns}
+    d = docs.join(p, own[source_col].cast("string").eqNullSafe(p[free["mix_source"]]))
+    times = repeats(unit_hash(seed, own[id_col], own[text_col]), *[p[free[k]] for k in ("mix_whole", "mix_cut", "mix_extra")])
+    return (d.withColumn(free["mix_times"], times).where(F.col(free["mix_times"]) > 0)
+            .withColumn(free["mix_times"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(free["mix_times"]).cast("long"))))
+            .select(*own.values()))
