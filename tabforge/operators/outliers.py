@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions.columns import col
-from tabforge.functions.quantiles import QuantileJob, exact_quantiles
+from tabforge.functions.quantiles import exact_quantiles
 from tabforge.functions.scalar import clip
+from tabforge.operators.impute import holds
 
 CAPPING_METHODS = ("iqr", "gaussian", "mad", "quantiles")
 # Fixed values of the eligibility rule: few distinct values and a low ratio.
@@ -22,11 +23,20 @@ def eligible(df: DataFrame, cols: list[str]) -> tuple[list[str], list[str]]:
         return [], []
     row = df.agg(F.count(F.lit(1)).alias("n"),
                  *[F.stddev_samp(col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)],
-                 *[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+                 *[F.approx_count_distinct(col(c), 0.02).alias(f"d{i}") for i, c in enumerate(cols)]).first()
     n = int(row["n"])
+    # the rule asks for at most 10 distinct values: only columns near that are counted exactly,
+    # from one grouped table (a distinct per column would copy every row once per column)
+    near = [c for i, c in enumerate(cols) if row[f"d{i}"] <= 4 * LOW_DISTINCT]
+    exact = {}
+    if near:
+        long = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("name"), col(c).cast("string").alias("v")) for c in near])).alias("e")).select("e.*")
+        exact = {r["name"]: int(r["n"]) for r in long.where("v is not null").distinct()
+                 .groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}
     ok, skipped = [], []
     for i, c in enumerate(cols):
-        sd, nd = row[f"s{i}"], int(row[f"d{i}"])
+        sd, nd = row[f"s{i}"], exact.get(c, 0) if c in near else int(row[f"d{i}"])
         if sd is None or sd == 0 or (nd <= LOW_DISTINCT and (nd / n if n else 0) < LOW_RATIO):
             skipped.append(c)
         else:
@@ -70,14 +80,18 @@ def fit_fences(df: DataFrame, cols: list[str], method: str = "iqr", fold: float
 
 
 def apply_clip(df: DataFrame, fences: dict[str, tuple[float | None, float | None]]) -> DataFrame:
-    """F9 on each fenced column, in place."""
+    """F9 on each fenced column, in place.  The column keeps its type where
+    that can hold both fences, else it becomes double."""
     if not fences:
         return df
-    return df.select(*[
-        clip(c, *fences[c]).cast(df.schema[c].dataType).alias(c)
-        if c in fences and df.schema[c].dataType.simpleString() != "double"
-        else (clip(c, *fences[c]).alias(c) if c in fences else col(c))
-        for c in df.columns])
+
+    def clipped(c: str):
+        if c not in fences:
+            return col(c)
+        t, x = df.schema[c].dataType, clip(c, *fences[c])
+        return (x.cast(t) if all(holds(t, v) for v in fences[c]) else x).alias(c)
+
+    return df.select(*[clipped(c) for c in df.columns])
 
 
 def remove_outside(df: DataFrame, fences: dict[str, tuple[float | None, float | None]]) -> DataFrame:
@@ -101,7 +115,3 @@ def count_outside(df: DataFrame, fences: dict[str, tuple[float, float]]) -> dict
     row = df.agg(*[F.count_if((col(c).cast("double") < F.lit(lo)) | (col(c).cast("double") > F.lit(hi)))
                    .alias(f"o{i}") for i, (c, (lo, hi)) in enumerate(fences.items())]).first()
     return {c: int(row[f"o{i}"]) for i, c in enumerate(fences)}
-
-
-def quartile_job(cols: list[str]) -> QuantileJob:
-    return QuantileJob({c: [0.25, 0.75] for c in cols})
