@@ -55,6 +55,11 @@ def quasi_constant(df: DataFrame, cols: list[str] | None = None, tol: float = CO
     return [c for c in cols if c in out]
 
 
+def _print(c: str):
+    """Fingerprint of a column; summed as a decimal, which no row count overflows."""
+    return F.sum(F.xxhash64(F.col("__h"), col(c).cast("string")).cast("decimal(38,0)"))
+
+
 def duplicates(df: DataFrame, cols: list[str] | None = None) -> list[str]:
     """Columns equal (null-safe, row by row) to an earlier column; keep first.
 
@@ -68,8 +73,7 @@ def duplicates(df: DataFrame, cols: list[str] | None = None) -> list[str]:
     rowh = F.xxhash64(*[col(c) for c in cols])
     types = {c: df.schema[c].dataType.simpleString() for c in cols}
     fp = df.select(rowh.alias("__h"), *[col(c) for c in cols]).agg(*[
-        F.sum(F.xxhash64(F.col("__h"), col(c).cast("string")) % F.lit(1 << 40)).alias(f"f{i}")
-        for i, c in enumerate(cols)]).first()
+        _print(c).alias(f"f{i}") for i, c in enumerate(cols)]).first()
     groups: dict[tuple, list[str]] = {}
     for i, c in enumerate(cols):
         groups.setdefault((fp[f"f{i}"],), []).append(c)
@@ -85,21 +89,22 @@ def duplicates(df: DataFrame, cols: list[str] | None = None) -> list[str]:
     return [c for c in cols if c in dup]
 
 
-def constant_and_duplicates(df: DataFrame, cols: list[str], tol: float = CONSTANT_TOL,
+def constant_and_duplicates(df: DataFrame, cols: list[str], tol: float | None = CONSTANT_TOL,
                             drop_dup: bool = True, accuracy: int = 10000) -> tuple[list[str], list[str]]:
     """R18 + R19 sharing their passes: one aggregate holds the quantile probes
     of every numeric column and the fingerprint of every column; a second one
     confirms the constant candidates and the duplicate pairs together.
-    Duplicates are looked for among the columns that are not constant."""
-    num = [c for c in cols if c in set(numeric_columns(df))]
-    txt = [c for c in cols if c not in num]
+    Duplicates are looked for among the columns that are not constant; with
+    ``tol`` None no column counts as constant."""
+    num = [c for c in cols if c in set(numeric_columns(df))] if tol is not None else []
+    txt = [c for c in cols if c not in num] if tol is not None else []
+    tol = 1.0 if tol is None else tol
     lo_p, hi_p = min(0.5, 1.0 - tol + 2.0 / accuracy), max(0.5, tol - 2.0 / accuracy)
     rowh = F.xxhash64(*[col(c) for c in cols])
     aggs = [F.percentile_approx(col(c).cast("double"), [lo_p, hi_p], accuracy).alias(f"p{i}")
             for i, c in enumerate(num)]
     if drop_dup and len(cols) >= 2:
-        aggs += [F.sum(F.xxhash64(F.col("__h"), col(c).cast("string")) % F.lit(1 << 40)).alias(f"f{i}")
-                 for i, c in enumerate(cols)]
+        aggs += [_print(c).alias(f"f{i}") for i, c in enumerate(cols)]
     base = df.select(rowh.alias("__h"), *[col(c) for c in cols])
     r1 = base.agg(*aggs).first() if aggs else None
     cand: dict[str, object] = {}

@@ -12,10 +12,12 @@ row-wise, so it keeps the row count, and the same code scores a stream.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, TimestampNTZType, TimestampType
 
 from tabforge.functions.columns import col, normalise_missing, numeric_columns
 from tabforge.functions.quantiles import exact_quantiles
@@ -36,6 +38,26 @@ def sanitise(name: str) -> str:
     return name
 
 
+def as_numbers(df: DataFrame, skip: list[str]) -> DataFrame:
+    """Booleans as 0 and 1, dates as days and timestamps as seconds since 1970, so that the steps for
+    numbers apply to them."""
+    def number(f):
+        if f.name in skip:
+            return col(f.name)
+        if isinstance(f.dataType, BooleanType):
+            return col(f.name).cast("int").alias(f.name)
+        if isinstance(f.dataType, DateType):
+            return F.unix_date(col(f.name)).alias(f.name)
+        if isinstance(f.dataType, (TimestampType, TimestampNTZType)):
+            return (F.unix_micros(col(f.name).cast("timestamp")) / F.lit(1e6)).alias(f.name)
+        return col(f.name)
+
+    kinds = (BooleanType, DateType, TimestampType, TimestampNTZType)
+    if not any(isinstance(f.dataType, kinds) and f.name not in skip for f in df.schema.fields):
+        return df
+    return df.select(*[number(f) for f in df.schema.fields])
+
+
 @dataclass
 class FittedPrep:
     config: dict
@@ -80,7 +102,8 @@ class FittedPrep:
         if cfg.index_column and cfg.index_column in df.columns:
             df = df.drop(cfg.index_column)
         if 0 < stop:
-            df = df.drop(*[c for c in self.dropped if c in df.columns])
+            df = as_numbers(df.drop(*[c for c in self.dropped if c in df.columns]),
+                            [self.target["name"]] if self.target else [])
         if 1 < stop:
             df = impute.apply_fill(df, {**self.num_fill, **self.cat_fill})
             for spec in self.fill_steps:
@@ -113,7 +136,9 @@ class FittedPrep:
 
     def transform(self, df: DataFrame, keep_target: bool = True) -> DataFrame:
         """Prepared rows: never drops a row (R22); the target, when present
-        and ``keep_target``, is encoded with the fitted state (R25)."""
+        and ``keep_target``, is encoded with the fitted state (R25).  Row by
+        row, except that forward and backward fills look at the rows around
+        (and so refuse a stream)."""
         df = normalise_missing(df)
         tstate = self.target_state
         if tstate and tstate.name in df.columns:
@@ -125,6 +150,40 @@ class FittedPrep:
             keep.append(tstate.name)
         return out.select(*[col(c) for c in keep])
 
+    def transform_checked(self, df: DataFrame, action: Callable[[DataFrame], object]) -> DataFrame:
+        """``transform`` whose contract is checked while ``action`` (a write, say) runs: as many
+        rows out as in, and no null in a feature.  Counted on the way, without a pass of its own."""
+        before, after = Observation(), Observation()
+        out = self.transform(df.observe(before, F.count(F.lit(1)).alias("rows")))
+        features = [c for c in self.output_columns if c in out.columns]
+        out = out.observe(after, F.count(F.lit(1)).alias("rows"),
+                          *[F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(features)])
+        action(out)
+        got = after.get
+        if got["rows"] != before.get["rows"]:
+            raise ValueError(f"{before.get['rows']} rows became {got['rows']}")
+        holes = {c: got[f"n{i}"] for i, c in enumerate(features) if got[f"n{i}"]}
+        if holes:
+            raise ValueError(f"prepared features hold nulls: {holes}")
+        return out
+
+    def preparation_report(self, df: DataFrame) -> DataFrame:
+        """(field, value) rows on shapes, missing values before and after, and the target."""
+        def shape(frame: DataFrame, names: list[str]) -> tuple[int, int]:
+            row = frame.agg(F.count(F.lit(1)).alias("rows"),
+                            *[F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(names)]).first()
+            return row["rows"], sum(row[f"n{i}"] for i in range(len(names)))
+
+        raw = normalise_missing(df)
+        features = [c for c in self.input_columns if c in raw.columns and c != (self.target or {}).get("name")]
+        (rows, missing), (rows_out, left) = shape(raw, features), shape(self.transform(df), self.output_columns)
+        t = self.target or {}
+        found = [("rows", rows), ("features", len(features)), ("missing", missing), ("prepared_rows", rows_out),
+                 ("prepared_features", len(self.output_columns)), ("prepared_missing", left),
+                 ("target", t.get("name", "")), ("target_rows_dropped", t.get("info", {}).get("dropped", 0)),
+                 ("target_winsorised", bool(t.get("fences"))), ("target_classes", json.dumps(t.get("classes") or []))]
+        return df.sparkSession.createDataFrame([(k, str(v)) for k, v in found], "field string, value string")
+
     def transform_target(self, df: DataFrame) -> DataFrame:
         return apply_target(df, self.target_state)
 
@@ -155,7 +214,7 @@ def fit(df: DataFrame, plan: Plan | dict, config: TaskConfig, store_dir: str | N
         ) -> tuple[FittedPrep, DataFrame]:
     """Fit on training rows; returns the fitted state and the prepared training
     rows (rows with a missing target are removed, as at fit in the reference)."""
-    plan = Plan(plan).validate(target=config.target)
+    plan = Plan(plan).validate(columns=df.columns, target=config.target)
     fp = FittedPrep(config=config.__dict__.copy())
     df = spread(normalise_missing(df))   # narrow inputs only; see session.spread
     fp.input_columns = [c for c in df.columns if c != config.index_column]
@@ -195,7 +254,8 @@ def fit(df: DataFrame, plan: Plan | dict, config: TaskConfig, store_dir: str | N
         order_by, part = m.get("order_by"), m.get("partition_by", [])
         if not order_by:
             raise ValueError(f"{strategy} needs 'order_by' in step_1_missing_values")
-        nulls = impute.null_counts(cur, [c for c in feats(cur) if c not in part and c != order_by])
+        order = [order_by] if isinstance(order_by, str) else list(order_by)
+        nulls = impute.null_counts(cur, [c for c in feats(cur) if c not in part and c not in order])
         fp.fill_steps = [{"kind": strategy, "columns": [c for c, n in nulls.items() if n > 0],
                           "partition_by": part, "order_by": order_by}]
     else:
@@ -307,7 +367,7 @@ def fit(df: DataFrame, plan: Plan | dict, config: TaskConfig, store_dir: str | N
         tol = select.CONSTANT_TOL_CLUSTERING if config.clustering else select.CONSTANT_TOL
         with step("fit.constant+duplicates"):
             const, dup = select.constant_and_duplicates(
-                cur, fcols, tol if sel.get("drop_constant", True) else 2.0,
+                cur, fcols, tol if sel.get("drop_constant", True) else None,
                 drop_dup=sel.get("drop_duplicates", True))
         out += const + dup
         rest = [c for c in fcols if c not in out]

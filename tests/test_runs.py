@@ -6,7 +6,7 @@ from pyspark.ml.classification import LogisticRegressionModel
 from tabforge.operators import models as mdl
 from tabforge.plans import automl
 from tabforge.plans import prep as pp
-from tabforge.plans.plan import TaskConfig, text_report, top_keep
+from tabforge.plans.plan import TaskConfig, ranked_columns, text_report
 from tabforge.queries import ORDERS_PLAN, _orders_config
 from tabforge.sources import loader
 from tabforge.sources.tables import fixture, table
@@ -22,8 +22,8 @@ def test_analyse_report_and_text(spark):
     q = report["quality"].first()
     assert 0 <= q.overall_score <= 100
     txt = text_report(plan, cfg, cust.count(), len(cust.columns), q.overall_score)
-    assert "COLUMNS TO DROP" in txt and "c_custkey" in txt
-    assert len(top_keep(plan, 5)) <= 5
+    assert "Preparation of" in txt and "c_custkey" in txt
+    assert ranked_columns(spark, plan, 5).count() <= 5
 
 
 def test_preview_and_names(spark):
