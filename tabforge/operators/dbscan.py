@@ -29,7 +29,6 @@ from tabforge.functions.columns import col
 from tabforge.operators.neighbors import PivotIndex, _exact_dist, _stack
 from tabforge.session import cut_lineage
 
-MAX_ITER = 200
 INLINE_LABELS = 100_000
 
 
@@ -101,18 +100,18 @@ def dbscan(df: DataFrame, id_col: str, features, eps: float = 0.5, min_samples:
     flags = cut_lineage(counts.groupBy("qid").agg(F.sum("n").alias("n"))
                         .select(F.col("qid").alias("id"), (F.col("n") >= min_samples).alias("core")))
     # each side gets its own derived flag column (distinct attributes for the cogroup)
-    cand_f = cand.join(flags.select(F.col("id").alias("qid"), F.coalesce("core", F.lit(False)).alias("core")),
-                       "qid")
-    pts_f = idx.points.join(flags.select(F.col("id").alias("rid"),
-                                         F.coalesce("core", F.lit(False)).alias("core")), "rid")
+    cand_f = cut_lineage(cand.join(flags.select(F.col("id").alias("qid"), F.coalesce("core", F.lit(False)).alias("core")),
+                       "qid"))
+    pts_f = cut_lineage(idx.points.join(flags.select(F.col("id").alias("rid"),
+                                         F.coalesce("core", F.lit(False)).alias("core")), "rid"))
     # 2. spanning-forest edges between core points
-    forest = idx.pairs(cand_f, fn=_forest_fn(eps), schema="a long, b long", points=pts_f,
-                       q_extra=["core"], r_extra=["core"])
+    forest = cut_lineage(idx.pairs(cand_f, fn=_forest_fn(eps), schema="a long, b long", points=pts_f,
+                                   q_extra=["core"], r_extra=["core"]))
     edges = cut_lineage(forest.unionByName(forest.select(F.col("b").alias("a"), F.col("a").alias("b")))
                         .distinct())
     core = flags.where("core").select("id")
     labels = cut_lineage(core.select("id", F.col("id").alias("lbl")))
-    for _ in range(MAX_ITER):
+    while True:  # labels only fall, so this ends; pointer jumping makes it a logarithmic number of rounds
         nb = (edges.join(labels.withColumnRenamed("id", "b").withColumnRenamed("lbl", "nl"), "b")
                    .groupBy("a").agg(F.min("nl").alias("nl")))
         new = (labels.join(nb.withColumnRenamed("a", "id"), "id", "left")

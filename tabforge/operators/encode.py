@@ -18,7 +18,6 @@ from tabforge.functions.scalar import as_level
 
 BROADCAST_LEVELS = 200_000      # rows of a level map that may be broadcast
 INLINE_LEVELS = 100_000         # rows kept inline in the fitted JSON state
-MAX_ONEHOT_LEVELS = 1_000       # one-hot creates one column per level
 
 
 @dataclass
@@ -84,22 +83,24 @@ def join_levels(df: DataFrame, maps: list[LevelMap], out_names: dict[str, str] |
 
 
 # ------------------------------------------------------------------ one-hot
-def fit_onehot(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """Sorted levels of each column (text, null -> 'missing'); one job."""
+def fit_onehot(df: DataFrame, cols: list[str], max_levels: int | None = None) -> dict[str, list[str]]:
+    """Sorted levels of each column (text, null -> 'missing'); one job.
+
+    Every level becomes a column, so the levels are as many as the plan can
+    hold; ``max_levels`` makes a column with more of them an error (asked of
+    the counts, before the levels are read)."""
     if not cols:
         return {}
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), as_level(c).alias("level")) for c in cols])).alias("e"))
     grouped = long.select("e.*").distinct()
-    cap = MAX_ONEHOT_LEVELS * len(cols)
-    got = grouped.limit(cap + 1).collect()   # one bounded job
+    if max_levels is not None:
+        n = {r["column_name"]: r["n"] for r in grouped.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if too_many := {c: k for c, k in n.items() if k > max_levels}:
+            raise ValueError(f"more than {max_levels} levels: {too_many}; frequency or label encoding suits these columns")
     levels: dict[str, list[str]] = {c: [] for c in cols}
-    for r in got:
+    for r in grouped.collect():
         levels[r["column_name"]].append(r["level"])
-    too_many = {c: len(v) for c, v in levels.items() if len(v) > MAX_ONEHOT_LEVELS}
-    if too_many or len(got) > cap:
-        raise ValueError(f"one-hot would create too many columns {too_many or cols}; "
-                         f"use frequency or label encoding for these columns")
     return {c: sorted(v) for c, v in levels.items()}
 
 
@@ -219,9 +220,5 @@ def fit_target(df: DataFrame, cols: list[str], target: str, smoothing: float = 1
                      extra={"kind": "target", "smoothing": smoothing, "mean": g})
 
 
-def level_column_name(c: str, level: str) -> str:
-    return f"{c}_{level}"
-
-
 __all__ = ["LevelMap", "fit_onehot", "apply_onehot", "fit_frequency", "fit_label", "fit_target",
            "join_levels", "q"]

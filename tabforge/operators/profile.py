@@ -90,9 +90,14 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, *,
         if c in fences:
             lo, hi = fences[c]
             p3.append(F.count_if((v < F.lit(lo)) | (v > F.lit(hi))).alias(f"o{i}"))
-        p3.append((F.approx_count_distinct(v) if approx_distinct else F.count_distinct(v)).alias(f"d{i}"))
-    with step("profile.pass3 outliers+distinct"):
-        r3 = df.agg(*p3).first()
+        if approx_distinct:
+            p3.append(F.approx_count_distinct(col(c)).alias(f"d{i}"))
+    with step("profile.pass3 outliers"):
+        r3 = df.agg(*p3).first().asDict() if p3 else {}
+    if not approx_distinct:
+        with step("profile.pass4 distinct"):
+            exact = distinct_counts(df, cols)
+        r3 |= {f"d{i}": exact[c] for i, c in enumerate(cols)}
     release(df)
     df = src
     out_counts = {c: int(r3[f"o{i}"]) for i, c in enumerate(cols) if c in fences}
@@ -115,6 +120,26 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, *,
     return spark.createDataFrame(rows, NUMERIC_PROFILE_SCHEMA)
 
 
+def distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
+    """A3: exact number of distinct non-null values of each column, in one grouped pass.
+
+    Values are compared as they are (integers as 64-bit integers, so large ids
+    stay apart).  Cells become (column, value) rows that partial aggregation
+    shrinks at once; a distinct aggregate per column would copy whole rows."""
+    kinds: dict[str, list[int]] = {}
+    for i, c in enumerate(cols):
+        t = df.schema[c].dataType
+        kind = "bigint" if isinstance(t, T.IntegralType) else "double" if isinstance(t, T.FractionalType) else "string"
+        kinds.setdefault(kind, []).append(i)
+    out = dict.fromkeys(cols, 0)
+    for kind, at in kinds.items():
+        cells = df.select(F.explode(F.array(*[
+            F.struct(F.lit(i).alias("i"), col(cols[i]).cast(kind).alias("v")) for i in at])).alias("e")).select("e.*")
+        for r in cells.where("v is not null").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect():
+            out[cols[r["i"]]] = int(r["n"])
+    return out
+
+
 def _long_values(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column_name, value) for every cell of ``cols``, value as text (nulls kept)."""
     return df.select(F.explode(F.array(*[
@@ -289,26 +314,23 @@ def profile_report(df: DataFrame, target: str | None = None,
     }
 
 
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 SAMPLE_VALUES = 5        # fixed value: distinct sample values reported per column
 
 
 def sample_values(df: DataFrame, cols: list[str] | None = None, n: int = SAMPLE_VALUES) -> DataFrame:
     """A4: the ``n`` smallest distinct non-null values per column, as text
-    (rows have no order, so "first seen" becomes "smallest").  Distinct
-    values are grouped with partial aggregation and ``row_number() <= n``
-    keeps a per-task top-n before the final shuffle."""
+    (rows have no order, so "first seen" becomes "smallest").  Equal values
+    share a rank, so ``rank() <= n`` keeps few rows of each task before the
+    shuffle; only those are made distinct."""
     cols = list(df.columns) if cols is None else list(cols)
     num = set(numeric_columns(df))
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"),
                  (col(c).cast("double") if c in num else F.lit(None).cast("double")).alias("num"),
                  col(c).cast("string").alias("value")) for c in cols])).alias("e")).select("e.*")
-    d = long.where(F.col("value").isNotNull()).distinct()
     w = Window.partitionBy("column_name").orderBy(F.col("num").asc_nulls_last(), F.col("value"))
+    few = (long.where(F.col("value").isNotNull()).withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= n))
+    d = few.select("column_name", "num", "value").distinct()
     return (d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
              .select("column_name", F.col("rank").cast("int").alias("rank"), "value"))
 
