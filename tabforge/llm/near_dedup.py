@@ -13,12 +13,13 @@ Bands of ``ROWS`` coordinates give ``BANDS`` keys a document.  A pair at
 similarity 0.8 shares no key with probability (1 - 0.8^5)^40, about 1e-7.
 
 Documents with equal sets are collapsed to one class first (128-bit digest of
-the sorted set).  Within a key's bucket classes are compared with a leader
-only; the classes that verification joins form components, and then only pairs
-across components of a bucket are compared, for a bounded number of leaders a
-round, until no bucket has an untested pair across components.  So no round
-emits all pairs of a group, and no link that a shared key proposes between two
-components is lost.  Links are confirmed on the full sets.
+the sorted set).  Each class is then compared with one leader of its buckets,
+which joins most groups of near copies at one comparison a class.  Buckets
+that still hold several components are compared in full, by blocks of bounded
+size in which only the classes outside the largest component meet all others;
+a block gives back a spanning forest of its links.  So no step emits the pairs
+of a group, and no link between classes that share a key is lost.  Links are
+confirmed on the full sets.
 
 Cases with a defined result: null texts and texts without words have the empty
 set and are linked with nothing; texts shorter than a shingle are one shingle;
@@ -35,12 +36,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import free_name, slices, written
 
 BANDS, ROWS = 40, 5
-LEADERS = 16  # leaders of a bucket that are compared in one round; more rounds follow
+BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1 << 20  # bounds of a block; larger buckets take several
 
 # Odd 64-bit constants of the hash mixer (any would do).
 MIX_A, MIX_B, MIX_C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -214,13 +214,43 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(both * 100 >= union * percent).select("a", "b")
 
 
+def _compare(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Links across components among the classes of a block, as a forest."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        cid, comp = block.column("cid").to_numpy(), block.column("comp").to_numpy()
+        lists = block.column("shingles").chunk(0) if block.num_rows else pa.array([], pa.list_(pa.int64()))
+        offsets = lists.offsets.to_numpy()
+        values = lists.values.to_numpy()[offsets[0]:offsets[-1]]
+        starts, sizes = (offsets - offsets[0])[:-1].astype(np.int64), np.diff(offsets).astype(np.int64)
+        words, at = np.unique(values, return_inverse=True)
+        names, group, members = np.unique(comp, return_inverse=True, return_counts=True)
+        mark = np.zeros(len(words), np.int32)
+        a, b = [], []
+        for x in np.flatnonzero(group != members.argmax()):
+            own = at[starts[x]:starts[x] + sizes[x]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[at], starts)
+            mark[own] = 0
+            near = np.flatnonzero((both * 100 >= (sizes[x] + sizes - both) * percent) & (group != group[x]))
+            for y in near:
+                if group[x] != group[y]:
+                    a.append(cid[x])
+                    b.append(cid[y])
+                    group[group == group[y]] = group[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _size_fits(n1: str, n2: str, percent: int) -> F.Column:
     """No pair beyond this ratio of sizes can be similar enough."""
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
-                    leaders: int = LEADERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, digest, component_id) of every row of ``docs``.
 
     ``size`` words a shingle; documents are linked at ``percent`` % similarity.
@@ -257,30 +287,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     links = written(verify(pairs, sets, percent), "links")
     comps = written(components(links), "components")
 
-    # pairs across components, for a bounded number of leaders of each bucket a round
-    last = None
-    while True:
-        state = (buckets.select("key", "cid", "n").join(comps.withColumnRenamed("id", "cid"), "cid", "left")
-                 .withColumn("comp", F.coalesce("comp", "cid")))
-        if last is not None:
-            state = state.join(last, "key").where("cid > last").drop("last")
-        mixed = (state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-                 .where("low <> high").select("key"))
-        state = written(state.join(mixed, "key"), "open-buckets")
-        if state.isEmpty():
-            break
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("cid"))
-        heads = written(state.withColumn("nth", nth).where(F.col("nth") <= leaders)
-                        .select("key", F.col("cid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na")), "leaders")
-        pairs = (state.join(heads, "key").where((F.col("cid") > F.col("a")) & (F.col("comp") != F.col("ca"))
-                                                & _size_fits("n", "na", percent))
-                 .select("a", F.col("cid").alias("b")).distinct())
-        found = written(verify(pairs, sets, percent), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            comps = written(components(comps.select(F.col("comp").alias("a"), F.col("id").alias("b")).unionByName(found)),
-                            "components")
-        last = written(heads.groupBy("key").agg(F.max("a").alias("last")), "tested")
+    # pairs across components, once for each set of classes that some bucket holds
+    state = (buckets.select("key", "cid", "n").join(comps.withColumnRenamed("id", "cid"), "cid", "left")
+             .withColumn("comp", F.coalesce("comp", "cid")))
+    mixed = (state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n").alias("all"),
+                                      F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("cid")).alias("h1"),
+                                      F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("h2"))
+             .where("low <> high").groupBy("members", "h1", "h2").agg(F.min("key").alias("key"), F.min("all").alias("all")))
+    mixed = mixed.select("key", F.ceil(F.greatest(F.col("members") / BLOCK_CLASSES, F.col("all") / BLOCK_SHINGLES)).alias("blocks"))
+    mixed = written(state.join(mixed, "key")
+                    .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+                    .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+                    .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "comp"),
+                    "mixed")
+    found = written(mixed.join(sets, "cid").groupBy("key", "i", "j").applyInArrow(_compare(percent), "a bigint, b bigint"),
+                    "links")
+    if not found.isEmpty():
+        joined = comps.select(F.col("comp").alias("a"), F.col("id").alias("b")).unionByName(found)
+        comps = written(components(joined), "components")
 
     first = classes.select("cid", "first_id", "digest").join(comps.withColumnRenamed("id", "cid"), "cid", "left")
     first = first.withColumn("comp", F.coalesce("comp", "cid"))
