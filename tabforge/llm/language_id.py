@@ -114,10 +114,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0))
     n = {r["lang"]: r["n"] for r in sizes}
     shares = np.array([n[x] for x in languages], float) / sum(n.values())
-    # the hash up to which a language's documents are used: one row per language
+    # the hash up to which a language's documents are used: one row per language.  Only about four times
+    # max_docs hashes of a language, the smallest ones, are ranked
+    sizes = docs.sparkSession.createDataFrame([(x, n[x]) for x in languages], "lang string, n bigint")
+    small = F.col("h") / 2.0 ** 63 < 8.0 * max_docs / F.col("n") - 1
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    upto = (rows.select("lang", "h").withColumn("nth", nth).where(F.col("nth") <= max_docs)
-            .groupBy("lang").agg(F.max("h").alias("upto")).where(F.col("lang").isin(languages)))
+    upto = (rows.select("lang", "h").join(F.broadcast(sizes), "lang").where(small)
+            .withColumn("nth", nth).where(F.col("nth") <= max_docs).groupBy("lang").agg(F.max("h").alias("upto")))
     used = rows.join(F.broadcast(upto), "lang").where("h <= upto").select("text", "lang")
     counts = (used.mapInArrow(_count({x: i for i, x in enumerate(languages)}), "lang int, feature int, n bigint")
               .groupBy("lang", "feature").agg(F.sum("n").alias("n")))
