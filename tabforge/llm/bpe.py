@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,30 +169,46 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 @lru_cache(maxsize=2)
-def _tokens(path: str) -> dict[int, str]:
+def _tokens(path: str) -> pa.Array:
+    """Each id's token; null where the vocabulary has none."""
     spec = json.load(open(path, encoding="utf-8"))
-    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    of = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return pa.array([of.get(i) for i in range(max(of) + 1)], pa.string())
+
+
+def decoded_texts(tokens: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """The texts of lists of ids: this tokenizer file has no decoder, so tokens are joined by spaces."""
+    offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+    values = values[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    known = (values >= 0) & (values < len(tokens))
+    known[known] = tokens.is_valid().to_numpy(zero_copy_only=False)[values[known]]
+    if not known.all():
+        offsets = np.r_[0, np.cumsum(known)][offsets]
+        values = values[known]
+    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), tokens.take(pa.array(values, pa.int64())))
+    return pc.binary_join(lists, " ")
 
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(path)
         for b in batches:
-            lists = b.column("ids")
-            offsets, values = lists.offsets.to_numpy(), lists.values
-            for start in range(0, len(lists), 512):
-                stop = min(start + 512, len(lists))
-                base = int(offsets[start])
-                names = list(map(tokens.get, values.slice(base, int(offsets[stop]) - base).to_pylist()))
-                # this tokenizer file has no decoder: tokens are joined by spaces
-                texts = [" ".join(filter(None, names[int(x) - base:int(y) - base]))
-                         for x, y in zip(offsets[start:stop], offsets[start + 1:stop + 1], strict=True)]
-                rest = [b.column(n).slice(start, stop - start) for n in b.schema.names]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
+            for start in range(0, b.num_rows, 1024):
+                part = b.slice(start, 1024)
+                texts = decoded_texts(_tokens(path), part.column("ids"))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*b.schema.names, "decoded"])
 
     return run
 
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded) of every row: ``encode`` and ``decode`` in one pass of the texts."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = dict(rows.dtypes)["doc_id"]
+    both = lambda batches: _decode(path)(_encode(path)(batches))
+    return rows.mapInArrow(both, f"doc_id {kind}, ids array<int>, decoded string")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) plus ``decoded``, the text of the ids, special tokens included."""
     rows = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))

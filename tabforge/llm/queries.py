@@ -95,7 +95,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's token ids and the text they decode to, as digests."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.digests(bpe.decode(bpe.encode(documents(spark, sf_dir), path), path))
+    return bpe.digests(bpe.round_trip(documents(spark, sf_dir), path))
 
 
 @register

@@ -78,9 +78,10 @@ class PartIds:
     ``encode`` gets a list of distinct words and returns the ids of each as bytes.
     """
 
-    def __init__(self, split: Splitter, encode: Callable[[list[str]], list[bytes]], most: int = 600_000):
+    def __init__(self, split: Splitter, encode: Callable[[list[str]], list[bytes]], most: int = 800_000):
         self.split, self.encode, self.most = split, encode, most
         self.known: dict[str, bytes] = {}
+        self.added = {ADDED + t: i.to_bytes(4, "little") for t, i in split.special.items()}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         collects = gc.isenabled()
@@ -93,11 +94,11 @@ class PartIds:
 
     def _ids(self, texts: list[str | None]) -> list[bytes]:
         parts = [self.split(t) for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        if not self.known:
-            self.known = {ADDED + t: i.to_bytes(4, "little") for t, i in self.split.special.items()}
-        new = list(set().union(*parts).difference(self.known))
+        distinct = set().union(*parts)
+        if len(self.known) > self.most:  # what these texts use again stays
+            self.known = {p: self.known[p] for p in distinct if p in self.known}
+        self.known |= self.added
+        new = list(distinct.difference(self.known))
         split = [self.split.words(p) for p in new]
         words = list(set().union(*split))
         of = dict(zip(words, self.encode(words), strict=True))
