@@ -63,8 +63,11 @@ def append_history(df: DataFrame, path: str) -> str:
 
 
 def history_last(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
-    """The last ``n`` records (a top-n, not a full sort)."""
-    return spark.read.parquet(path).orderBy(F.col("logged_at").desc()).limit(n)
+    """The last ``n`` records (a top-n, not a full sort); of records logged at the same time
+    those with the largest values, column by column."""
+    log = spark.read.parquet(path)
+    rest = [F.col(f"`{c}`").desc_nulls_last() for c in sorted(log.columns) if c != "logged_at"]
+    return log.orderBy(F.col("logged_at").desc(), *rest).limit(n)
 
 
 def history_count(spark: SparkSession, path: str) -> int:

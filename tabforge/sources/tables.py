@@ -44,9 +44,25 @@ FIXTURE_SQL = {
                      CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_discount END AS l_discount,
                      CASE WHEN l_linenumber = 3 THEN NULL ELSE l_tax END AS l_tax
               FROM lineitem) g""",
-    "doc_quality": """
-        SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
-        FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+    "lineitem_int_gaps": """
+        SELECT l_orderkey, l_linenumber,
+               CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE CAST(l_quantity AS INT) END AS qty
+        FROM lineitem""",
+    "lineitem_spikes": """
+        SELECT l_orderkey, l_linenumber,
+               CAST(CASE WHEN l_partkey % 40 = 0 THEN l_quantity * 9 ELSE l_quantity END AS INT) AS qty
+        FROM lineitem""",
+    "lineitem_large_ids": """
+        SELECT CAST(9007199254740992 + l_orderkey AS BIGINT) AS id FROM lineitem""",
+    "orders_typed": """
+        SELECT o_orderkey, o_totalprice,
+               CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority = '1-URGENT' END AS urgent,
+               CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day
+        FROM orders""",
+    "orders_scores": """
+        SELECT o_orderpriority AS model_name, CASE WHEN MIN(o_orderkey) % 3 = 0 THEN 'failed' ELSE 'ok' END AS status,
+               MAX(o_totalprice) / 500000.0 AS train_f1, AVG(o_totalprice) / 500000.0 AS val_f1
+        FROM orders GROUP BY o_orderpriority""",
 }
 
 

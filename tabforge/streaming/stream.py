@@ -6,8 +6,10 @@
 * ``prediction_log`` (X2): append-only Parquet sink with a checkpoint in the
   shared folder (exactly-once file sink).
 * ``windowed_profile`` (X3): per tumbling event-time window, row count,
-  missing count, mean, min, max and sample sd of a value column, with a
-  watermark bounding the state kept for late rows.
+  missing count, mean, min, max and sample sd of a value column.  Written in
+  append mode (``closed_windows``) a window comes out once the watermark has
+  passed its end, its state goes, and rows that come later are dropped; in
+  complete mode (``run_to_memory``, for small results) all state stays.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tabforge.functions.columns import col
 from tabforge.session import checkpoint_dir
+from tabforge.sources.loader import is_folder
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -27,16 +30,15 @@ def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
     r = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.load(_as_glob(path))
+    return r.load(_as_glob(spark, path))
 
 
-def _as_glob(path: str) -> str:
+def _as_glob(spark: SparkSession, path: str) -> str:
     """The file source takes a non-glob path as partition base directory; a
     single file is therefore given as a glob that matches just itself."""
-    import os
-    if os.path.isfile(path) and not any(ch in path for ch in "*?[{"):
-        return f"{path[:-1]}[{path[-1]}]"
-    return path
+    if any(ch in path for ch in "*?[{") or is_folder(spark, path):
+        return path
+    return f"{path[:-1]}[{path[-1]}]"
 
 
 def windowed_profile(df: DataFrame, ts: str, value: str, window: str = "1 day",
@@ -81,6 +83,16 @@ def prediction_log(scored: DataFrame, path: str, checkpoint: str | None = None,
     return w.start()
 
 
+def closed_windows(df: DataFrame, path: str, checkpoint: str | None = None) -> DataFrame:
+    """X3 in append mode: drive a windowed stream over what is there now into a Parquet table and return
+    that table.  Windows still open stay in the checkpoint for the next call with it."""
+    spark = df.sparkSession
+    q = (df.writeStream.format("parquet").outputMode("append").option("path", path)
+           .option("checkpointLocation", checkpoint or scratch(spark, "windows-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def run_to_memory(df: DataFrame, mode: str = "complete") -> DataFrame:
     """Drive a streaming frame to completion into a memory sink (tests and
     registered queries) and return the result as a batch frame."""
