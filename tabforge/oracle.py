@@ -31,7 +31,7 @@ def _numeric_profile_sql(src: str, cols: list[str], types: dict[str, str], fold:
         SELECT '{c}' AS column_name, '{types[c]}' AS dtype,
                COUNT(*) AS n_rows, COUNT(*) - COUNT({x}) AS n_missing,
                (COUNT(*) - COUNT({x})) * 100.0 / COUNT(*) AS missing_pct,
-               COUNT(DISTINCT {x}) AS n_distinct,
+               COUNT(DISTINCT {c}) AS n_distinct,
                MIN({x}) AS min, MAX({x}) AS max, AVG({x}) AS mean,
                STDDEV_SAMP({x}) AS std, VAR_SAMP({x}) AS variance,
                QUANTILE_CONT({x}, 0.25) AS q1, QUANTILE_CONT({x}, 0.5) AS median,
@@ -266,10 +266,12 @@ ORACLE["outlier_remove"] = _LG[:-1] + """, f AS (
 SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice, 6) AS l_extendedprice
 FROM lineitem_gaps, f WHERE l_extendedprice IS NULL OR (l_extendedprice >= lo AND l_extendedprice <= hi)"""
 
-ORACLE["onehot_encode"] = fixture_cte("orders_gaps") + """
-SELECT * FROM (PIVOT (SELECT o_orderkey, 'o_orderpriority_' || COALESCE(o_orderpriority, 'missing') AS lvl
-                      FROM orders_gaps)
-               ON lvl USING CAST(COUNT(*) AS INTEGER) GROUP BY o_orderkey)"""
+# The order priorities of the test tables and the text of a missing one.
+ORDER_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "missing"]
+
+ORACLE["onehot_encode"] = fixture_cte("orders_gaps") + "SELECT o_orderkey, " + ", ".join(
+    f"CAST(COALESCE(o_orderpriority, 'missing') = '{v}' AS INTEGER) AS \"o_orderpriority_{v}\""
+    for v in ORDER_PRIORITIES) + " FROM orders_gaps"
 
 ORACLE["onehot_drop_last"] = """
 SELECT o_orderkey,
@@ -785,3 +787,54 @@ UNION ALL SELECT 'step_6_feature_selection.drop_constant', '', 'True'"""
 
 
 ORACLE["plan_rules"] = _plan_rules_sql()
+
+
+# ---------------------------------------------------------------- column types, closed windows, blank headers
+ORACLE["impute_integers"] = _ieee_round(fixture_cte("lineitem_int_gaps") + """
+SELECT l_orderkey, l_linenumber, ROUND(COALESCE(qty, (SELECT AVG(qty) FROM lineitem_int_gaps)), 6) AS qty
+FROM lineitem_int_gaps""")
+
+ORACLE["winsorize_integers"] = _ieee_round(fixture_cte("lineitem_spikes") + """
+, f AS (SELECT AVG(qty) - 1.5 * STDDEV_SAMP(qty) AS lo, AVG(qty) + 1.5 * STDDEV_SAMP(qty) AS hi FROM lineitem_spikes)
+SELECT l_orderkey, l_linenumber, ROUND(LEAST(GREATEST(qty, lo), hi), 6) AS qty FROM lineitem_spikes, f""")
+
+ORACLE["large_ids"] = fixture_cte("lineitem_large_ids") + """
+SELECT COUNT(DISTINCT id) AS n_distinct,
+       (SELECT id FROM lineitem_large_ids GROUP BY id ORDER BY COUNT(*) DESC, id LIMIT 1) AS mode
+FROM lineitem_large_ids"""
+
+ORACLE["prepare_types"] = _ieee_round(fixture_cte("orders_typed") + """
+, n AS (SELECT CAST(urgent AS INTEGER) AS urgent, date_diff('day', DATE '1970-01-01', day) AS day FROM orders_typed),
+i AS (SELECT COALESCE(urgent, (SELECT AVG(urgent) FROM n)) AS urgent, COALESCE(day, (SELECT AVG(day) FROM n)) AS day FROM n)
+SELECT ROUND((urgent - (SELECT AVG(urgent) FROM i)) / (SELECT STDDEV_POP(urgent) FROM i), 6) AS urgent,
+       ROUND((day - (SELECT AVG(day) FROM i)) / (SELECT STDDEV_POP(day) FROM i), 6) AS day
+FROM i""")
+
+ORACLE["stream_windows_closed"] = _ieee_round("""
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end,
+       event_type, COUNT(*) AS n_rows, COUNT(*) - COUNT(value) AS n_missing,
+       ROUND(AVG(value), 6) AS mean, ROUND(MIN(value), 6) AS min, ROUND(MAX(value), 6) AS max,
+       ROUND(STDDEV_SAMP(value), 6) AS std
+FROM events GROUP BY 1, 2, 3
+HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 1 DAY""")
+
+ORACLE["source_csv_blank_header"] = """
+SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"""
+
+ORACLE["history_last"] = """
+SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'
+ORDER BY o_orderkey DESC, o_orderstatus DESC LIMIT 10"""
+
+ORACLE["linear_models"] = _ieee_round("""
+WITH s AS (SELECT COUNT(*) AS n, AVG(l_quantity) AS mx, AVG(l_extendedprice) AS my,
+                  REGR_SXY(l_extendedprice, l_quantity) AS sxy, REGR_SXX(l_extendedprice, l_quantity) AS sxx FROM lineitem),
+m AS (SELECT 'LinearRegression' AS model, sxy / sxx AS slope, mx, my FROM s
+      UNION ALL SELECT 'Ridge', sxy / (sxx + 1.0), mx, my FROM s)
+SELECT model, ROUND(slope, 3) AS slope, ROUND(my - slope * mx, 2) AS intercept, ROUND(my, 3) AS mean_prediction FROM m""")
+
+ORACLE["advice_rules"] = _ieee_round(fixture_cte("orders_scores") + """
+, r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY val_f1 DESC NULLS LAST, model_name) AS rank FROM orders_scores)
+SELECT model_name, CAST(rank AS INTEGER) AS rank, rank = 1 AS is_best, ROUND(train_f1 - val_f1, 6) AS gap,
+       CASE WHEN status <> 'ok' THEN 'failed' WHEN train_f1 - val_f1 > 0.1 THEN 'overfitting'
+            WHEN val_f1 < 0.5 THEN 'underfitting' ELSE 'good fit' END AS verdict
+FROM r""")

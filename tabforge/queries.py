@@ -752,3 +752,90 @@ def q_prep_report(spark, sf_dir):
     rows += [("removed", c, None) for c in fp.report["columns_removed"]]
     rows += [("missing_before", None, int(sum(before))), ("missing_after", None, int(sum(after)))]
     return spark.createDataFrame(rows, "item string, column_name string, n long")
+
+
+# ---------------------------------------------------------------- column types, closed windows, blank headers
+@query("impute_integers")
+def q_impute_integers(spark, sf_dir):
+    """R1 on an integer column: the mean keeps its fraction."""
+    df = fixture(spark, sf_dir, "lineitem_int_gaps")
+    return rounded(impute.apply_fill(df, impute.fit_numeric(df, ["qty"], "mean")))
+
+
+@query("winsorize_integers")
+def q_winsor_integers(spark, sf_dir):
+    """R8 on an integer column: fences with a fraction."""
+    df = fixture(spark, sf_dir, "lineitem_spikes")
+    return rounded(outliers.apply_clip(df, outliers.fit_fences(df, ["qty"], "gaussian", 1.5)))
+
+
+@query("large_ids")
+def q_large_ids(spark, sf_dir):
+    """A3 and A9 on ids beyond 2^53, which doubles can't tell apart."""
+    df = fixture(spark, sf_dir, "lineitem_large_ids")
+    n, mode = prof.distinct_counts(df, ["id"])["id"], impute.modes(df, ["id"])["id"]
+    return spark.createDataFrame([(n, mode)], "n_distinct long, mode long")
+
+
+@query("prepare_types")
+def q_prepare_types(spark, sf_dir):
+    """Default plan (T4) on a boolean and a date, both with gaps: 0/1 and days, mean fill, standard scale."""
+    df = fixture(spark, sf_dir, "orders_typed")
+    cfg = pl.TaskConfig("Supervised", "Regression", target="o_totalprice", index_column="o_orderkey")
+    fp, _ = pp.fit(df, pl.Plan.default(["urgent", "day"]), cfg)
+    return rounded(fp.transform(df, keep_target=False))
+
+
+@query("stream_windows_closed")
+def q_stream_closed(spark, sf_dir):
+    """X3 in append mode with a file sink: the windows that the watermark (one day) has closed."""
+    stream = stm.read_stream(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema)
+    return rounded(stm.closed_windows(stm.windowed_profile(stream, "ts", "value", "1 day", "1 day", ["event_type"]),
+                                      stm.scratch(spark, "windows")))
+
+
+@query("source_csv_blank_header")
+def q_csv_blank_header(spark, sf_dir):
+    """A file whose header row is blank takes its first record as header."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    lines = (n.select(F.concat_ws(";", *n.columns).alias("value"))
+             .unionByName(spark.createDataFrame([(";".join([""] * 3),), (";".join(n.columns),)], "value string")))
+    path = stm.scratch(spark, "blank-header")
+    # the blank row and the names sort before the digits of the keys
+    lines.orderBy(F.when(F.col("value").startswith(";"), 0).when(F.col("value").startswith("n_"), 1).otherwise(2),
+                  "value").coalesce(1).write.text(path)
+    return loader.load_table(spark, path, fmt="csv")
+
+
+@query("history_last")
+def q_history_last(spark, sf_dir):
+    """The last 10 records of a history of two batches (a top-k report)."""
+    path = stm.scratch(spark, "history")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    sinks.append_history(o.where(F.col("o_orderstatus") == "F"), path)
+    sinks.append_history(o.where(F.col("o_orderstatus") != "F"), path)
+    return sinks.history_last(spark, path).drop("logged_at")
+
+
+@query("linear_models")
+def q_linear_models(spark, sf_dir):
+    """M2, M3 and M25 on one feature: slope, intercept and summed predictions of the zoo's linear and ridge models."""
+    from pyspark.ml.feature import VectorAssembler
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("label"))
+    s = li.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("label").alias("sd")).first()
+    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(li)
+    zoo = mdl.regression_zoo(mdl.Context(n=s["n"], label_sd=s["sd"]))
+    rows = []
+    for name in ("LinearRegression", "Ridge"):
+        m = zoo[name].fit(data)
+        rows.append((name, float(m.coefficients[0]), float(m.intercept),
+                     float(m.transform(data).agg(F.avg("prediction")).first()[0])))
+    return rounded(spark.createDataFrame(rows, "model string, slope double, intercept double, mean_prediction double"),
+                   {"slope": 3, "intercept": 2, "mean_prediction": 3})
+
+
+@query("advice_rules")
+def q_advice(spark, sf_dir):
+    """Ranking and verdicts of a leaderboard whose scores come from the orders' statuses."""
+    lb = fixture(spark, sf_dir, "orders_scores")
+    return rounded(mdl.advice(mdl.rank_leaderboard(lb, "val_f1"), "Classification"))
