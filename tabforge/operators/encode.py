@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabforge.functions.columns import col, q
@@ -220,5 +221,35 @@ def fit_target(df: DataFrame, cols: list[str], target: str, smoothing: float = 1
                      extra={"kind": "target", "smoothing": smoothing, "mean": g})
 
 
+def target_out_of_fold(df: DataFrame, cols: list[str], target: str, folds: int, smoothing: float = 10.0) -> DataFrame:
+    """R12 for training rows: each column becomes the smoothed target mean of its level over the rows of
+    the other folds (a level that only occurs in the own fold gets their overall mean).
+
+    Folds are a hash of the whole row.  Sums per (column, level, fold) are one
+    grouped pass; a row's value is the level's total less its own fold's."""
+    own = "__fold"
+    rows = df.withColumn(own, F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(folds)).cast("int"))
+    y = col(target).cast("double")
+    cells = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), as_level(c).alias("level"))
+                                            for c in cols])).alias("e"), own, y.alias("__y")).select("e.*", own, "__y")
+    parts = cells.groupBy("column_name", "level", own).agg(F.count("__y").alias("n"), F.sum("__y").alias("s"))
+    level = Window.partitionBy("column_name", "level")  # at most ``folds`` rows
+    rest = parts.select("column_name", "level", own, (F.sum("n").over(level) - F.col("n")).alias("n"),
+                        (F.coalesce(F.sum("s").over(level), F.lit(0.0)) - F.coalesce("s", F.lit(0.0))).alias("s"))
+    total = rows.groupBy(own).agg(F.count(y).alias("n"), F.sum(y).alias("s")).collect()  # one row per fold
+    n, s = sum(r["n"] for r in total), sum(r["s"] or 0.0 for r in total)
+    means = {r[own]: (s - (r["s"] or 0.0)) / (n - r["n"]) if n > r["n"] else s / max(n, 1) for r in total}
+    mean = F.element_at(F.create_map(*[F.lit(x) for kv in means.items() for x in kv]), F.col(own)) if means else F.lit(0.0)
+    value = (F.col("s") + F.lit(smoothing) * mean) / (F.col("n") + F.lit(smoothing)) if smoothing else \
+        F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(mean)
+    rest = rest.select("column_name", "level", own, value.alias("value"))
+    for c in cols:
+        one = rest.where(F.col("column_name") == c).select(F.col("level").alias("__l"), F.col(own).alias("__f"),
+                                                           F.col("value").alias("__v"))
+        rows = rows.join(one, (as_level(c) == F.col("__l")) & (F.col(own) == F.col("__f")), "left").select(
+            *[F.col("__v").alias(x) if x == c else col(x) for x in rows.columns])
+    return rows.drop(own)
+
+
 __all__ = ["LevelMap", "fit_onehot", "apply_onehot", "fit_frequency", "fit_label", "fit_target",
-           "join_levels", "q"]
+           "join_levels", "target_out_of_fold", "q"]

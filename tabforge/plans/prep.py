@@ -82,6 +82,9 @@ class FittedPrep:
     rename: dict = field(default_factory=dict)
     input_columns: list = field(default_factory=list)
     output_columns: list = field(default_factory=list)
+    target_folds: int = 0        # training rows get target means of the other folds
+    target_columns: list = field(default_factory=list)
+    smoothing: float = 10.0
     report: dict = field(default_factory=dict)
 
     # ------------------------------------------------------------ apply
@@ -93,8 +96,9 @@ class FittedPrep:
     def target_state(self) -> TargetState | None:
         return TargetState.from_json(self.target) if self.target else None
 
-    def _features(self, df: DataFrame, upto: str = "end") -> DataFrame:
-        """Apply the fitted steps in order; ``upto`` stops before a step (fit)."""
+    def _features(self, df: DataFrame, upto: str = "end", folds: int = 0) -> DataFrame:
+        """Apply the fitted steps in order; ``upto`` stops before a step (fit).  With ``folds``
+        (training rows with the encoded target) target means leave out each row's own fold."""
         order = ["drop", "impute", "engineer", "post_fill", "outliers", "encode", "transform",
                  "scale", "select", "rename"]
         stop = order.index(upto) if upto in order else len(order)
@@ -120,6 +124,9 @@ class FittedPrep:
         if 5 < stop:
             df = encode.apply_onehot(df, self.onehot, self.drop_last)
             maps = [encode.LevelMap.from_json(m) for m in self.level_maps]
+            if folds:
+                df = encode.target_out_of_fold(df, self.target_columns, self.target["name"], folds, self.smoothing)
+                maps = [m for m in maps if m.column not in self.target_columns]
             df = encode.join_levels(df, maps)
         if 6 < stop:
             df = transform.apply_log(df, self.log_shift)
@@ -134,6 +141,16 @@ class FittedPrep:
             df = df.select(*[col(c).alias(self.rename.get(c, c)) for c in df.columns])
         return df
 
+    def transform_training(self, df: DataFrame) -> DataFrame:
+        """``transform`` of the training rows.  Where the plan asks for ``target_folds``, a row's
+        target means come from the other folds, so its own target does not leak into its features."""
+        if not self.target_folds or not self.target_columns:
+            return self.transform(df)
+        t = self.target_state
+        out = self._features(apply_target(normalise_missing(df), t), folds=self.target_folds)
+        out = impute.emergency_fill_except(out, [t.name])
+        return out.select(*[col(c) for c in [*self.output_columns, t.name] if c in out.columns])
+
     def transform(self, df: DataFrame, keep_target: bool = True) -> DataFrame:
         """Prepared rows: never drops a row (R22); the target, when present
         and ``keep_target``, is encoded with the fitted state (R25).  Row by
@@ -196,18 +213,28 @@ class FittedPrep:
         return cls(**json.loads(text))
 
     def save(self, path: str) -> None:
-        """JSON state (no pickle).  Written through Spark so the path may
-        be any filesystem the cluster reads."""
+        """JSON state (no pickle) in ``path``/state and each level map that is a
+        table in ``path``/levels-<i>, so that the folder is all one needs.  Written
+        through Spark, so the path may be any filesystem the cluster reads."""
         from pyspark.sql import SparkSession
-        spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(self.to_json(),)], "state string").coalesce(1) \
-            .write.mode("overwrite").text(path)
+        spark, path = SparkSession.getActiveSession(), path.rstrip("/")
+        state = json.loads(self.to_json())
+        for i, m in enumerate(state["level_maps"]):
+            if m.get("path"):
+                spark.read.parquet(m["path"]).write.mode("overwrite").parquet(f"{path}/levels-{i}")
+                m["path"] = f"levels-{i}"
+        spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1) \
+            .write.mode("overwrite").text(f"{path}/state")
 
     @classmethod
     def load(cls, path: str) -> FittedPrep:
         from pyspark.sql import SparkSession
-        spark = SparkSession.getActiveSession()
-        return cls.from_json(spark.read.text(path).first()["value"])
+        spark, path = SparkSession.getActiveSession(), path.rstrip("/")
+        fp = cls.from_json(spark.read.text(f"{path}/state").first()["value"])
+        for m in fp.level_maps:
+            if m.get("path"):
+                m["path"] = f"{path}/{m['path']}"
+        return fp
 
 
 def fit(df: DataFrame, plan: Plan | dict, config: TaskConfig, store_dir: str | None = None
@@ -335,6 +362,9 @@ def fit(df: DataFrame, plan: Plan | dict, config: TaskConfig, store_dir: str | N
     if tcols and tname:
         enc_t = apply_target(cur, TargetState.from_json(fp.target))
         maps += encode.fit_target(enc_t, tcols, tname, float(e.get("smoothing", 10.0)), store_dir)
+        fp.target_folds = int(e.get("target_folds", 0))
+        fp.smoothing = float(e.get("smoothing", 10.0))
+        fp.target_columns = tcols
     fp.level_maps = [mp.to_json() for mp in maps]
     cur = fp._features(df, upto="transform")
 
@@ -393,7 +423,7 @@ def fit(df: DataFrame, plan: Plan | dict, config: TaskConfig, store_dir: str | N
             ("log_transformer", fp.log_shift), ("yeo_johnson_transformer", fp.yeo_johnson),
             ("scaler", fp.scaler), ("feature_selection", fp.selected_out)] if v],
     })
-    return fp, fp.transform(df)
+    return fp, fp.transform_training(df)
 
 
 def _filter_like(df: DataFrame, fp: FittedPrep, fences) -> DataFrame:

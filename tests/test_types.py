@@ -197,3 +197,33 @@ def test_late_rows(spark):
     got = batch([(at(2), 50.0), (at(9), 7.0), (at(20), 8.0)])  # the 2nd is late, the 9th is not
     rows = {r.window_start.day: (r.n_rows, r.mean) for r in got.collect()}
     assert rows[1] == (1, 1.0) and rows[3] == (1, 2.0) and 2 not in rows and rows[9] == (1, 7.0) and rows[10] == (1, 3.0)
+
+
+def test_target_means_leave_out_the_own_fold(spark):
+    rows = [(i, "abc"[i % 3], float(i % 7)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, c string, y double")
+    got = encode.target_out_of_fold(df, ["c"], "y", 4, 5.0).collect()
+    fold = {r["id"]: r["f"] for r in df.select("id", F.pmod(F.xxhash64("id", "c", "y"), F.lit(4)).alias("f")).collect()}
+    for r in got:
+        i = r["id"]
+        rest = [(c, y) for j, c, y in rows if fold[j] != fold[i]]
+        own = [y for c, y in rest if c == rows[i][1]]
+        mean = sum(y for _, y in rest) / len(rest)
+        assert abs(r["c"] - (sum(own) + 5.0 * mean) / (len(own) + 5.0)) < 1e-9
+    plan = pl.Plan.default(["c"])
+    plan["pipeline_recommendation"] = {"step_3_encoding": {"target_columns": ["c"], "target_folds": 4, "smoothing": 5.0}}
+    fp, train = pp.fit(df, plan, pl.TaskConfig("Supervised", "Regression", target="y", index_column="id"))
+    assert train.select("c").distinct().count() > 3 and fp.transform(df).select("c").distinct().count() == 3
+
+
+def test_saved_state_holds_large_level_maps(spark, monkeypatch):
+    monkeypatch.setattr(encode, "INLINE_LEVELS", 2)
+    df = spark.createDataFrame([(i, f"v{i % 9}", float(i)) for i in range(50)], "id int, c string, y double")
+    plan = pl.Plan.default(["c"])
+    plan["pipeline_recommendation"] = {"step_3_encoding": {"frequency_columns": ["c"]}}
+    fp, _ = pp.fit(df, plan, pl.TaskConfig("Supervised", "Regression", target="y", index_column="id"))
+    folder = tempfile.mkdtemp(prefix="tabforge-io-") + "/state"
+    fp.save(folder)
+    again = pp.FittedPrep.load(folder)
+    assert again.level_maps[0]["path"].startswith(folder)
+    assert sorted(map(tuple, again.transform(df).collect())) == sorted(map(tuple, fp.transform(df).collect()))
