@@ -39,11 +39,10 @@ from pyspark.sql import functions as F
 from tabforge.functions.columns import col
 
 DEFAULT_ACCURACY = 5000
-DEFAULT_COLLECT_CAP = 100_000
-MAX_ROUNDS = 8
+DEFAULT_COLLECT_CAP = 100_000   # values of a bracket that come to the driver; wider brackets are narrowed first
 
 
-@dataclass
+@dataclass(eq=False)
 class _Target:
     column: str
     ranks: tuple[int, ...]          # 0-based order statistics wanted, ascending
@@ -112,18 +111,22 @@ class QuantileJob:
                 targets.append(t)
                 per_col[c].append(t)
 
-        slow = self._fast(df, targets) if targets else []
-        if slow:
-            for _ in range(MAX_ROUNDS):
-                self._verify(df, slow)
-                big = [t for t in slow if t.inside > self.collect_cap and t.lo < t.hi
-                       and not (t.distinct is not None and t.distinct <= self.collect_cap)]
-                if not big:
-                    break
-                self._refine(df, big)
-            else:  # pragma: no cover
-                raise RuntimeError("quantile refinement did not converge")
-            self._collect(df, slow)
+        # the sketch has told how many rows a bracket holds: where those are too many to collect,
+        # the pass that lists them is left out and the bracket is narrowed first
+        wide = [t for t in targets if counts[t.column] * 2 * self.margin > self.collect_cap]
+        few = [t for t in targets if t not in wide]
+        slow = wide + (self._fast(df, few) if few else [])
+        while slow:
+            self._verify(df, slow)
+            big = [t for t in slow if t.inside > self.collect_cap and t.lo < t.hi
+                   and not (t.distinct is not None and t.distinct <= self.collect_cap)]
+            if not big:
+                self._collect(df, slow)
+                break
+            if all(t.stalled for t in big):  # a finer sketch narrows further
+                self.accuracy *= 4
+                self.margin = 4.0 / self.accuracy
+            self._refine(df, big)
 
         out: dict[str, list[float | None]] = {}
         for c in self.cols:

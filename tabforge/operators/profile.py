@@ -302,7 +302,7 @@ def profile_report(df: DataFrame, target: str | None = None,
     feats = df.drop(target) if target else df
     threshold = CORR_THRESHOLD_CLUSTERING if learning_type == "Clustering" else CORR_THRESHOLD
     n = row_count(feats)
-    num = numeric_profile(feats).cache()
+    num = numeric_profile(feats)
     miss = missing_summary(feats)
     return {
         "numeric": num,

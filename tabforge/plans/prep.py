@@ -25,7 +25,7 @@ from tabforge.functions.scalar import binary_feature, parse_operation
 from tabforge.operators import encode, impute, outliers, scale, select, transform
 from tabforge.operators.target import TargetState, apply_target, fit_target
 from tabforge.plans.plan import Plan, TaskConfig
-from tabforge.session import spread
+from tabforge.session import release, spread
 from tabforge.trace import step
 
 SANITISE = {"[": "_", "]": "_", "<": "_", ">": "_"}   # fixed: characters replaced in names
@@ -243,7 +243,7 @@ def fit(df: DataFrame, plan: Plan | dict, config: TaskConfig, store_dir: str | N
     rows (rows with a missing target are removed, as at fit in the reference)."""
     plan = Plan(plan).validate(columns=df.columns, target=config.target)
     fp = FittedPrep(config=config.__dict__.copy())
-    df = spread(normalise_missing(df))   # narrow inputs only; see session.spread
+    held = df = spread(normalise_missing(df))   # narrow inputs only; see session.spread
     fp.input_columns = [c for c in df.columns if c != config.index_column]
     tname = config.target if config.supervised else None
     if tname:
@@ -423,6 +423,7 @@ def fit(df: DataFrame, plan: Plan | dict, config: TaskConfig, store_dir: str | N
             ("log_transformer", fp.log_shift), ("yeo_johnson_transformer", fp.yeo_johnson),
             ("scaler", fp.scaler), ("feature_selection", fp.selected_out)] if v],
     })
+    release(held)
     return fp, fp.transform_training(df)
 
 

@@ -227,3 +227,15 @@ def test_saved_state_holds_large_level_maps(spark, monkeypatch):
     again = pp.FittedPrep.load(folder)
     assert again.level_maps[0]["path"].startswith(folder)
     assert sorted(map(tuple, again.transform(df).collect())) == sorted(map(tuple, fp.transform(df).collect()))
+
+
+def test_exact_quantiles_narrow_wide_brackets(spark):
+    import numpy as np
+
+    from tabforge.functions.quantiles import QuantileJob
+    rng = np.random.default_rng(4)
+    values = {"x": rng.normal(size=20_000), "few": rng.integers(0, 5, 20_000).astype(float)}
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(values["x"], values["few"], strict=True)], "x double, few double")
+    got = QuantileJob({c: [0.25, 0.5, 0.9] for c in values}, accuracy=50, collect_cap=40).run(df)
+    for c, v in values.items():
+        assert np.allclose(got[c], np.quantile(v, [0.25, 0.5, 0.9]))
