@@ -10,7 +10,8 @@ probability equal to their similarity, with the concentration bounds of fully
 random minwise hashing, at O(T log T + n) instead of O(T n) steps.
 
 Bands of ``ROWS`` coordinates give ``BANDS`` keys a document.  A pair at
-similarity 0.8 shares no key with probability (1 - 0.8^5)^40, about 1e-7.
+similarity 0.8 shares no key with probability (1 - 0.8^5)^32, about 3e-6;
+at 0.85 it is 7e-9.
 
 Documents with equal sets are collapsed to one class first (128-bit digest of
 the sorted set).  Each class is then compared with one leader of its buckets,
@@ -37,9 +38,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, slices, written
+from . import exact_dedup
+from .common import slices, written
 
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 32, 5
 BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1 << 20  # bounds of a block; larger buckets take several
 
 # Odd 64-bit constants of the hash mixer (any would do).
@@ -57,7 +59,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept while a task runs (emptied when large)."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -149,10 +151,11 @@ def _profile(size: int, bands: int, rows: int, sets: bool) -> Callable[[Iterator
         with np.errstate(over="ignore"):
             for batch in batches:
                 at, ids = 0, batch.column("doc_id")
+                rest = [batch.column(c) for c in ("uid", "scan_key")]
                 for texts in slices(batch.column("text")):
                     offsets, s = shingle_sets(texts, size, hashes)
                     digests = [xxhash.xxh3_128_digest(s[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                    own = ids.slice(at, len(texts))
+                    own, more = ids.slice(at, len(texts)), [c.slice(at, len(texts)) for c in rest]
                     at += len(texts)
                     arrays = [own, pa.array(np.diff(offsets)), pa.array(digests, pa.binary())]
                     if sets:
@@ -163,21 +166,23 @@ def _profile(size: int, bands: int, rows: int, sets: bool) -> Callable[[Iterator
                                                          names=["doc_id", "n_shingles", "digest", "shingles"])
                     else:
                         keys = band_keys(sketch(offsets, s, bands * rows), bands, rows)
-                        arrays.append(_lists(np.arange(len(texts) + 1) * bands, keys.reshape(-1)))
-                        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "digest", "bands"])
+                        arrays += [_lists(np.arange(len(texts) + 1) * bands, keys.reshape(-1)), *more]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "digest", "bands", "uid", "scan_key"])
 
     return run
 
 
 def _bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"),
+                       F.monotonically_increasing_id().alias("uid"),
+                       exact_dedup.scan_key(F.coalesce(F.col(text_col), F.lit(""))).alias("scan_key"))
 
 
 def sketches(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest, bands) of every row."""
+    """(doc_id, n_shingles, digest, bands, uid, scan_key) of every row."""
     return _bytes(docs, id_col, text_col).mapInArrow(
-        _profile(size, bands, rows, False), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>")
+        _profile(size, bands, rows, False), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, uid bigint, scan_key bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,10 +256,11 @@ def _size_fits(n1: str, n2: str, percent: int) -> F.Column:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest, component_id) of every row of ``docs``.
+    """(doc_id, n_shingles, component_id, comp, uid, scan_key) of every row of ``docs``.
 
     ``size`` words a shingle; documents are linked at ``percent`` % similarity.
-    ``component_id`` is the smallest id that links lead to.
+    ``component_id`` is the smallest id that links lead to; ``comp`` numbers
+    the components (null: a document without words).
     """
     all_rows = written(sketches(docs, size, bands, rows, id_col, text_col), "sketches")
     classes = written(all_rows.where("n_shingles > 0").groupBy("digest")
@@ -262,12 +268,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
                       .withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     # buckets with more than one class
-    keyed = classes.select("cid", "n", F.explode("bands").alias("key"))
+    keyed = classes.select("cid", F.explode("bands").alias("key"))
     heads = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("cid").alias("leader")).where("members > 1")
-    buckets = written(keyed.join(heads, "key").select("key", "cid", "n", "leader"), "buckets")
+    buckets = written(keyed.join(heads, "key").select("key", "cid", "leader"), "buckets")
 
     # the full sets of the classes in buckets, from a second scan of the texts
-    used = written(buckets.select("cid").distinct().join(classes.select("cid", "digest", "first_id"), "cid"), "used")
+    used = written(buckets.select("cid").distinct().join(classes.select("cid", "n", "digest", "first_id"), "cid"), "used")
     names = _bytes(docs, id_col, text_col)
     ids = used.select(F.col("first_id").alias("wanted")).distinct()
     sets = (names.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
@@ -280,7 +286,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     # each class with one leader: joins groups of near copies at one comparison a class
     pairs = (buckets.where("cid <> leader").groupBy("cid").agg(F.min("leader").alias("a"))
              .select("a", F.col("cid").alias("b")))
-    size_of = used.select("cid").join(classes.select("cid", "n"), "cid")
+    size_of = used.select("cid", "n")
     pairs = (pairs.join(size_of.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a")
              .join(size_of.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b")
              .where(_size_fits("na", "nb", percent)).select("a", "b"))
@@ -288,8 +294,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     comps = written(components(links), "components")
 
     # pairs across components, once for each set of classes that some bucket holds
-    state = (buckets.select("key", "cid", "n").join(comps.withColumnRenamed("id", "cid"), "cid", "left")
-             .withColumn("comp", F.coalesce("comp", "cid")))
+    known = written(size_of.join(comps.withColumnRenamed("id", "cid"), "cid", "left")
+                    .select("cid", "n", F.coalesce("comp", "cid").alias("comp")), "known")
+    state = buckets.select("key", "cid").join(known, "cid")
     mixed = (state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n").alias("all"),
                                       F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("cid")).alias("h1"),
                                       F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("h2"))
@@ -309,15 +316,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     first = classes.select("cid", "first_id", "digest").join(comps.withColumnRenamed("id", "cid"), "cid", "left")
     first = first.withColumn("comp", F.coalesce("comp", "cid"))
     least = first.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = first.join(least, "comp").select("digest", "component_id")
-    empty = all_rows.where("n_shingles = 0").select("doc_id", "n_shingles", "digest", F.col("doc_id").alias("component_id"))
-    return (all_rows.where("n_shingles > 0").join(named, "digest")
-            .select("doc_id", "n_shingles", "digest", "component_id").unionByName(empty))
-
-
-def keep_one(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's (``decided`` written before), with all their columns."""
-    k = free_name(docs.columns, "dropped_id")
-    gone = written(decided.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(k))
-                   .distinct(), "dropped")
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[k]), "left_anti")
+    named = first.join(least, "comp").select("digest", "component_id", "comp")
+    out = ["doc_id", "n_shingles", "component_id", "comp", "uid", "scan_key"]
+    empty = (all_rows.where("n_shingles = 0")
+             .withColumns({"component_id": F.col("doc_id"), "comp": F.lit(None).cast("bigint")}).select(*out))
+    return all_rows.where("n_shingles > 0").join(named, "digest").select(*out).unionByName(empty)
+
+
+def keep_one(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component of ``decided`` (from ``near_duplicates``, written), with all its
+    columns: the one with the smallest id, ids before null.  Documents without words all stay."""
+    stays = decided.where("comp is not null").groupBy("comp").agg(
+        F.coalesce(F.min_by("uid", "doc_id"), F.min("uid")).alias("keep_uid"))
+    rows = written(decided.join(stays, "comp", "left").select(
+        "doc_id", "scan_key", F.coalesce(F.col("uid") == F.col("keep_uid"), F.lit(True)).alias("kept")), "near-kept")
+    return exact_dedup.keep_first(docs, rows, id_col, text_col)

@@ -228,6 +228,18 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     test_near_duplicates_chains_and_hot_groups(spark)
 
 
+def test_keep_one_of_each_group(spark):
+    """Ids that repeat or are missing: still one row of each group stays, and the others' rows are left alone."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text), (5, text + " x"), (5, "something else entirely that is here"), (None, text + " y"),
+            (None, "no id " * 9), (None, "no id " * 9), (7, ""), (8, None), (3, "something else entirely that is here")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = near_dedup.keep_one(docs, written(near_dedup.near_duplicates(docs), "t")).collect()
+    assert sorted(((r[0], r[1]) for r in got), key=str)[1:] and len(got) == 5
+    assert {(r[0], r[1]) for r in got} >= {(3, rows[8][1]), (None, rows[4][1]), (8, None), (7, "")}
+    assert [r[0] for r in got if r[1] and r[1].startswith("w0")] == [5]
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     for shared, own in ((400, 50), (30, 10), (3, 1), (500, 500)):
@@ -279,8 +291,10 @@ def test_bpe_random_texts():
     words = [w.replace("</w>", "") for w in Tokenizer.from_file(WORD_BPE).get_vocab()]
     texts = ["".join(rng.choice(letters, rng.integers(0, 50))) for _ in range(800)]
     texts += ["".join(rng.choice(words, 3)) for _ in range(800)] + ["".join(rng.choice(list("aehinorst"), 12)) for _ in range(800)]
-    for t, data in zip(texts, encode(texts), strict=True):
-        assert np.frombuffer(data, "<u4").tolist() == library(t)[0], repr(t)
+    for some in (texts, [t for t in texts if t.isascii()], [None, "", " "]):
+        offsets, ids = encode(some)
+        for t, a, b in zip(some, offsets[:-1], offsets[1:], strict=True):
+            assert ids[a:b].tolist() == library(t)[0], repr(t)
 
 
 def test_language(spark, case):
