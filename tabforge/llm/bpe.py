@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 from .wordsplit import PartIds, byte_letters, splitter
 
 END = 0x8000  # added to a letter's code: the letter that ends a word
@@ -63,7 +63,7 @@ class TrieEncoder:
     def _step(self, key: str) -> tuple[str, tuple]:
         """After ``key`` (a state and a letter): the next state, i.e. the longest ending that a token starts
         with, and the tokens that end here as (length, id), longest first."""
-        if len(self.steps) > 150_000:
+        if len(self.steps) > 100_000:
             self._forget()
         at = key
         while at and at not in self.starts:
@@ -95,7 +95,7 @@ class TrieEncoder:
         key = a << 20 | b
         ok = self.fits.get(key)
         if ok is None:
-            if len(self.fits) > 300_000:
+            if len(self.fits) > 100_000:
                 self.fits.clear()
             ok = self.fits[key] = key not in self.pair_rank and self._ends_with_merge(a, b, len(self.pair_rank))
         return ok
@@ -150,13 +150,12 @@ def _encode(path: str):
         encode = _part_ids(path)
         for b in batches:
             at = 0
-            for texts in slices(b.column("text"), 4 << 20, 4096):
-                data = encode(texts)
-                offsets = np.zeros(len(texts) + 1, np.int32)
-                np.cumsum([len(d) // 4 for d in data], out=offsets[1:])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), "<i4")))
+            for texts in slices(b.column("text"), 2 << 20, 2048):
+                offsets, ids = encode(texts)
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(texts)), ids], names=["doc_id", "ids"])
                 at += len(texts)
+        encode.trim()
 
     return run
 
@@ -165,7 +164,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(doc_id, ids) of every row: the whole text's token ids, without added begin or end tokens."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(_encode(path), f"doc_id {kind}, ids array<int>")
+    return rows.mapInArrow(tidy(_encode(path)), f"doc_id {kind}, ids array<int>")
 
 
 @lru_cache(maxsize=2)
@@ -206,14 +205,14 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     both = lambda batches: _decode(path)(_encode(path)(batches))
-    return rows.mapInArrow(both, f"doc_id {kind}, ids array<int>, decoded string")
+    return rows.mapInArrow(tidy(both), f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) plus ``decoded``, the text of the ids, special tokens included."""
     rows = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(_decode(path), f"doc_id {kind}, ids array<int>, decoded string")
+    return rows.mapInArrow(tidy(_decode(path)), f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

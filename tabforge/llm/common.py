@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,16 @@ def free_name(taken: list[str], wanted: str) -> str:
     return wanted
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's Arrow batches; gives the memory of dead batches back when the task ends, as the
+    Python worker lives on between tasks."""
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def slices(column, most_bytes: int = 1 << 20, most_rows: int = 512) -> Iterator[list]:
     """Values of an Arrow column as lists of bounded size (a long text is a list of its own)."""
     part, size = [], 0

@@ -39,8 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
-from .wordsplit import PartIds, splitter
+from .common import slices, tidy, written
+from .wordsplit import PLAIN, PartIds, splitter
 
 FRAME = 1 << 17  # bytes of ids after which a frame ends
 LONGEST = 1 << 20  # bytes of ids that no frame exceeds
@@ -168,9 +168,19 @@ def library_ids(path: str) -> PartIds:
     encode = split.whole.encode_batch_fast
 
     def words(new: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in encode(new, add_special_tokens=False)]
+        out: list[bytes] = []
+        for at in range(0, len(new), 500):
+            some = new[at:at + 500]
+            if all(map(PLAIN.fullmatch, some)):  # one text; the library says which word a token is of
+                e = split.whole.encode(" ".join(some), add_special_tokens=False)
+                ends = 4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some)), side="right")
+                data = np.array(e.ids, "<u4").tobytes()
+                out += [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            else:
+                out += [np.array(e.ids, "<u4").tobytes() for e in encode(some, add_special_tokens=False)]
+        return out
 
-    return PartIds(split, words)
+    return PartIds(split, words, 1_200_000)
 
 
 def _write(folder: str, path: str, end_id: int):
@@ -185,8 +195,10 @@ def _write(folder: str, path: str, end_id: int):
             for texts in slices(b.column("text"), 4 << 20, 4096):
                 if writer is None:
                     writer = Writer(fs.open_output_stream(f"{base}/{name}"))
-                for data in encode(texts):
-                    writer.add(ids[at], data + end)
+                offsets, tokens = encode(texts)
+                data, offsets = tokens.tobytes(), (4 * offsets).tolist()
+                for start, stop in zip(offsets[:-1], offsets[1:], strict=True):
+                    writer.add(ids[at], data[start:stop] + end)
                     at += 1
         if writer is not None:
             writer.close()
@@ -207,7 +219,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
                        F.xxhash64(F.col(text_col)).alias("h"), F.monotonically_increasing_id().alias("place"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("place")]
     files = (rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-             .mapInArrow(_write(folder, path, end_id), "file_no bigint, file string, docs bigint, ids bigint"))
+             .mapInArrow(tidy(_write(folder, path, end_id)), "file_no bigint, file string, docs bigint, ids bigint"))
     files = written(files, "token-files")
     # one row per file
     return files.withColumn("start", F.sum("ids").over(Window.orderBy("file_no")) - F.col("ids"))
