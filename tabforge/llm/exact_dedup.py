@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import free_name, tidy, written
 
 CHUNK = 1 << 16
 # Primes below 2^47: 2^16 residues (a text of 4 GiB) sum up within a long.
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               .select(*keys, "c.chunk_no", "c.chunk"))
     kinds = dict(pieces.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "s1 bigint", "s2 bigint"])
-    hashed = pieces.mapInArrow(_hash_chunks(primes, chunk), schema)
+    hashed = pieces.mapInArrow(tidy(_hash_chunks(primes, chunk)), schema)
     return hashed.groupBy(*keys).agg((F.sum("s1") % primes[0]).alias("f1"), (F.sum("s2") % primes[1]).alias("f2"))
 
 

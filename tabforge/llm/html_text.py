@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 MARKUP = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))""", re.S)
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -355,5 +355,5 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFr
     rows = pages.select(*[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)], F.col(html_col).cast("string").alias("html"))
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"kept_{i} {kinds[f'kept_{i}']}" for i in range(len(keep))), "text string"])
-    out = rows.mapInArrow(_render, schema)
+    out = rows.mapInArrow(tidy(_render), schema)
     return out.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)], "text")

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -185,8 +185,12 @@ def proportions(p: np.ndarray, n: np.ndarray, starts: np.ndarray, min_share: flo
 
 
 def _predict(model: Model):
+    ready: list[tuple[np.ndarray, np.ndarray]] = []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_of, p_of, some = model.place(), np.exp(model.log_p), len(model.languages) > 0
+        if not ready:  # once a task
+            ready.append((model.place(), np.exp(model.log_p)))
+        (at_of, p_of), some = ready[0], len(model.languages) > 0
         common = int(model.shares.argmax()) if some else 0
         for b in batches:
             start = 0
@@ -225,17 +229,20 @@ def predict(docs: DataFrame, model: Model, keep: dict[str, Column] | None = None
                        F.col(text_col).cast("string").alias("text"))
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns if c != "text")
-    return rows.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double, mix array<struct<lang: string, share: double>>")
+    return rows.mapInArrow(tidy(_predict(model)), f"{schema}, lang_pred string, score double, mix array<struct<lang: string, share: double>>")
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
     """The rows of ``docs`` (same columns) whose language is known with at least ``min_score``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = b.schema.names.index(text_col)
-            part = pa.RecordBatch.from_arrays([b.column(t).cast(pa.string())], names=["text"])
-            keep = [n != UNKNOWN and s >= min_score for out in _predict(model)(iter([part]))
-                    for n, s in zip(out.column("lang_pred").to_pylist(), out.column("score").to_pylist(), strict=True)]
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+        predict_part = _predict(model)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                b = whole.slice(start, 1024)
+                text = b.column(b.schema.names.index(text_col)).cast(pa.string())
+                part = pa.RecordBatch.from_arrays([text], names=["text"])
+                keep = [n != UNKNOWN and s >= min_score for out in predict_part(iter([part]))
+                        for n, s in zip(out.column("lang_pred").to_pylist(), out.column("score").to_pylist(), strict=True)]
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(tidy(run), docs.schema)

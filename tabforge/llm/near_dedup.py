@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exact_dedup
-from .common import slices, written
+from .common import slices, tidy, written
 
 BANDS, ROWS = 32, 5
 BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1 << 20  # bounds of a block; larger buckets take several
@@ -182,7 +182,7 @@ def sketches(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS, i
              text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, digest, bands, uid, scan_key) of every row."""
     return _bytes(docs, id_col, text_col).mapInArrow(
-        _profile(size, bands, rows, False), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, uid bigint, scan_key bigint")
+        tidy(_profile(size, bands, rows, False)), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, uid bigint, scan_key bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     names = _bytes(docs, id_col, text_col)
     ids = used.select(F.col("first_id").alias("wanted")).distinct()
     sets = (names.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-            .mapInArrow(_profile(size, bands, rows, True),
+            .mapInArrow(tidy(_profile(size, bands, rows, True)),
                         "doc_id bigint, n_shingles bigint, digest binary, shingles array<bigint>").alias("s")
             .join(used.alias("u"), (F.col("s.digest") == F.col("u.digest")) & F.col("s.doc_id").eqNullSafe(F.col("u.first_id")))
             .select("cid", "shingles").groupBy("cid").agg(F.first("shingles").alias("shingles")))
