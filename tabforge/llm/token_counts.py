@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, tidy, written
 
 CACHE = "digest binary, tokenizer string, n_tokens bigint"
 
@@ -81,8 +81,9 @@ def count_tokens(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id",
     missing = written(rows.select("digest").distinct().join(known, "digest", "left_anti"), "missing")
     texts = (docs.select(_digest(F.col(text_col), normalise).alias("digest"), normalise(text).alias("text"))
              .groupBy("digest").agg(F.first("text").alias("text")).join(missing, "digest", "left_semi"))
-    (texts.mapInArrow(_count(path), "digest binary, n_tokens bigint")
+    (texts.mapInArrow(tidy(_count(path)), "digest binary, n_tokens bigint")
      .select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache))
-    counts = (spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == tokenizer)
-              .groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
+    # a table of its own, so that Spark can split the hot digests of the join
+    counts = written(spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == tokenizer)
+                     .groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
