@@ -33,7 +33,8 @@ from .common import written
 
 SHARD_ROWS = 8192
 DEGREE = 32
-BEAM = 64
+BEAM = 64  # of the searches that propose neighbours
+SEARCH_BEAM = 96  # of queries
 ALPHA = 1.2
 BATCH = 512
 
@@ -185,7 +186,8 @@ def index(vectors: DataFrame, k: int, id_col: str, vector_col: str, shard_rows:
     nodes = written(rows.distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1)
                     .groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("vec_ids")), "vectors")
     nodes = nodes.withColumn("dim", F.size("vector"))
-    counts = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))  # a row per length
+    counts = written(nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards")), "shards")  # a row per length
+    shards = counts.agg(F.sum("shards")).first()[0] or 1
     nodes = nodes.join(counts, "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
 
     def graph(part: pd.DataFrame) -> pd.DataFrame:
@@ -196,11 +198,13 @@ def index(vectors: DataFrame, k: int, id_col: str, vector_col: str, shard_rows:
                              "edges": [e[e >= 0] for e in edges], "start": start})
 
     schema = "shard int, dim int, node int, vec_ids array<bigint>, vector array<double>, edges array<bigint>, start int"
-    return written(nodes.groupBy("dim", "shard").applyInPandas(graph, schema), "graph")
+    # by ranges, so that shards get tasks of their own however small their data is
+    parted = nodes.select("dim", "shard", "vec_ids", "vector").repartitionByRange(int(shards), "dim", "shard")
+    return written(parted.groupBy("dim", "shard").applyInPandas(graph, schema), "graph")
 
 
 def search(graph: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "vector",
-           beam: int = BEAM, block: int = 16_384) -> DataFrame:
+           beam: int = SEARCH_BEAM, block: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest finds of every usable query.
 
     Every shard answers each block of at most about ``block`` queries in a task.
