@@ -34,7 +34,10 @@ from .common import slices, tidy
 
 MARKUP = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))""", re.S)
 SPACE = re.compile(r"[ \t\n\r\f]+")
-HIDING = re.compile(r"""(?:^|[\s"'/])hidden(?![\w-])|style\s*=\s*["']?[^"'>]*?(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
+MAY_HIDE = re.compile("hidden|style", re.I)
+ATTRIBUTE = re.compile(r"""([^ \t\n\r\f/][^ \t\n\r\f/=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)"?+|'([^']*+)'?+|([^ \t\n\r\f]*+)))?+""")
+STYLE_OPAQUE = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\]++|\\.?)*+"?+|'(?:[^'\\]++|\\.?)*+'?+|\([^)]*+\)?+""", re.S)
+IMPORTANT = re.compile(r"!\s*important$")
 NUMBER = {k: re.compile(rf"""(?:^|[\s"']){k}\s*=\s*["']?\s*(\d{{1,4}})""", re.I) for k in ("colspan", "start", "value")}
 
 # Groups of element names of the HTML standard.
@@ -62,6 +65,33 @@ DEEPEST = 12  # list levels that are indented
 NESTED = 512  # elements nested deeper than this count as text of the element they are in
 
 
+def style_hides(style: str) -> bool:
+    """Whether declarations have display none or visibility hidden; of several for a property the last
+    ``!important`` one holds, else the last."""
+    plain = STYLE_OPAQUE.sub(lambda m: " " if m[0][0] == "/" else '"', style)  # no sign in these cuts or names anything
+    held: dict[str, tuple[bool, str]] = {}
+    for declaration in plain.lower().split(";"):
+        prop, colon, value = declaration.partition(":")
+        prop, bare = prop.strip(), IMPORTANT.sub("", value.strip())
+        if colon and (now := (bare != value.strip(), bare.strip()))[0] >= held.get(prop, now)[0]:
+            held[prop] = now
+    return held.get("display", (False, ""))[1] == "none" or held.get("visibility", (False, ""))[1] == "hidden"
+
+
+def hides(attrs: str) -> bool:
+    """Whether a tag has an attribute named hidden, or a style that hides; of equal names the first counts."""
+    if not MAY_HIDE.search(attrs):
+        return False
+    style = None
+    for m in ATTRIBUTE.finditer(attrs):
+        name = m[1].lower()
+        if name == "hidden":
+            return True
+        if name == "style" and style is None:
+            style = html.unescape(m[2] or m[3] or m[4] or "")
+    return bool(style) and style_hides(style)
+
+
 class Lines:
     """Text written line by line: single spaces within lines, at most one blank line in between."""
 
@@ -194,7 +224,7 @@ class Renderer:
             return
         if name in CELLS and "table" in self.open and self._find({"tr"}, {"table"}) < 0:
             self.start("tr", "")
-        if not self.unseen and (name in UNSEEN or attrs and HIDING.search(attrs)):
+        if not self.unseen and (name in UNSEEN or attrs and hides(attrs)):
             if name in VOID:
                 return
             self.unseen = len(self.open) + 1

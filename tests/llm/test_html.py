@@ -37,6 +37,26 @@ def test_page(page):
     assert "\n".join(x.rstrip() for x in got.split("\n")) == "\n".join(x.rstrip() for x in CASES[page].split("\n"))
 
 
+HIDE = ["hidden", "HIDDEN=''", "hidden=until-found", "class=a hidden/", "id='x'hidden", 'style="display:none"', "style=display:none",
+        "style='color:red; DISPLAY : None !important;'", "STYLE = 'visibility: hidden'", "style='/* a */display/**/:none'",
+        "style='display&#58;none'", "style='display:none!important;display:block'", "style='background:url(a;b);display:none'"]
+SHOW = ['style="overflow: hidden"', 'title="Hidden gems of Paris"', 'class="hidden"', 'alt="the hidden cat"', "class=hidden",
+        'style="backface-visibility: hidden"', 'href="/hidden/x"', "href=/hidden/x", "href=a/hidden", "data-hidden", "hidden-x=1",
+        "aria-hidden='true'", "title='a style=display:none'", "data-style='display:none'", "style='--display:none'",
+        "style='display:none;display:block'", "style='x-display:none'", "style='/* display:none */'", "title=\"it's hidden\"",
+        "style='content:\"; display:none; \"'", "style='a:b' style='display:none'", "style", "style=''", "title='x' class='a hidden b'"]
+
+
+@pytest.mark.parametrize("attrs", HIDE)
+def test_hidden_elements(attrs):
+    assert page_text(f"a<div {attrs}>no</div>b") == "ab"
+
+
+@pytest.mark.parametrize("attrs", SHOW)
+def test_attributes_that_only_mention_hiding(attrs):
+    assert page_text(f"<body {attrs}>a<i {attrs}>yes</i>") == "ayes"
+
+
 def test_words_survive():
     """Every word outside tags comes out, in order."""
     words = [f"w{i}" for i in range(500)]
@@ -45,6 +65,14 @@ def test_words_survive():
     assert sorted(x for x in page_text(page).split() if x != "-") == sorted(words)
 
 
+@pytest.mark.parametrize("attrs", ["hidde " * 100_000 + "style", "style" + " " * 500_000 + "x", "style='" + "/*" * 200_000, "style='" + "(" * 500_000,
+                                   "style='" + "display:none;" * 50_000 + "display:block'", "style='" + "\\" * 300_000])
+def test_long_attributes_are_linear(attrs):
+    t = time.process_time()
+    assert page_text(f"<p {attrs}>x") in ("", "x")
+    assert time.process_time() - t < 5
+
+
 @pytest.mark.parametrize("page", ["<div>" * 200_000, "<ul><li>" * 20_000, "<a b=\"" * 50_000, "<table><tr><td>" * 5_000,
                                   "<" * 100_000, "<!--" * 50_000, "<p>" * 100_000, "</b>" * 100_000, "<b><p>" * 20_000,
                                   "&" * 100_000, "<x y='" + "z" * 500_000])
