@@ -2,8 +2,10 @@
 
 ``plan_mix`` gives one row per source: how many words of it the mix wants
 (``target``), how often each of its documents is taken for sure (``whole``)
-and up to which hash value a document is taken once more (``cut``; ``extra``
-is the hash of one further document that fills the last gap).  The decision about a document is then a function of its own row and its source's
+and up to which hash value a document is taken once more (``cut``; ``more``
+lists ranges of hashes above it from which documents up to a size are taken
+too, ``extra`` is the hash of one further document that fills the last gap).
+The decision about a document is then a function of its own row and its source's
 plan row, so ``apply_mix`` needs no shuffle of texts.
 
 Cases with a defined result: null and empty texts have size 0 and take 0
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import free_name, unit_hash, word_count, written
 
 HASH_BITS = 60
+RANGES = "array<struct<lo: bigint, hi: bigint, most: double>>"
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -80,15 +83,66 @@ def fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFrame:
     return sources.withColumn("target", F.when(weight > 0, share).otherwise(F.lit(0.0)))
 
 
-def plan_mix(rows: DataFrame, weights: DataFrame, share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
-    """(source, source_size, target, whole, cut, extra) from ``sized`` rows and (source, weight).
+def _same(left: DataFrame, right: DataFrame) -> Column:
+    return left.source.eqNullSafe(right.source)
+
+
+def fill_gaps(rows: DataFrame, plan: DataFrame, within: float, shift: int) -> DataFrame:
+    """``plan`` with ``more`` and a smaller ``gap``: as if each source went on in hash order and took every document that still fits.
+
+    A round takes, from where the last one was stopped, the documents no larger
+    than the gap, up to the first that overshoots it; that one fits no later gap
+    either, so the next round starts after it.  A round is two bucketed sums as
+    in ``plan_mix``.  A source is done when its gap is at most ``within`` of its
+    target or no document is left that fits.
+    """
+    end = (1 << HASH_BITS) - 1
+    bucket = F.shiftright("u", shift)
+    plan = plan.withColumns({"more": F.array().cast(RANGES), "at": F.col("cut")})
+    while True:
+        plan = written(plan, "gaps")
+        short = plan.where((F.col("gap") > within * F.col("target")) & (F.col("at") < end)).select("source", "gap", "at")
+        if short.isEmpty():
+            return plan.drop("at")
+        left = (rows.join(short, _same(rows, short))
+                .where((F.col("u") > F.col("at")) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+                .select(rows.source, "u", "size", "gap", bucket.alias("bucket")))
+        sums = left.groupBy("source", "gap", "bucket").agg(F.sum("size").alias("s"))
+        upto = F.sum("s").over(Window.partitionBy("source").orderBy("bucket"))
+        fits = F.col("upto") <= F.col("gap")
+        edge = written(sums.withColumn("upto", upto).groupBy("source")
+                       .agg(F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0)).alias("before"),
+                            F.min(F.when(~fits, F.col("bucket"))).alias("edge")), "edges")
+        near = (left.join(edge, _same(left, edge) & (left.bucket == edge.edge))
+                .groupBy(left.source, "gap", "before", "u").agg(F.sum("size").alias("s")))
+        near = near.withColumn("upto", F.col("before") + F.sum("s").over(Window.partitionBy("source").orderBy("u")))
+        near = near.groupBy("source").agg(F.max(F.when(fits, F.col("u"))).alias("last"), F.max(F.when(fits, F.col("upto"))).alias("upto"),
+                                          F.min(F.when(~fits, F.col("u"))).alias("stop"))
+        found = (edge.join(near, _same(edge, near), "left")
+                 .select(edge.source, F.coalesce("last", F.shiftleft("edge", shift) - 1, F.lit(end)).alias("hi"),
+                         F.coalesce("upto", "before").alias("got"), F.coalesce("stop", F.lit(end)).alias("stop")))
+        found = written(found, "found")
+        taken = F.array(F.struct(F.col("at").alias("lo"), F.col("hi"), F.col("gap").alias("most"))).cast(RANGES)
+        active = (F.col("gap") > within * F.col("target")) & (F.col("at") < end)
+        plan = (plan.join(found, _same(plan, found), "left")
+                .select(*[plan[c] for c in plan.columns if c not in ("gap", "more", "at")],
+                        (F.col("gap") - F.coalesce("got", F.lit(0))).alias("gap"),
+                        F.when(F.col("got") > 0, F.concat("more", taken)).otherwise(F.col("more")).alias("more"),
+                        F.when(active, F.coalesce("stop", F.lit(end))).otherwise(F.col("at")).alias("at")))
+
+
+def plan_mix(rows: DataFrame, weights: DataFrame, share: float = 1.5, max_epochs: float = 2.0,
+             within: float | None = None) -> DataFrame:
+    """(source, source_size, target, whole, cut, extra, more) from ``sized`` rows and (source, weight).
 
     ``share``: the mix's size as a multiple of all sizes.  The fractional part
     of a target is filled in hash order: sizes are summed per (source, hash
     range), then only the range in which the target falls is summed row by
     row.  There are about sqrt(rows) ranges, so neither level puts a whole
     source into one task.  The gap that the next document would overshoot is
-    filled by the one document (``extra``) whose size comes nearest to it.
+    filled by the one document (``extra``) whose size comes nearest to it; with
+    ``within``, a gap above that share of the target is first filled by the
+    documents further on that fit (``fill_gaps``).
     """
     sources = written(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")),
                       "sizes")
@@ -125,18 +179,38 @@ def plan_mix(rows: DataFrame, weights: DataFrame, share: float = 1.5, max_epochs
     plan = written(plan.join(cut, key(plan, cut), "left")
                    .select(plan["*"], F.coalesce("cut", F.lit(-1)).cast("long").alias("cut"),
                            (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap")), "cuts")
+    plan = with_extra(rows, plan.withColumn("more", F.array().cast(RANGES)))
+    if within is not None:
+        # a source keeps its first cut where going on ends further from the target
+        on = with_extra(rows, fill_gaps(rows, plan.select("source", "target", "cut", "gap"), within, shift))
+        closer = F.when(on.miss < plan.miss, True).otherwise(False)
+        plan = (plan.join(on, _same(plan, on))
+                .select(*[plan[c] for c in plan.columns if c not in ("more", "extra")],
+                        *[F.when(closer, on[c]).otherwise(plan[c]).alias(c) for c in ("more", "extra")]))
+    return written(plan.select("source", "source_size", "target", "whole", "cut", "extra", "more"), "mix")
+
+
+def with_extra(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with ``extra`` (-1: none) and ``miss``, how far from the target the source then is."""
     off = F.abs(F.col("r.size") - F.col("p.gap"))
     extra = (rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
-             .where((F.col("r.u") > F.col("p.cut")) & (off < F.col("p.gap")))
+             .where((F.col("r.u") > F.col("p.cut")) & (off < F.col("p.gap"))
+                    & ~in_ranges(F.col("r.u"), F.col("r.size"), F.col("p.more")))
              .groupBy(F.col("p.source").alias("of")).agg(F.min(F.struct(off.alias("off"), F.col("r.u").alias("u"))).alias("best")))
     return written(plan.join(extra, F.col("source").eqNullSafe(F.col("of")), "left")
-                   .select("source", "source_size", "target", "whole", "cut",
-                           F.coalesce("best.u", F.lit(-1)).cast("long").alias("extra")), "mix")
+                   .select(*plan.columns, F.coalesce("best.u", F.lit(-1)).cast("long").alias("extra"),
+                           F.coalesce("best.off", "gap").alias("miss")), "extras")
+
+
+def in_ranges(u: Column, size: Column, more: Column) -> Column:
+    """Whether one of the ranges takes a document."""
+    return F.exists(more, lambda x: (u > x["lo"]) & (u <= x["hi"]) & (size > 0) & (size <= x["most"]))
 
 
-def repeats(u: Column, whole: Column, cut: Column, extra: Column) -> Column:
+def repeats(u: Column, whole: Column, cut: Column, extra: Column, size: Column | None = None, more: Column | None = None) -> Column:
     """How often the mix takes a document."""
-    return whole + F.when((u <= cut) | (u == extra), 1).otherwise(0)
+    once = (u <= cut) | (u == extra)
+    return whole + F.when(once if more is None else once | in_ranges(u, size, more), 1).otherwise(0)
 
 
 def apply_mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -144,13 +218,14 @@ def apply_mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col
     """The rows of ``docs``, each as often as the mix takes it (same columns)."""
     names = list(docs.columns)
     free = {}
-    for k in ("mix_source", "mix_whole", "mix_cut", "mix_extra", "mix_times"):
+    for k in ("mix_source", "mix_whole", "mix_cut", "mix_extra", "mix_more", "mix_times"):
         free[k] = free_name(names, k)
         names.append(free[k])
-    p = plan.select(*[F.col(k[4:]).alias(free[k]) for k in list(free)[:4]])
+    p = plan.select(*[F.col(k[4:]).alias(free[k]) for k in list(free)[:5]])
     own = {c: docs[f"`{c}`"] for c in docs.columns}
     d = docs.join(p, own[source_col].cast("string").eqNullSafe(p[free["mix_source"]]))
-    times = repeats(unit_hash(seed, own[id_col], own[text_col]), *[p[free[k]] for k in ("mix_whole", "mix_cut", "mix_extra")])
+    times = repeats(unit_hash(seed, own[id_col], own[text_col]), *[p[free[k]] for k in ("mix_whole", "mix_cut", "mix_extra")],
+                    word_count(own[text_col]), p[free["mix_more"]])
     return (d.withColumn(free["mix_times"], times).where(F.col(free["mix_times"]) > 0)
             .withColumn(free["mix_times"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(free["mix_times"]).cast("long"))))
             .select(*own.values()))

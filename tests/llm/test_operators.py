@@ -3,6 +3,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import duckdb
 import numpy as np
 import public_tokenizers
@@ -96,6 +97,39 @@ def test_apply_mix_repeats_rows(spark, edge_dir):
         assert got[k] == n * repeated[k]
 
 
+def test_mix_goes_on_past_a_huge_document(spark):
+    """One document of 200,000 words among 500 ordinary ones, in many sources; equal rows share a hash."""
+    rng = np.random.default_rng(3)
+    data = []
+    for s in range(12):
+        sizes = [200_000, 0, *rng.integers(50, 1200, 498).tolist()]
+        hashes = rng.integers(0, 1 << 60, 500).tolist()
+        data += [(f"s{s}" if s else None, n, u) for n, u in zip(sizes, hashes, strict=True)] + [(f"s{s}" if s else None, sizes[9], hashes[9])]
+    rows_ = written(spark.createDataFrame(data, "source string, size bigint, u bigint"), "t")
+    weights = rows_.select("source").distinct().withColumn("weight", F.lit(1.0))
+    plan = mixing.plan_mix(rows_, weights, share=0.43, within=0.001)
+    got = rows(rows_.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
+               .select("p.*", "r.size", "r.u").withColumn("times", mixing.repeats(*[F.col(c) for c in ("u", "whole", "cut", "extra", "size", "more")])))
+    by = defaultdict(int)
+    for r in got:
+        by[r["target"], r["source_size"], r["whole"], r["cut"], r["extra"]] += r["size"] * r["times"]
+    assert len(by) == 12 and sum(len(r["more"]) > 0 for r in got) > 0
+    for (target, *_), taken in by.items():
+        assert abs(taken - target) <= 0.001 * target
+
+
+def test_pipeline_mix_is_never_further_from_targets(spark):
+    docs = queries.documents(spark, SMALL)
+    first, target, got = defaultdict(int), {}, defaultdict(int)
+    for r in rows(queries.op1_mix(spark, SMALL)):
+        first[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    for r in corpus_pipeline.mix(spark, docs, SMALL).select("source", "text").collect():
+        got[r["source"]] += len(WORDS.findall(r["text"] or ""))
+    assert all(abs(got[s] - t) <= abs(first[s] - t) + 0.001 for s, t in target.items())
+    assert abs(first["src10"] - target["src10"]) > 0.3 * target["src10"] and abs(got["src10"] - target["src10"]) < 0.15 * target["src10"]
+
+
 def test_shards(spark, case):
     got = rows(queries.op2_shard(spark, case[0]))
     want = multiset((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, *_ in case[1])
