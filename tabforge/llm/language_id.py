@@ -233,13 +233,19 @@ def predict(docs: DataFrame, model: Model, keep: dict[str, Column] | None = None
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` (same columns) whose language is known with at least ``min_score``."""
+    """The rows of ``docs`` (same columns) whose language is known with at least ``min_score``.
+
+    Where no language was learned nothing can be told of a text with a letter, so all such rows stay.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict_part = _predict(model)
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 b = whole.slice(start, 1024)
                 text = b.column(b.schema.names.index(text_col)).cast(pa.string())
+                if not model.languages:
+                    yield b.filter(pa.array([bool(t) and LETTER.search(t) is not None for t in text.to_pylist()], pa.bool_()))
+                    continue
                 part = pa.RecordBatch.from_arrays([text], names=["text"])
                 keep = [n != UNKNOWN and s >= min_score for out in predict_part(iter([part]))
                         for n, s in zip(out.column("lang_pred").to_pylist(), out.column("score").to_pylist(), strict=True)]

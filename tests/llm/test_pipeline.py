@@ -4,6 +4,7 @@ import corpus_pipeline
 import pytest
 from llm_brute import near_components
 from llm_cases import EDGE, SMALL, edge_dir, empty_dir, small_docs  # noqa: F401
+from pyspark.sql import functions as F
 
 from tabforge.llm import queries
 from tabforge.llm.common import written
@@ -51,6 +52,12 @@ def test_stages_against_brute_force(spark, case):
         assert Counter(map(key, got)) == Counter(want), name
 
 
+def test_language_keeps_texts_without_any_label(spark, edge_dir):  # noqa: F811
+    docs = queries.documents(spark, edge_dir)
+    got = corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), edge_dir).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(r[:2] for r in EDGE if any(c.isalpha() for c in r[1] or ""))
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES][2] == "near"
