@@ -9,8 +9,10 @@ the number of trigrams for each language added, as in the Bayesian information
 criterion).
 
 The model is fitted on at most ``max_docs`` documents a language (those with
-the smallest hashes) and has at most ``max_features`` trigrams and
-``max_languages`` languages (the most frequent), so it has a bounded size.
+the smallest hashes of id and text) and has at most ``max_features`` trigrams,
+so it has a bounded size: each language's most frequent ones up to an equal part,
+then the most frequent of the others.  More than ``max_languages`` languages are
+an error.
 Prediction covers every row and the whole text.
 
 Cases with a defined result: a null text or one without a letter is ``und``
@@ -106,26 +108,31 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         max_features: int = 40_000, max_languages: int = 256, smoothing: float = 0.1) -> Model:
     """Trigram distributions from the rows of ``docs`` with a text and a language."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"),
-                       F.xxhash64(F.col(id_col), F.lit("fit")).alias("h")).where("text is not null and lang is not null")
-    sizes = (rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang")
-             .limit(max_languages).collect())
+                       F.xxhash64(F.col(id_col), F.col(text_col), F.lit("fit")).alias("h")).where("text is not null and lang is not null")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("first")).limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than max_languages={max_languages} languages in column {lang_col}")
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0))
     n = {r["lang"]: r["n"] for r in sizes}
     shares = np.array([n[x] for x in languages], float) / sum(n.values())
     # the hash up to which a language's documents are used: one row per language.  Only about four times
-    # max_docs hashes of a language, the smallest ones, are ranked
-    sizes = docs.sparkSession.createDataFrame([(x, n[x]) for x in languages], "lang string, n bigint")
-    small = F.col("h") / 2.0 ** 63 < 8.0 * max_docs / F.col("n") - 1
+    # max_docs hashes of a language, the smallest ones, are ranked; the first always, as equal rows share a hash
+    sizes = docs.sparkSession.createDataFrame([(r["lang"], r["n"], r["first"]) for r in sizes], "lang string, n bigint, first bigint")
+    small = (F.col("h") / 2.0 ** 63 < 8.0 * max_docs / F.col("n") - 1) | (F.col("h") == F.col("first"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     upto = (rows.select("lang", "h").join(F.broadcast(sizes), "lang").where(small)
             .withColumn("nth", nth).where(F.col("nth") <= max_docs).groupBy("lang").agg(F.max("h").alias("upto")))
     used = rows.join(F.broadcast(upto), "lang").where("h <= upto").select("text", "lang")
     counts = (used.mapInArrow(_count({x: i for i, x in enumerate(languages)}), "lang int, feature int, n bigint")
               .groupBy("lang", "feature").agg(F.sum("n").alias("n")))
-    top = (counts.groupBy("feature").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("all"))
-           .orderBy(F.col("all").desc(), "feature").limit(max_features))  # the model's size
+    # at most KINDS^3 rows a language
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "feature"))
+    own = F.max(F.col("place") <= max(1, max_features // len(languages)))
+    top = (counts.withColumn("place", place).groupBy("feature")
+           .agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("all"), own.alias("own"))
+           .orderBy(F.col("own").desc(), F.col("all").desc(), "feature").limit(max(max_features, len(languages))))  # the model's size
     found = sorted((r["feature"], r["by"]) for r in top.collect())
     table = np.full((len(found), len(languages)), smoothing)
     for i, (_, by) in enumerate(found):

@@ -348,6 +348,21 @@ def test_language_held_out_accuracy(spark):
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in got]) >= 0.98
 
 
+def test_language_model_leaves_no_language_out(spark):
+    """A rare language keeps trigrams of its own, one id for all rows leaves documents to learn from, and too many are an error."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c for a in letters for b in letters for c in letters[::5]]
+    data = [(i, " ".join(words[i * 13 % 3000:][:60]), "en") for i in range(60)] + [(100, "привет мир как дела", "ru"), (101, "мир и привет", "ru")]
+    model = language_id.fit(spark.createDataFrame(data, "doc_id bigint, text string, lang string"), max_features=40)
+    found = language_id.predict(spark.createDataFrame([(0, "привет"), (1, words[5])], "doc_id bigint, text string"), model)
+    assert len(model.features) <= 40 and {r["doc_id"]: r["lang_pred"] for r in found.collect()} == {0: "ru", 1: "en"}
+    data = [(int(lang), f"{letters[int(lang)] * 3} {i}" if int(lang) < 6 else "same", lang) for lang in "01234567" for i in range(40)]
+    model = language_id.fit(spark.createDataFrame(data, "doc_id bigint, text string, lang string"), max_docs=1)
+    assert model.languages == list("01234567") and (model.log_p.max(axis=0) > model.log_p.min(axis=0)).all()
+    with pytest.raises(ValueError, match="max_languages=7"):
+        language_id.fit(spark.createDataFrame(data, "doc_id bigint, text string, lang string"), max_languages=7)
+
+
 def test_language_mixture(spark, small_docs):
     docs = queries.documents(spark, SMALL)
     model = language_id.fit(docs)
