@@ -10,8 +10,8 @@ probability equal to their similarity, with the concentration bounds of fully
 random minwise hashing, at O(T log T + n) instead of O(T n) steps.
 
 Bands of ``ROWS`` coordinates give ``BANDS`` keys a document.  A pair at
-similarity 0.8 shares no key with probability (1 - 0.8^5)^32, about 3e-6;
-at 0.85 it is 7e-9.
+similarity 0.8 shares no key with probability (1 - 0.8^5)^40, about 1e-7;
+at 0.85 it is 6e-11.
 
 Documents with equal sets are collapsed to one class first (128-bit digest of
 the sorted set).  Each class is then compared with one leader of its buckets,
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import exact_dedup
 from .common import slices, tidy, written
 
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 40, 5
 BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1 << 20  # bounds of a block; larger buckets take several
 
 # Odd 64-bit constants of the hash mixer (any would do).

@@ -348,6 +348,10 @@ def test_language_held_out_accuracy(spark):
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in got]) >= 0.98
 
 
+def test_bands_miss_hardly_any_borderline_pair():
+    assert (1 - 0.8 ** near_dedup.ROWS) ** near_dedup.BANDS < 2e-7
+
+
 def test_language_model_leaves_no_language_out(spark):
     """A rare language keeps trigrams of its own, one id for all rows leaves documents to learn from, and too many are an error."""
     letters = "abcdefghijklmnopqrstuvwxyz"
