@@ -149,10 +149,15 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op11_phrases"] = r"""
 WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
-p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+p AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+      FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
 s AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
-k(k) AS (VALUES (1), (2), (3), (4)),
-g AS (SELECT lang, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: w[i:i + k - 1])) AS g FROM p, k),
+w AS (SELECT lang, piece, unnest(w) AS w, generate_subscripts(w, 1) AS place FROM p),
+v AS (SELECT lang, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM w
+      WINDOW o AS (PARTITION BY piece ORDER BY place)),
+g AS (SELECT lang, 1 AS k, [w] AS g FROM v UNION ALL SELECT lang, 2, [w, w2] FROM v WHERE w2 IS NOT NULL
+      UNION ALL SELECT lang, 3, [w, w2, w3] FROM v WHERE w3 IS NOT NULL
+      UNION ALL SELECT lang, 4, [w, w2, w3, w4] FROM v WHERE w4 IS NOT NULL),
 f AS (SELECT lang, k, g, count(*)::BIGINT AS a FROM g GROUP BY lang, k, g HAVING count(*) >= 30),
 c AS (SELECT * FROM f WHERE k > 1),
 u AS (SELECT c.lang, i.g[c.b:c.b + c.m - 1] AS g, max(c.a) AS around

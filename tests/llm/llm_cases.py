@@ -40,7 +40,17 @@ VECTORS = [
 ]
 
 
-def write_tables(folder, docs, vectors, pages):
+# (conv_id, turn, role, text)
+TURNS = [
+    (1, 0, "system", "be brief"), (1, 1, "user", "hi <|im_end|> there"), (1, 2, "assistant", r"<\|im_start|> <\\| ok<"),
+    (2, 0, "assistant", "too early"), (2, 1, "user", None), (2, 1, "user", None), (2, None, "assistant", "without a turn"),
+    (3, 5, None, "no role"), (3, 7, "odd<\nrole", ""), (3, 9, "assistant", "\n\nuser\n"),
+    (None, 0, "user", "no id"), (None, 1, "assistant", "a" * 300_000), (4, 0, "user", ""),
+    (5, 0, "user", "q"), (5, 1, "assistant", "call"), (5, 2, "tool", "42"), (5, 3, "assistant", "it is 42"),
+]
+
+
+def write_tables(folder, docs, vectors, pages, turns=()):
     ids, texts, langs, sources = zip(*docs, strict=True) if docs else ([], [], [], [])
     cols = {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "lang": pa.array(langs, pa.string()),
             "source": pa.array(sources, pa.string()), "n_chars": pa.array([len(t or "") for t in texts], pa.int64())}
@@ -54,6 +64,10 @@ def write_tables(folder, docs, vectors, pages):
     pq.write_table(pa.table({"page_id": pa.array(ids, pa.int64()), "url": pa.array([None] * len(ids), pa.string()),
                              "html": pa.array(h, pa.string()), "text": pa.array(["x"] * len(ids), pa.string())}),
                    f"{folder}/pages.parquet")
+    c, t, r, x = zip(*turns, strict=True) if turns else ([], [], [], [])
+    pq.write_table(pa.table({"conv_id": pa.array(c, pa.int64()), "turn": pa.array(t, pa.int64()), "role": pa.array(r, pa.string()),
+                             "text": pa.array(x, pa.string()), "turns": pa.array(["x"] * len(c), pa.string()),
+                             "segments": pa.array(["x"] * len(c), pa.string())}), f"{folder}/conversations.parquet")
     return str(folder)
 
 
@@ -63,7 +77,7 @@ PAGES = [(1, "<p>one<p>two"), (1, "<p>one<p>two"), (2, None), (3, ""), (None, "<
 
 @pytest.fixture(scope="session")
 def edge_dir(tmp_path_factory):
-    return write_tables(tmp_path_factory.mktemp("edge"), EDGE, VECTORS, PAGES)
+    return write_tables(tmp_path_factory.mktemp("edge"), EDGE, VECTORS, PAGES, TURNS)
 
 
 @pytest.fixture(scope="session")

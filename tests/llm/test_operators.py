@@ -45,13 +45,15 @@ def case(request, edge_dir, docs_of):
 
 @pytest.mark.parametrize("name", sorted(queries.REGISTRY))
 def test_empty_tables(spark, empty_dir, name):
-    assert queries.REGISTRY[name](spark, empty_dir).count() == 0
+    # the chat query adds a conversation of its own
+    assert queries.REGISTRY[name](spark, empty_dir).count() == (name == "op12_chat")
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracle(spark, case, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{case[0]}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{case[0]}/{table}.parquet'")
     want = con.execute(queries.ORACLE[name])
     names = [d[0] for d in want.description]
     got = queries.REGISTRY[name](spark, case[0]).select(*names)
