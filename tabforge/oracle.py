@@ -838,3 +838,30 @@ SELECT model_name, CAST(rank AS INTEGER) AS rank, rank = 1 AS is_best, ROUND(tra
        CASE WHEN status <> 'ok' THEN 'failed' WHEN train_f1 - val_f1 > 0.1 THEN 'overfitting'
             WHEN val_f1 < 0.5 THEN 'underfitting' ELSE 'good fit' END AS verdict
 FROM r""")
+
+
+ORACLE["predict_knn"] = """
+WITH st AS (SELECT AVG(c_acctbal) AS ma, STDDEV_POP(c_acctbal) AS sa, AVG(c_nationkey) AS mn, STDDEV_POP(c_nationkey) AS sn
+            FROM customer WHERE c_custkey % 4 <> 0),
+p AS (SELECT c_custkey, c_mktsegment, (c_acctbal - ma) / sa AS a, (c_nationkey - mn) / sn AS b FROM customer, st),
+r AS (SELECT q.c_custkey AS qid, t.c_mktsegment AS label,
+             ROW_NUMBER() OVER (PARTITION BY q.c_custkey ORDER BY SQRT((q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b)),
+                                t.c_custkey) AS rk
+      FROM p q, p t WHERE t.c_custkey % 4 <> 0),
+v AS (SELECT qid, label, COUNT(*) AS votes FROM r WHERE rk <= 5 GROUP BY qid, label),
+b AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY votes DESC, label) AS o FROM v)
+SELECT qid AS c_custkey, label AS prediction FROM b WHERE o = 1"""
+
+# Squared loss: g = mean - y and h = 1, so G and H of a side are its count and sum; ridge 1, rate 0.1.
+ORACLE["boosting_first_split"] = _ieee_round("""
+WITH base AS (SELECT AVG(l_extendedprice) AS m, COUNT(*) AS n FROM lineitem),
+x AS (SELECT UNNEST([1, 2, 3]) AS f, UNNEST(['l_quantity', 'l_discount', 'l_tax']) AS feature,
+             UNNEST([l_quantity, l_discount, l_tax])::DOUBLE AS v, m - l_extendedprice AS g FROM lineitem, base),
+h AS (SELECT f, feature, v, SUM(g) AS g, COUNT(*) AS h FROM x GROUP BY f, feature, v),
+c AS (SELECT f, feature, v AS edge, SUM(g) OVER w AS gl, SUM(h) OVER w AS hl, SUM(g) OVER t AS tg, SUM(h) OVER t AS th FROM h
+      WINDOW w AS (PARTITION BY f ORDER BY v), t AS (PARTITION BY f)),
+s AS (SELECT *, (gl * gl / (hl + 1) + (tg - gl) * (tg - gl) / (th - hl + 1) - tg * tg / (th + 1)) / 2 AS gain FROM c WHERE th > hl),
+b AS (SELECT * FROM s ORDER BY gain DESC, f, edge LIMIT 1)
+SELECT feature, ROUND(edge, 4) AS edge, l AS "left", CAST(CASE WHEN l THEN hl ELSE th - hl END AS BIGINT) AS n_rows,
+       ROUND(m - 0.1 * CASE WHEN l THEN gl / (hl + 1) ELSE (tg - gl) / (th - hl + 1) END, 3) AS prediction
+FROM b, base, (VALUES (TRUE), (FALSE)) sides(l)""")

@@ -522,14 +522,17 @@ from tabforge.operators import models as mdl  # noqa: E402
 from tabforge.plans import automl  # noqa: E402
 
 CLS_FAST = ["LogisticRegression", "KNN", "DecisionTree", "RandomForest"]
-CLS_BOOST = ["GradientBoosting", "GradientBoostingSubsampled"]
+CLS_BOOST = ["GradientBoosting", "SecondOrderBoosting"]
 REG_FAST = ["LinearRegression", "Ridge", "Lasso", "ElasticNet", "RandomForest"]
-REG_BOOST = ["GradientBoosting", "GradientBoostingSubsampled"]
+REG_BOOST = ["GradientBoosting", "SecondOrderBoosting"]
+
+
+ROUNDS = 20     # of the second-order boosting in these queries: a level is a job, so 100 rounds take minutes at any size
 
 
 def _cls_run(spark, sf_dir, only):
     return automl.run_supervised(fixture(spark, sf_dir, "orders_gaps"), _orders_config(), ORDERS_PLAN,
-                                 only=only)
+                                 only=only, boost_rounds=ROUNDS)
 
 
 def _leaderboard(lb: DataFrame) -> DataFrame:
@@ -554,7 +557,7 @@ def _reg_config():
 
 def _reg_run(spark, sf_dir, only):
     df = fixture(spark, sf_dir, "lineitem_gaps").drop("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
-    return automl.run_supervised(df, _reg_config(), None, only=only)
+    return automl.run_supervised(df, _reg_config(), None, only=only, boost_rounds=ROUNDS)
 
 
 @query("train_regression")
@@ -587,6 +590,42 @@ def q_predict(spark, sf_dir):
     return mdl.score(table(spark, sf_dir, "orders"), r.prep, model, keep=["o_orderkey"])
 
 
+@query("predict_knn")
+def q_predict_knn(spark, sf_dir):
+    """The market segment of every customer by 5 neighbours among those whose key is not divisible
+    by 4; the fitted index is stored, opened again and scored through the preparation."""
+    import uuid
+
+    from tabforge.session import checkpoint_dir
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
+    cfg = pl.TaskConfig("Supervised", "Classification", target="c_mktsegment", index_column="c_custkey")
+    plan = {"columns_to_drop": {"column_list": []}, "columns_to_keep": {"column_list": []},
+            "pipeline_recommendation": {"step_5_scaling": {"method": "standard", "columns": ["c_acctbal", "c_nationkey"]}}}
+    train = c.where(F.col("c_custkey") % 4 != 0)
+    prep, _ = pp.fit(train, pl.Plan(plan), cfg)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/knn-{uuid.uuid4().hex}"
+    mdl.save_model(spark, mdl.KNNModelSpec(5).fit(mdl.training_vectors(train, prep, "c_custkey")), path)
+    return mdl.score(c, prep, mdl.load_model(spark, path), keep=["c_custkey"])
+
+
+@query("boosting_first_split")
+def q_boosting(spark, sf_dir):
+    """M8: the root of the first boosted tree on lineitem and its leaves' weights; the count of rows in each leaf."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from tabforge.operators import boosting as bst
+    names = ["l_quantity", "l_discount", "l_tax"]
+    li = table(spark, sf_dir, "lineitem").select(*names, F.col("l_extendedprice").alias("label"))
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(li)
+    model = bst.SecondOrderBoosting("squared", bst.BoostParams(rounds=1, depth=1)).fit(data)
+    tree = model.trees[0][0]
+    name, edge = names[tree.feature[0]], tree.edge[0]
+    out = model.transform(data).groupBy((F.col(name) <= edge).alias("left")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.avg("prediction").alias("prediction"))
+    return rounded(out.select(F.lit(name).alias("feature"), F.lit(edge).alias("edge"), "left", "n_rows", "prediction"),
+                   {"prediction": 3, "edge": 4})
+
+
 @query("plan_rules")
 def q_plan(spark, sf_dir):
     """The rule-built plan of customer (classification on segment),
