@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tabforge.functions.comoments import named_correlations, pairwise_correlations
 from tabforge.functions.columns import (categorical_columns, col, dtype_name,
                                         numeric_columns)
 from tabforge.functions.quantiles import QuantileJob
@@ -205,6 +206,9 @@ def correlations(df: DataFrame, cols: list[str] | None = None,
     schema = "pair string, column_a string, column_b string, correlation double"
     if not pairs:
         return spark.createDataFrame([], schema)
+    if len(pairs) > MAX_PAIRS_PER_PASS:     # wide table: Gram blocks, one scan, no pair on the driver
+        out = named_correlations(df, cols).drop("n")
+        return out if keep_all else out.where(F.abs("correlation") > threshold)
     vals = pair_correlations(df, pairs)
     rows = []
     for k, (a, b) in enumerate(pairs):
@@ -216,20 +220,19 @@ def correlations(df: DataFrame, cols: list[str] | None = None,
     return spark.createDataFrame(rows, schema)
 
 
-MAX_PAIRS_PER_PASS = 2000   # aggregate expressions per pass for wide tables
+MAX_PAIRS_PER_PASS = 2000   # aggregate expressions of one pass; tables with more pairs go through Gram blocks
 
 
 def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> list[float | None]:
-    """Pearson r per pair (pairwise-complete, as the ``corr`` aggregate).  At
-    most ``MAX_PAIRS_PER_PASS`` pairs per aggregate pass, so a wide table
-    takes several bounded passes instead of one huge expression."""
-    out: list[float | None] = []
-    for s in range(0, len(pairs), MAX_PAIRS_PER_PASS):
-        chunk = pairs[s:s + MAX_PAIRS_PER_PASS]
-        row = df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"r{k}")
-                       for k, (a, b) in enumerate(chunk)]).first()
-        out += [row[f"r{k}"] for k in range(len(chunk))]
-    return out
+    """Pearson r per pair (pairwise-complete, as the ``corr`` aggregate), in one scan: as aggregate
+    expressions, or, for more than ``MAX_PAIRS_PER_PASS`` pairs, from Gram blocks (``comoments``)."""
+    if len(pairs) > MAX_PAIRS_PER_PASS:
+        cols = list(dict.fromkeys(c for p in pairs for c in p))
+        place = {c: k for k, c in enumerate(cols)}
+        got = {(r["i"], r["j"]): r["r"] for r in pairwise_correlations(df, cols).collect()}
+        return [got.get(tuple(sorted((place[a], place[b])))) for a, b in pairs]
+    row = df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"r{k}") for k, (a, b) in enumerate(pairs)]).first()
+    return [row[f"r{k}"] for k in range(len(pairs))]
 
 
 def missing_summary(df: DataFrame) -> DataFrame:

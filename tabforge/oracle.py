@@ -119,6 +119,13 @@ ORACLE["correlations_charges"] = (fixture_cte("lineitem_charges")[:-1]
 ORACLE["correlation_pairs"] = (fixture_cte("lineitem_gaps")[:-1]
                                + _corr_sql("lineitem_gaps", LINEITEM_NUMERIC, threshold=-1.0))
 
+ORACLE["correlation_blocks"] = fixture_cte("lineitem_gaps")[:-1] + f"""
+    , pairs AS ({' UNION ALL '.join(
+        f"SELECT '{a}_vs_{b}' AS pair, '{a}' AS column_a, '{b}' AS column_b, COUNT(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, "
+        f"CORR(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM lineitem_gaps"
+        for i, a in enumerate(LINEITEM_NUMERIC) for b in LINEITEM_NUMERIC[i + 1:])})
+    SELECT pair, column_a, column_b, n, ROUND(r, 6) AS correlation FROM pairs WHERE r IS NOT NULL"""
+
 ORACLE["missing_summary"] = fixture_cte("lineitem_gaps") + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS n_missing, "
     f"ROUND((COUNT(*) - COUNT({c})) * 100.0 / COUNT(*), 6) AS missing_pct FROM lineitem_gaps"

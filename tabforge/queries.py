@@ -96,6 +96,13 @@ def q_correlation_pairs(spark, sf_dir):
                                      keep_all=True))
 
 
+@query("correlation_blocks")
+def q_correlation_blocks(spark, sf_dir):
+    """A14 as wide tables go: every pair and its number of complete rows from Gram blocks (of two columns here)."""
+    from tabforge.functions.comoments import named_correlations
+    return rounded(named_correlations(fixture(spark, sf_dir, "lineitem_gaps"), LINEITEM_NUMERIC, block=2))
+
+
 @query("missing_summary")
 def q_missing(spark, sf_dir):
     """A2/S8 over every column of lineitem with gaps."""
