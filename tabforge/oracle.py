@@ -825,6 +825,21 @@ SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 D
 FROM events GROUP BY 1, 2, 3
 HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 1 DAY""")
 
+ORACLE["stream_window_quantiles"] = _ieee_round("""
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end,
+       event_type, COUNT(*) AS n_rows, COUNT(value) AS n_values,
+       ROUND(QUANTILE_DISC(value, 0.25), 6) AS q25, ROUND(QUANTILE_DISC(value, 0.5), 6) AS q50, ROUND(QUANTILE_DISC(value, 0.75), 6) AS q75
+FROM events GROUP BY 1, 2, 3
+HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 1 DAY""")
+
+# The sketches' bounds hold, so both flags are true wherever a column has them.
+ORACLE["incremental_profile"] = _ieee_round(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, COUNT(*) AS n_rows, COUNT(*) - COUNT({c}) AS n_missing, {lo} AS min, {hi} AS max, "
+    f"TRUE AS distinct_within, {flag} AS median_within FROM orders" for c, lo, hi, flag in (
+        ("o_custkey", "CAST(MIN(o_custkey) AS DOUBLE)", "CAST(MAX(o_custkey) AS DOUBLE)", "TRUE"),
+        ("o_totalprice", "ROUND(MIN(o_totalprice), 6)", "ROUND(MAX(o_totalprice), 6)", "TRUE"),
+        ("o_orderstatus", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS BOOLEAN)"))))
+
 ORACLE["source_csv_blank_header"] = """
 SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"""
 

@@ -840,6 +840,44 @@ def q_stream_closed(spark, sf_dir):
                                       stm.scratch(spark, "windows")))
 
 
+@query("stream_window_quantiles")
+def q_stream_quantiles(spark, sf_dir):
+    """X3 with A5/A7 in append mode: quartiles of the closed daily windows from mergeable sketches, large enough to be
+    exact for up to 32 768 values a window."""
+    stream = stm.read_stream(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema)
+    return rounded(stm.closed_windows(stm.windowed_quantiles(stream, "ts", "value", "1 day", "1 day", ["event_type"], k=32768),
+                                      stm.scratch(spark, "window-quantiles")))
+
+
+@query("incremental_profile")
+def q_incremental(spark, sf_dir):
+    """A2, A3, A5, A7 of orders from the sketches of its years: counts and extremes, and whether the distinct count and
+    the ranks of the quartiles keep their bounds against the whole table."""
+    from tabforge.functions import sketches as sk
+    from tabforge.operators import profile as prof
+    cols = ["o_custkey", "o_totalprice", "o_orderstatus"]
+    o = table(spark, sf_dir, "orders")
+    path = stm.scratch(spark, "profile-parts")
+    year = F.year("o_orderdate")
+    half = o.where(year < 1995)
+    sk.add_parts(half, year, path, cols)
+    sk.add_parts(o.where(year >= 1995), year, path, cols)
+    sk.add_parts(half.where(year == 1993), year, path, cols)     # a part that comes again replaces itself
+    got = sk.stored_profile(spark, path)
+    checks = []
+    for c in cols[:2]:
+        v, m = F.col(c).cast("double"), F.lit(got.where(F.col("column_name") == c).first()["quantiles"][1])
+        checks.append(o.agg(F.lit(c).alias("column_name"), F.count_distinct(c).alias("exact"),
+                            F.avg((v < m).cast("int")).alias("below"), F.avg((v <= m).cast("int")).alias("upto")))
+    checks.append(o.agg(F.lit(cols[2]).alias("column_name"), F.count_distinct(cols[2]).alias("exact"),
+                        F.lit(None).cast("double").alias("below"), F.lit(None).cast("double").alias("upto")))
+    off = sk.rank_error()
+    return rounded(got.join(checks[0].unionByName(checks[1]).unionByName(checks[2]), "column_name").select(
+        "column_name", "n_rows", "n_missing", "min", "max",
+        (F.abs(F.col("n_distinct") - F.col("exact")) <= 4 * sk.distinct_error() * F.col("exact")).alias("distinct_within"),
+        ((F.col("below") <= 0.5 + off) & (F.col("upto") >= 0.5 - off)).alias("median_within")))
+
+
 @query("source_csv_blank_header")
 def q_csv_blank_header(spark, sf_dir):
     """A file whose header row is blank takes its first record as header."""

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tabforge.functions import sketches
 from tabforge.functions.columns import col
 from tabforge.session import checkpoint_dir
 from tabforge.sources.loader import is_folder
@@ -60,6 +61,29 @@ def windowed_profile(df: DataFrame, ts: str, value: str, window: str = "1 day",
                      *by, "n_rows", "n_missing", "mean", "min", "max", "std"))
 
 
+def windowed_quantiles(df: DataFrame, ts: str, value: str, window: str = "1 day", watermark: str = "1 day",
+                       by: list[str] | None = None, ranks: tuple[float, ...] = (0.25, 0.5, 0.75), k: int = 2048) -> DataFrame:
+    """X3 with A5 and A7: quantiles per event-time window, also on a stream.
+
+    The state of a window is a KLL sketch (some k numbers, whatever the window holds), merged across tasks and
+    batches, so append mode with a watermark works as for ``windowed_profile``.  A reported value's rank is within
+    ``sketches.rank_error(k)`` of the wanted one; a window of at most ``k`` values is exact.  Null and NaN are
+    missing; a window without values has null quantiles.
+    """
+    by = by or []
+    ts_type = df.schema[ts].dataType.simpleString()
+    w = df
+    if df.isStreaming:
+        w = w.withColumn(ts, col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    v = sketches.present(col(value))
+    out = (w.groupBy(F.window(col(ts), window).alias("w"), *[col(b) for b in by])
+           .agg(F.count(F.lit(1)).alias("n_rows"), F.count(v).alias("n_values"), F.kll_sketch_agg_double(v, k).alias("sketch")))
+    at = sketches.quantiles_of(F.col("sketch"), ranks)
+    return out.select(F.col("w.start").cast(ts_type).alias("window_start"), F.col("w.end").cast(ts_type).alias("window_end"),
+                      *by, "n_rows", "n_values",
+                      *[F.get(at, F.lit(i)).alias(f"q{round(r * 100):02d}") for i, r in enumerate(ranks)])
+
+
 def score_stream(stream: DataFrame, prep, model, keep: list[str] | None = None) -> DataFrame:
     """Same expressions as batch scoring."""
     from tabforge.operators.models import score
