@@ -840,6 +840,8 @@ ORACLE["incremental_profile"] = _ieee_round(" UNION ALL ".join(
         ("o_totalprice", "ROUND(MIN(o_totalprice), 6)", "ROUND(MAX(o_totalprice), 6)", "TRUE"),
         ("o_orderstatus", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS BOOLEAN)"))))
 
+ORACLE["stream_log_once"] = "SELECT o_orderkey, o_orderstatus, 'daily' AS run FROM orders"
+
 ORACLE["source_csv_blank_header"] = """
 SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"""
 

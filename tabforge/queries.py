@@ -878,6 +878,16 @@ def q_incremental(spark, sf_dir):
         ((F.col("below") <= 0.5 + off) & (F.col("upto") >= 0.5 - off)).alias("median_within")))
 
 
+@query("stream_log_once")
+def q_stream_log(spark, sf_dir):
+    """Orders logged as a stream, and the whole run replayed under a new checkpoint: each record is there once."""
+    path = stm.scratch(spark, "log")
+    for _ in range(2):
+        s = stm.read_stream(spark, f"{sf_dir}/orders.parquet", table(spark, sf_dir, "orders").schema)
+        stm.append_once(s.select("o_orderkey", "o_orderstatus"), path, "daily", stm.scratch(spark, "log-ckpt")).awaitTermination()
+    return stm.logged_once(spark, path).select("o_orderkey", "o_orderstatus", F.col("run").cast("string").alias("run"))
+
+
 @query("source_csv_blank_header")
 def q_csv_blank_header(spark, sf_dir):
     """A file whose header row is blank takes its first record as header."""

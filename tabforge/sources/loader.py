@@ -95,14 +95,23 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
 
 
 def _promoted(raw: DataFrame, names: list[str], infer_schema: bool) -> DataFrame:
-    """``raw`` (all text, no header) under ``names``, without blank rows and the row of names."""
+    """``raw`` (all text, no header) under ``names``, without blank rows and, once for each file that begins with a
+    blank row, the row of names.  Data rows that repeat the names stay: they are equal, so it does not matter which
+    of them was the header, and as many as are too many to be headers are put back."""
     names = [n or f"_c{i}" for i, n in enumerate(names[:len(raw.columns)])]
     names += raw.columns[len(names):]
     shown = [F.coalesce(F.trim(col(c)), F.lit("")) for c in raw.columns]
     blank = [s == "" for s in shown]
     named = [s == F.lit("" if n.startswith("_c") else n) for s, n in zip(shown, names, strict=True)]
     every = lambda conds: F.forall(F.array(*conds), lambda x: x)
+    per_file = raw.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.count_if(every(named)).alias("names"), F.count_if(every(blank)).alias("blank"))
+    held = per_file.agg(F.sum("names").alias("all"), F.count_if((F.col("names") > 0) & (F.col("blank") > 0)).alias("headers")).first()
+    again = (held["all"] or 0) - max(held["headers"], 1)
     df = raw.where(~every(blank) & ~every(named)).toDF(*names)
+    if again > 0:
+        df = df.unionByName(raw.sparkSession.range(again).select(
+            *[F.lit(None if n.startswith("_c") else n).cast("string").alias(n) for n in names]))
     if not infer_schema:
         return df
     kinds = ("bigint", "double", "boolean", "timestamp")

@@ -14,11 +14,12 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tabforge.functions import sketches
 from tabforge.functions.columns import col
@@ -107,6 +108,80 @@ def prediction_log(scored: DataFrame, path: str, checkpoint: str | None = None,
     return w.start()
 
 
+def logged_once(spark: SparkSession, path: str) -> DataFrame:
+    """All records of a log that ``append_once`` wrote."""
+    return spark.read.parquet(path)
+
+
+def append_once(scored: DataFrame, path: str, run: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """An idempotent log.  Each micro-batch of ``run`` is a folder (run, batch) of its own, written whole by
+    overwriting that folder alone: a batch that is replayed after a failure, or under a restored checkpoint, replaces
+    itself, so its records are there once."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumns({"logged_at": F.current_timestamp(), "run": F.lit(run), "batch": F.lit(batch_id)})
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "batch").parquet(path))
+
+    w = scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+class ContractBroken(ValueError):
+    """A stream's prepared rows broke the contract: rows were lost or made, or a feature holds nulls."""
+
+
+class ContractListener(StreamingQueryListener):
+    """Ends a query whose observed counts break R22's contract; ``broken`` says how."""
+
+    def __init__(self, name: str, features: list[str]):
+        self.name, self.features, self.broken, self.done = name, features, None, False
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.done = True
+
+    def onQueryProgress(self, event):
+        seen = event.progress.observedMetrics
+        before, after = seen.get(f"{self.name}-in"), seen.get(f"{self.name}-out")
+        if before is None or after is None:
+            return
+        holes = {c: after[f"n{i}"] for i, c in enumerate(self.features) if after[f"n{i}"]}
+        if before["rows"] != after["rows"]:
+            self.broken = self.broken or f"{before['rows']} rows became {after['rows']}"
+        elif holes:
+            self.broken = self.broken or f"prepared features hold nulls: {holes}"
+
+
+def checked_stream(stream: DataFrame, transform, features: list[str], start, poll: float = 0.2) -> StreamingQuery:
+    """R22 on a stream: ``transform(stream)`` is started by ``start(frame)`` and counted on the way, batch by batch,
+    without a pass of its own; the first batch that breaks the contract stops the query and raises.  Returns the
+    query once it has ended by itself (an available-now query) in good order."""
+    spark, name = stream.sparkSession, f"contract-{uuid.uuid4().hex}"
+    listener = ContractListener(name, features)
+    out = transform(stream.observe(f"{name}-in", F.count(F.lit(1)).alias("rows")))
+    out = out.observe(f"{name}-out", F.count(F.lit(1)).alias("rows"),
+                      *[F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(features)])
+    spark.streams.addListener(listener)
+    try:
+        query = start(out)
+        while not query.awaitTermination(poll):
+            if listener.broken:
+                query.stop()
+        for _ in range(50):     # events of the last batch come after its end
+            if listener.broken or listener.done:
+                break
+            time.sleep(poll / 10)
+    finally:
+        spark.streams.removeListener(listener)
+    if listener.broken:
+        raise ContractBroken(listener.broken)
+    return query
+
+
 def closed_windows(df: DataFrame, path: str, checkpoint: str | None = None) -> DataFrame:
     """X3 in append mode: drive a windowed stream over what is there now into a Parquet table and return
     that table.  Windows still open stay in the checkpoint for the next call with it."""

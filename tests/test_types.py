@@ -239,3 +239,18 @@ def test_exact_quantiles_narrow_wide_brackets(spark):
     got = QuantileJob({c: [0.25, 0.5, 0.9] for c in values}, accuracy=50, collect_cap=40).run(df)
     for c, v in values.items():
         assert np.allclose(got[c], np.quantile(v, [0.25, 0.5, 0.9]))
+
+
+def test_promoted_header_keeps_equal_data_rows(spark, tmp_path):
+    """Only the header itself goes, in each file that has one."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.csv").write_text(";;\nid;name;x\n1;ann;2.5\nid;name;x\nid;name;x\n")
+    got = loader.load_table(spark, f"{tmp_path}/a", fmt="csv")
+    assert got.columns == ["id", "name", "x"]
+    assert sorted(tuple(r) for r in got.collect()) == [("1", "ann", "2.5"), ("id", "name", "x"), ("id", "name", "x")]
+    (tmp_path / "a" / "2.csv").write_text(";;\nid;name;x\n2;bob;3.5\n")
+    got = loader.load_table(spark, f"{tmp_path}/a", fmt="csv")
+    assert got.count() == 4
+    (tmp_path / "b.csv").write_text(";;\nid;name;x\n1;ann;2.5\n")
+    got = loader.load_table(spark, f"{tmp_path}/b.csv", fmt="csv")
+    assert got.dtypes == [("id", "bigint"), ("name", "string"), ("x", "double")] and got.count() == 1
