@@ -5,6 +5,8 @@ Each shard is a graph over unit vectors, built in one task: a greedy beam
 search from the medoid proposes neighbours of a vector; pruning goes through
 them from near to far and drops those that a neighbour already chosen lies
 much closer to (a distance of 1/ALPHA or less), which keeps diverse edges;
+vectors of one direction (scaled copies) share a node, whose members are all
+scored when a search finds it;
 edges are added backwards too and pruned again where a node gets too many.
 Vectors join in batches whose searches run side by side.  Two passes are made,
 the first with ALPHA = 1.
@@ -37,6 +39,7 @@ BEAM = 64  # of the searches that propose neighbours
 SEARCH_BEAM = 96  # of queries
 ALPHA = 1.2
 BATCH = 512
+SCORED = 100_000  # exact cosines that a task computes at once
 
 
 def usable(vector: Column) -> Column:
@@ -55,7 +58,7 @@ def beam_search(unit: np.ndarray, edges: np.ndarray, start: int, queries: np.nda
     """
     q, n = len(queries), len(unit)
     nodes = np.full((q, beam), -1, np.int64)
-    dist = np.full((q, beam), np.inf, np.float32)
+    dist = np.full((q, beam), np.inf)
     done = np.ones((q, beam), bool)
     seen = np.zeros((q, n + 1), bool)  # the last column stands for no node
     seen[:, n] = True
@@ -85,7 +88,7 @@ def beam_search(unit: np.ndarray, edges: np.ndarray, start: int, queries: np.nda
         r, c = np.nonzero(near < n)
         fresh = near[r, c]
         seen[active[r], fresh] = True
-        nd = np.full(near.shape, np.inf, np.float32)
+        nd = np.full(near.shape, np.inf)
         nd[r, c] = 1 - np.einsum("ij,ij->i", unit[fresh], queries[active[r]])
         keep = min(beam, nd.shape[1])
         if nd.shape[1] > keep:
@@ -167,7 +170,16 @@ def build(unit: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float
 def unit_vectors(rows: list) -> np.ndarray:
     v = np.array(rows, np.float64)
     v /= np.abs(v).max(axis=1, keepdims=True)  # no overflow in the norm
-    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def directions(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(representative row of each direction, direction of each row): rows equal in single precision are one.
+
+    Scaled copies of a vector then are one node, as no distance tells them apart; distances between nodes are
+    taken in double precision, so that nodes of a dense group still have near and far neighbours."""
+    _, first, inverse = np.unique(unit.astype(np.float32), axis=0, return_index=True, return_inverse=True)
+    return first, inverse.ravel()
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -192,10 +204,14 @@ def index(vectors: DataFrame, k: int, id_col: str, vector_col: str, shard_rows:
 
     def graph(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("vec_ids", key=lambda s: s.map(lambda x: x[0])).reset_index(drop=True)
-        edges, start = build(unit_vectors(part["vector"].tolist()))
-        return pd.DataFrame({"shard": part["shard"], "dim": part["dim"], "node": np.arange(len(part)),
-                             "vec_ids": part["vec_ids"], "vector": part["vector"],
-                             "edges": [e[e >= 0] for e in edges], "start": start})
+        unit = unit_vectors(part["vector"].tolist())
+        first, node = directions(unit)
+        edges, start = build(unit[first])
+        held = [None] * len(part)  # with the representative of a node
+        for i, e in zip(first.tolist(), edges, strict=True):
+            held[i] = e[e >= 0]
+        return pd.DataFrame({"shard": part["shard"], "dim": part["dim"], "node": node.astype(np.int32),
+                             "vec_ids": part["vec_ids"], "vector": part["vector"], "edges": held, "start": start})
 
     schema = "shard int, dim int, node int, vec_ids array<bigint>, vector array<double>, edges array<bigint>, start int"
     # by ranges, so that shards get tasks of their own however small their data is
@@ -223,23 +239,33 @@ def search(graph: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
         if nodes.empty or some.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"),
                                  "score": pd.Series(dtype="float64")})
-        nodes = nodes.sort_values("node")
-        vectors = np.array(nodes["vector"].tolist(), np.float64)
-        unit, degree = unit_vectors(nodes["vector"].tolist()), max(1, nodes["edges"].map(len).max())
-        edges = np.full((len(nodes), degree), -1, np.int64)
-        for i, e in enumerate(nodes["edges"]):
+        nodes = nodes.sort_values("node", kind="stable")
+        vectors, node = np.array(nodes["vector"].tolist(), np.float64), nodes["node"].to_numpy()
+        reps = nodes["edges"].notna().to_numpy()
+        unit, lists = unit_vectors(vectors[reps].tolist()), nodes["edges"][reps]
+        edges = np.full((len(unit), max(1, lists.map(len).max())), -1, np.int64)
+        for i, e in enumerate(lists):
             edges[i, :len(e)] = e
+        members = np.bincount(node, minlength=len(unit))
+        begin = np.cumsum(members) - members
         ids, start, out = nodes["vec_ids"].tolist(), int(nodes["start"].iloc[0]), []
         for at in range(0, len(some), 512):
             part = some.iloc[at:at + 512]
-            asked = np.array(part["q"].tolist(), np.float64)
+            asked, own = np.array(part["q"].tolist(), np.float64), part["query_id"].to_numpy()
             found, _, _ = beam_search(unit, edges, start, unit_vectors(part["q"].tolist()), max(beam, 2 * k))
-            r, c = np.nonzero(found >= 0)
-            score = cosine(asked[r], vectors[found[r, c]])
-            own = part["query_id"].to_numpy()
-            rows = [(own[i], x, s) for i, node, s in zip(r, found[r, c], score, strict=True) for x in ids[node] if x != own[i]]
-            frame = pd.DataFrame(rows, columns=columns).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-            out.append(frame.groupby("query_id").head(k))
+            # all members of the nodes found are scored, for a bounded number of them at a time
+            sizes = np.where(found >= 0, members[found], 0).sum(axis=1)
+            for rows_of in np.split(np.arange(len(part)), np.flatnonzero(np.diff(np.cumsum(sizes) // SCORED)) + 1):
+                r, c = np.nonzero(found[rows_of] >= 0)
+                r = rows_of[r]
+                hit = found[r, c]
+                n = members[hit]
+                at_member = np.repeat(begin[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                r = np.repeat(r, n)
+                score = cosine(asked[r], vectors[at_member])
+                rows = [(own[i], x, s) for i, m, s in zip(r, at_member, score, strict=True) for x in ids[m] if x != own[i]]
+                frame = pd.DataFrame(rows, columns=columns).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+                out.append(frame.groupby("query_id").head(k))
         return pd.concat(out)
 
     found = (held.groupBy("dim", "shard", "block").cogroup(asked.groupBy("d", "s", "b"))

@@ -27,10 +27,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents at 150 % of their words, at most two epochs of a source."""
     rows = written(mixing.sized(documents(spark, sf_dir)), "mix-rows")
-    plan = mixing.plan_mix(rows, mixing.cycle_weights(rows))
+    plan = mixing.plan_mix(rows, mixing.cycle_weights(rows), within=0.001)
     return (rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
             .select("r.doc_id", "r.source", "r.size", "p.source_size", F.round("p.target", 4).alias("target"),
-                    (F.col("r.size") * mixing.repeats(F.col("r.u"), F.col("p.whole"), F.col("p.cut"), F.col("p.extra")))
+                    (F.col("r.size") * mixing.repeats(*[F.col(c) for c in ("r.u", "p.whole", "p.cut", "p.extra", "r.size", "p.more")]))
                      .cast("long").alias("taken")))
 
 
@@ -52,12 +52,32 @@ p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE
 c AS (SELECT d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
         sum(size) OVER (PARTITION BY d.source ORDER BY u RANGE UNBOUNDED PRECEDING) AS upto
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-g AS (SELECT *, rest - coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM c),
-e AS (SELECT *, min(CASE WHEN upto > rest AND abs(size - gap) < gap THEN {'off': abs(size - gap), 'u': u} END)
-                OVER (PARTITION BY source) AS best FROM g)
-SELECT doc_id, source, size, source_size::BIGINT AS source_size, round(target, 4) AS target,
-  (size * (whole + CASE WHEN upto <= rest OR u = best.u THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM e
+g AS (SELECT source, any_value(target) AS target, any_value(rest) - coalesce(max(CASE WHEN upto <= rest THEN upto END), 0) AS gap,
+        coalesce(max(CASE WHEN upto <= rest THEN u END), -1) AS cut FROM c GROUP BY source),
+r(i, source, target, place, gap, more) AS (
+  SELECT 0, source, target, cut, gap, []::STRUCT(lo BIGINT, hi BIGINT, most DOUBLE)[] FROM g
+  UNION ALL
+  SELECT r.i + 1, r.source, r.target, coalesce(n.stop, 1152921504606846975), r.gap - coalesce(n.got, 0),
+    CASE WHEN n.got > 0 THEN list_append(r.more, {'lo': r.place, 'hi': n.last, 'most': r.gap}) ELSE r.more END
+  FROM r LEFT JOIN (
+    SELECT i, source, max(CASE WHEN upto <= gap THEN u END) AS last, max(CASE WHEN upto <= gap THEN upto END) AS got,
+           min(CASE WHEN upto > gap THEN u END) AS stop
+    FROM (SELECT r.i, r.source, r.gap, d.u, sum(d.size) OVER (PARTITION BY r.source ORDER BY d.u RANGE UNBOUNDED PRECEDING) AS upto
+          FROM r JOIN d ON d.source IS NOT DISTINCT FROM r.source AND d.u > r.place AND d.size > 0 AND d.size <= r.gap)
+    GROUP BY i, source) n ON n.source IS NOT DISTINCT FROM r.source
+  WHERE r.gap > 0.001 * r.target AND r.place < 1152921504606846975),
+v AS (SELECT source, gap, more, i > 0 AS later FROM r WHERE i = 0
+      UNION ALL SELECT source, arg_max(gap, i), arg_max(more, i), TRUE FROM r GROUP BY source),
+x AS (SELECT v.source, v.later, v.gap, v.more, min({'off': abs(d.size - v.gap), 'u': d.u}) FILTER (
+        d.u > g.cut AND abs(d.size - v.gap) < v.gap
+        AND len(list_filter(v.more, lambda m: d.u > m.lo AND d.u <= m.hi AND d.size > 0 AND d.size <= m.most)) = 0) AS best
+      FROM v JOIN g ON g.source IS NOT DISTINCT FROM v.source JOIN d ON d.source IS NOT DISTINCT FROM v.source GROUP BY ALL),
+y AS (SELECT source, arg_min({'more': more, 'extra': coalesce(best.u, -1)}, {'miss': coalesce(best.off, gap), 'later': later}) AS b
+      FROM x GROUP BY source)
+SELECT c.doc_id, c.source, c.size, c.source_size::BIGINT AS source_size, round(c.target, 4) AS target,
+  (c.size * (c.whole + CASE WHEN c.u <= g.cut OR c.u = y.b.extra
+     OR len(list_filter(y.b.more, lambda m: c.u > m.lo AND c.u <= m.hi AND c.size > 0 AND c.size <= m.most)) > 0 THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c JOIN g ON g.source IS NOT DISTINCT FROM c.source JOIN y ON y.source IS NOT DISTINCT FROM c.source
 """
 
 
