@@ -120,18 +120,16 @@ def test_mix_goes_on_past_a_huge_document(spark):
         assert abs(taken - target) <= 0.001 * target
 
 
-def test_mix_leaves_no_document_that_fits(spark):
-    """A source misses its target by a thousandth, or by less than its smallest document that is left (none left: than
-    half of the last one taken); the pipeline takes the same."""
-    target, left, taken, got, most = {}, defaultdict(list), defaultdict(int), defaultdict(int), defaultdict(int)
+def test_mix_ends_near_its_targets(spark):
+    """A source misses its target by a thousandth, or by at most half of its largest document (the gap that no document
+    fits is closed by the one of the nearest size); the pipeline takes the same."""
+    target, taken, got, most = {}, defaultdict(int), defaultdict(int), defaultdict(int)
     for r in rows(queries.op1_mix(spark, SMALL)):
         taken[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
         most[r["source"]] = max(most[r["source"]], r["size"])
-        if r["size"] and r["taken"] // r["size"] <= r["target"] // r["source_size"]:
-            left[r["source"]].append(r["size"])
     for s, t in target.items():
-        assert abs(taken[s] - t) <= max(0.001 * t, min(left[s], default=most[s] / 2) + 1e-3)
+        assert abs(taken[s] - t) <= max(0.001 * t, most[s] / 2) and abs(taken[s] - t) <= 0.08 * t
     for r in corpus_pipeline.mix(spark, queries.documents(spark, SMALL), SMALL).select("source", "text").collect():
         got[r["source"]] += len(WORDS.findall(r["text"] or ""))
     assert got == taken
