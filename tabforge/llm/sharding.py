@@ -7,8 +7,10 @@ the mean load, the others go, largest first, to the shard that is lightest at
 that time.  The map has one row per slot, whatever the data's size.
 
 Cases with a defined result: a null text counts 0 bytes plus the overhead and
-has checksum 0; null and repeated ids are hashed together with the text; an
-empty table gives an empty result and leaves version 0's loads at 0.
+has checksum 0; null and repeated ids are hashed together with the text; rows
+that repeat both spread over the slots too (which of the equal rows goes where
+is not defined); an empty table gives an empty result and leaves version 0's
+loads at 0.
 """
 
 from __future__ import annotations
@@ -22,16 +24,21 @@ SLOTS = 8192
 OVERHEAD = 8
 
 
-def virtual_slot(id_col: Column, text: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(id_col, text), F.lit(slots)).cast("int")
-
-
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """Narrow rows (doc_id, size, text_crc32, vslot); one scan of the texts."""
+    """Written narrow rows (doc_id, size, text_crc32, vslot); one scan of the texts.
+
+    Rows that repeat another's id and text would share its slot; their place in
+    the scan takes part in their hash, so that they spread like other rows.
+    """
     text = F.col(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), (utf8_bytes(text) + F.lit(OVERHEAD)).alias("size"),
-                       F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-                       virtual_slot(F.col(id_col), text, slots).alias("vslot"))
+    rows = written(docs.select(F.col(id_col).alias("doc_id"), (utf8_bytes(text) + F.lit(OVERHEAD)).alias("size"),
+                               F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+                               F.xxhash64(F.col(id_col), text).alias("key"), F.monotonically_increasing_id().alias("uid")),
+                   "shard-sizes")
+    repeated = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    spread = F.when(F.col("times").isNotNull(), F.xxhash64("key", "uid")).otherwise(F.col("key"))
+    return written(rows.join(repeated, "key", "left").select(
+        "doc_id", "size", "text_crc32", F.pmod(spread, F.lit(slots)).cast("int").alias("vslot")), "shard-rows")
 
 
 def first_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
@@ -110,7 +117,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, map_path: str, id_col: str = "d
     Stores version 0 (round robin) and version 1 (rebalanced by bytes) of the
     slot map under ``map_path``.
     """
-    rows = written(sized(docs, id_col, text_col, slots), "shard-rows")
+    rows = sized(docs, id_col, text_col, slots)
     loads = written(slot_loads(rows, slots).coalesce(1), "slot-bytes")
     v0 = store_map(first_map(docs.sparkSession, shards, slots), map_path, 0)
     v1 = store_map(rebalance(v0, loads, shards), map_path, 1)

@@ -150,6 +150,17 @@ def test_shards(spark, case):
         assert len(by) == 24 and max(loads) - min(loads) <= max(r["size"] for r in got)
 
 
+def test_equal_rows_spread_over_shards(spark):
+    """20 000 rows with one id and text among others: law bytes holds."""
+    docs = spark.range(20_500).select(F.when(F.col("id") < 20_000, 1).otherwise(F.col("id")).alias("doc_id"),
+                                      F.when(F.col("id") < 20_000, "the same text").otherwise(F.col("id").cast("string")).alias("text"))
+    got = sharding.shard_by_bytes(docs.repartition(7), 24, shared_path(spark, "map"))
+    loads = [r["b"] for r in got.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert got.count() == 20_500 and len(loads) == 24 and max(loads) <= 1.02 * min(loads)
+    slots = got.groupBy("shard").agg(F.count_distinct("slot").alias("n"), F.count("*").alias("rows"), F.max("slot").alias("m")).collect()
+    assert all(r["n"] == r["rows"] == r["m"] + 1 for r in slots)
+
+
 def test_slot_map_versions(spark):
     docs = queries.documents(spark, SMALL)
     path = shared_path(spark, "t")
