@@ -14,13 +14,16 @@ similarity 0.8 shares no key with probability (1 - 0.8^5)^40, about 1e-7;
 at 0.85 it is 6e-11.
 
 Documents with equal sets are collapsed to one class first (128-bit digest of
-the sorted set).  Each class is then compared with one leader of its buckets,
-which joins most groups of near copies at one comparison a class.  Buckets
-that still hold several components are compared in full, by blocks of bounded
-size in which only the classes outside the largest component meet all others;
-a block gives back a spanning forest of its links.  So no step emits the pairs
-of a group, and no link between classes that share a key is lost.  Links are
-confirmed on the full sets.
+the sorted set).  Classes that are connected by shared keys form a candidate
+group.  A group within the bounds of a block goes to one task, each of its
+full sets once, and is compared there as a whole.  In a larger group each
+class is compared with one leader of its buckets, which joins most groups of
+near copies at one comparison a class; buckets that still hold several
+components are compared in full, by blocks of bounded size in which only the
+classes outside the largest component meet all others.  Both ways give back a
+spanning forest of links.  So no step emits the pairs of a group, and no link
+between classes that share a key is lost.  Links are confirmed on the full
+sets.
 
 Cases with a defined result: null texts and texts without words have the empty
 set and are linked with nothing; texts shorter than a shingle are one shingle;
@@ -42,7 +45,7 @@ from . import exact_dedup
 from .common import slices, tidy, written
 
 BANDS, ROWS = 40, 5
-BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1 << 20  # bounds of a block; larger buckets take several
+BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1 << 20  # bounds of a block; larger groups and buckets take several
 
 # Odd 64-bit constants of the hash mixer (any would do).
 MIX_A, MIX_B, MIX_C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -233,7 +236,12 @@ def _compare(percent: int) -> Callable[[pa.Table], pa.Table]:
         names, group, members = np.unique(comp, return_inverse=True, return_counts=True)
         mark = np.zeros(len(words), np.int32)
         a, b = [], []
-        for x in np.flatnonzero(group != members.argmax()):
+        # what is connected with the pivot by now is skipped: all that is not meets it
+        pivot = np.flatnonzero(group == members.argmax())[0] if len(group) else 0
+        outside = np.flatnonzero(group != members.argmax()) if len(group) else []
+        for x in [pivot, *outside] if len(names) > 1 and members.max() == 1 else outside:
+            if x != pivot and group[x] == group[pivot]:
+                continue
             own = at[starts[x]:starts[x] + sizes[x]]
             mark[own] = 1
             both = np.add.reduceat(mark[at], starts)
@@ -254,34 +262,21 @@ def _size_fits(n1: str, n2: str, percent: int) -> F.Column:
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, comp, uid, scan_key) of every row of ``docs``.
-
-    ``size`` words a shingle; documents are linked at ``percent`` % similarity.
-    ``component_id`` is the smallest id that links lead to; ``comp`` numbers
-    the components (null: a document without words).
-    """
-    all_rows = written(sketches(docs, size, bands, rows, id_col, text_col), "sketches")
-    classes = written(all_rows.where("n_shingles > 0").groupBy("digest")
-                      .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-                      .withColumn("cid", F.monotonically_increasing_id()), "classes")
-
-    # buckets with more than one class
-    keyed = classes.select("cid", F.explode("bands").alias("key"))
-    heads = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("cid").alias("leader")).where("members > 1")
-    buckets = written(keyed.join(heads, "key").select("key", "cid", "leader"), "buckets")
-
-    # the full sets of the classes in buckets, from a second scan of the texts
-    used = written(buckets.select("cid").distinct().join(classes.select("cid", "n", "digest", "first_id"), "cid"), "used")
-    names = _bytes(docs, id_col, text_col)
+def full_sets(names: DataFrame, used: DataFrame, size: int) -> DataFrame:
+    """The rows of ``used`` (digest, first_id, ...) with their shingles, from a scan of the texts."""
     ids = used.select(F.col("first_id").alias("wanted")).distinct()
-    sets = (names.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-            .mapInArrow(tidy(_profile(size, bands, rows, True)),
+    return (names.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+            .mapInArrow(tidy(_profile(size, 1, 1, True)),
                         "doc_id bigint, n_shingles bigint, digest binary, shingles array<bigint>").alias("s")
             .join(used.alias("u"), (F.col("s.digest") == F.col("u.digest")) & F.col("s.doc_id").eqNullSafe(F.col("u.first_id")))
-            .select("cid", "shingles").groupBy("cid").agg(F.first("shingles").alias("shingles")))
-    sets = written(sets, "sets")
+            .select("u.*", "shingles"))
+
+
+def _large_groups(names: DataFrame, buckets: DataFrame, used: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b), as a forest, of the classes ``used`` in ``buckets`` (key, cid, leader): groups beyond one block,
+    and groups whose documents repeat an id and a text."""
+    buckets = written(buckets.select("key", "cid", "leader"), "buckets")
+    sets = written(full_sets(names, used, size).groupBy("cid").agg(F.first("shingles").alias("shingles")), "sets")
 
     # each class with one leader: joins groups of near copies at one comparison a class
     pairs = (buckets.where("cid <> leader").groupBy("cid").agg(F.min("leader").alias("a"))
@@ -309,9 +304,46 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
                     "mixed")
     found = written(mixed.join(sets, "cid").groupBy("key", "i", "j").applyInArrow(_compare(percent), "a bigint, b bigint"),
                     "links")
-    if not found.isEmpty():
-        joined = comps.select(F.col("comp").alias("a"), F.col("id").alias("b")).unionByName(found)
-        comps = written(components(joined), "components")
+    return comps.select(F.col("comp").alias("a"), F.col("id").alias("b")).unionByName(found)
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, comp, uid, scan_key) of every row of ``docs``.
+
+    ``size`` words a shingle; documents are linked at ``percent`` % similarity.
+    ``component_id`` is the smallest id that links lead to; ``comp`` numbers
+    the components (null: a document without words).
+    """
+    all_rows = written(sketches(docs, size, bands, rows, id_col, text_col), "sketches")
+    classes = written(all_rows.where("n_shingles > 0").groupBy("digest")
+                      .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+                      .withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+    # buckets with more than one class
+    keyed = classes.select("cid", F.explode("bands").alias("key"))
+    heads = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("cid").alias("leader")).where("members > 1")
+    buckets = written(keyed.join(heads, "key").select("key", "cid", "leader"), "buckets")
+
+    # candidate groups: classes connected by shared keys
+    groups = written(components(buckets.select(F.col("leader").alias("a"), F.col("cid").alias("b"))), "groups")
+    again = (all_rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+             .select(F.col("digest").alias("again"), F.col("doc_id").alias("again_id")))
+    used = classes.select("cid", "n", "digest", "first_id").join(groups.select(F.col("id").alias("cid"), F.col("comp").alias("g")), "cid")
+    used = written(used.join(again, (F.col("digest") == F.col("again")) & F.col("first_id").eqNullSafe(F.col("again_id")), "left")
+                   .select("cid", "n", "digest", "first_id", "g", F.col("again").isNotNull().alias("again")), "used")
+    bounds = used.groupBy("g").agg((F.max("again") | (F.count(F.lit(1)) > BLOCK_CLASSES) | (F.sum("n") > BLOCK_SHINGLES)).alias("large"))
+    used = written(used.join(bounds, "g").drop("again"), "used")
+
+    # a group that fits into a block is compared at once
+    names = _bytes(docs, id_col, text_col)
+    fits = full_sets(names, used.where("not large"), size).select("g", "cid", F.col("cid").alias("comp"), "shingles")
+    comps = written(fits.groupBy("g").applyInArrow(_compare(percent), "a bigint, b bigint"), "links")
+
+    large = used.where("large")
+    if not large.isEmpty():
+        comps = comps.unionByName(_large_groups(names, buckets.join(large.select("cid"), "cid"), large, size, percent))
+    comps = written(components(comps), "components")
 
     first = classes.select("cid", "first_id", "digest").join(comps.withColumnRenamed("id", "cid"), "cid", "left")
     first = first.withColumn("comp", F.coalesce("comp", "cid"))
