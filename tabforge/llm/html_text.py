@@ -6,12 +6,17 @@ lacks), and a renderer writes what a reader would see: blocks on lines of
 their own with blank lines around paragraphs, headings, lists and tables; list
 items with a mark and an indent; table cells in aligned columns; preformatted
 text as it is.  Not visible: the head, scripts, styles and other elements that
-never show, comments, and elements with ``hidden`` or with ``display:none`` or
-``visibility:hidden`` in their style.  Rules from style sheets are not
-applied.
+never show, comments, dialogs that are not open, and elements with ``hidden``
+or with ``display:none`` or ``visibility:hidden`` in their style; elements
+with ``visibility:visible`` inside the latter show.  Rules from style sheets
+are not applied.
+
+A cell longer than ``WIDEST`` does not widen its column: what follows it in
+its row goes on below, in its own columns.
 
 The page is read once from left to right without recursion, so the work is
-linear in its length, also for broken or very deep markup.
+linear in its length, also for broken or very deep markup; a table takes its
+rows times its columns.
 
 Cases with a defined result: null pages and pages without visible text give an
 empty text; unclosed and stray tags never fail; rows that share an id are
@@ -38,7 +43,7 @@ MAY_HIDE = re.compile("hidden|style", re.I)
 ATTRIBUTE = re.compile(r"""([^ \t\n\r\f/][^ \t\n\r\f/=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)"?+|'([^']*+)'?+|([^ \t\n\r\f]*+)))?+""")
 STYLE_OPAQUE = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\]++|\\.?)*+"?+|'(?:[^'\\]++|\\.?)*+'?+|\([^)]*+\)?+""", re.S)
 IMPORTANT = re.compile(r"!\s*important$")
-NUMBER = {k: re.compile(rf"""(?:^|[\s"']){k}\s*=\s*["']?\s*(\d{{1,4}})""", re.I) for k in ("colspan", "start", "value")}
+NUMBER = {k: re.compile(rf"""(?:^|[\s"']){k}\s*=\s*["']?\s*(\d{{1,4}})""", re.I) for k in ("colspan", "rowspan", "start", "value")}
 
 # Groups of element names of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,12 +67,13 @@ IMPLIED = {
 }
 WIDEST = 60  # characters up to which a column's cells are aligned
 DEEPEST = 12  # list levels that are indented
-NESTED = 512  # elements nested deeper than this count as text of the element they are in
+NESTED = 512  # elements nested deeper than this are only matched with their end tags
+MOST_COLUMNS = 1000  # fixed value: the widest colspan of the HTML standard
 
 
-def style_hides(style: str) -> bool:
-    """Whether declarations have display none or visibility hidden; of several for a property the last
-    ``!important`` one holds, else the last."""
+def style_shows(style: str) -> tuple[bool, bool | None]:
+    """Whether declarations have display none, and whether they set the visibility to visible (None: not set); of
+    several for a property the last ``!important`` one holds, else the last."""
     plain = STYLE_OPAQUE.sub(lambda m: " " if m[0][0] == "/" else '"', style)  # no sign in these cuts or names anything
     held: dict[str, tuple[bool, str]] = {}
     for declaration in plain.lower().split(";"):
@@ -75,21 +81,27 @@ def style_hides(style: str) -> bool:
         prop, bare = prop.strip(), IMPORTANT.sub("", value.strip())
         if colon and (now := (bare != value.strip(), bare.strip()))[0] >= held.get(prop, now)[0]:
             held[prop] = now
-    return held.get("display", (False, ""))[1] == "none" or held.get("visibility", (False, ""))[1] == "hidden"
+    seen = {"visible": True, "initial": True, "hidden": False, "collapse": False}
+    return held.get("display", (False, ""))[1] == "none", seen.get(held.get("visibility", (False, ""))[1])
 
 
-def hides(attrs: str) -> bool:
-    """Whether a tag has an attribute named hidden, or a style that hides; of equal names the first counts."""
+def shows(attrs: str) -> tuple[bool, bool | None]:
+    """Whether a tag takes its element away (an attribute named hidden, display none), and the visibility that its
+    style sets; of equal names the first counts."""
     if not MAY_HIDE.search(attrs):
-        return False
+        return False, None
     style = None
     for m in ATTRIBUTE.finditer(attrs):
         name = m[1].lower()
         if name == "hidden":
-            return True
+            return True, None
         if name == "style" and style is None:
             style = html.unescape(m[2] or m[3] or m[4] or "")
-    return bool(style) and style_hides(style)
+    return style_shows(style) if style else (False, None)
+
+
+def has(attrs: str, name: str) -> bool:
+    return any(m[1].lower() == name for m in ATTRIBUTE.finditer(attrs))
 
 
 class Lines:
@@ -105,6 +117,14 @@ class Lines:
     def line(self, n: int) -> None:
         self.breaks, self.space = max(self.breaks, n), False
 
+    def state(self) -> tuple:
+        return len(self.parts), self.breaks, self.gap, self.space
+
+    def back_to(self, state: tuple) -> None:
+        """Forget the breaks since ``state`` if nothing was written since."""
+        if len(self.parts) == state[0]:
+            _, self.breaks, self.gap, self.space = state
+
     def force(self) -> None:
         """A line break that stays even after another one."""
         self.gap, self.space = self.gap + 1, False
@@ -150,26 +170,49 @@ class Lines:
 
 class Table:
     def __init__(self):
-        self.rows: list[list[tuple[list[str], int]]] = []
-        self.span = 1
+        self.rows: list[list[tuple[list[str], int, int]]] = []  # cells: lines, columns, rows
+        self.span = self.down = 1
+
+    def places(self) -> list[list[tuple[int, list[str], int]]]:
+        """Each row's cells with their first columns; columns of a cell from above that reaches down are left free."""
+        until: dict[int, int] = {}
+        out = []
+        for r, row in enumerate(self.rows):
+            at, placed = 0, []
+            for lines, span, down in row:
+                while until.get(at, 0) > r:
+                    at += 1
+                placed.append((at, lines, span))
+                if down > 1:
+                    until.update(dict.fromkeys(range(at, at + span), r + down))
+                at += span
+            out.append(placed)
+        return out
 
     def text(self) -> str:
+        placed = self.places()
         widths: dict[int, int] = {}
-        for row in self.rows:
-            at = 0
-            for lines, span in row:
+        for row in placed:
+            for at, lines, span in row:
                 if span == 1:
                     widths[at] = max([widths.get(at, 0), *(len(x) for x in lines if len(x) <= WIDEST)])
-                at += span
+        starts = [0]
+        for c in range(max((at for row in placed for at, _, _ in row), default=0)):
+            starts.append(starts[-1] + widths.get(c, 0) + 2)
         out = []
-        for row in self.rows:
-            for i in range(max((len(lines) for lines, _ in row), default=0)):
-                at, cells = 0, []
-                for lines, span in row:
-                    width = sum(widths.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
-                    cells.append((lines[i] if i < len(lines) else "").ljust(width))
-                    at += span
-                out.append("  ".join(cells).rstrip())
+        for row in placed:
+            for i in range(max((len(lines) for _, lines, _ in row), default=0)):
+                line, long = "", False
+                for at, lines, _ in row:
+                    if i >= len(lines) or not lines[i]:
+                        continue
+                    if line and len(line) + 2 > starts[at]:  # the cell before reaches into this column
+                        if long:
+                            out.append(line)
+                        line = "" if long else line + "  "
+                    line = line.ljust(starts[at]) + lines[i]
+                    long = len(lines[i]) > WIDEST
+                out.append(line.rstrip())
         return "\n".join(x for x in out if x)
 
 
@@ -179,7 +222,11 @@ class Renderer:
     def __init__(self):
         self.open: list[str] = []
         self.n: Counter[str] = Counter()  # open elements by name
+        self.deep: list[str] = []  # open elements beyond NESTED
+        self.deep_n: Counter[str] = Counter()
         self.unseen = 0  # depth from which nothing shows; 0: all shows
+        # of the visibilities set by open elements: depth, value, the writer and its state before
+        self.visible: list[tuple[int, bool, Lines, tuple]] = []
         self.pre = 0
         self.writers: list[Lines] = [Lines()]
         self.tables: list[Table] = []
@@ -194,6 +241,9 @@ class Renderer:
         if self.open and self.open[-1] == "head" and s.strip():
             self.pop_to("head")
         w = self.writers[-1]
+        if self.visible and not self.visible[-1][1]:
+            w.space = w.space or s[:1].isspace() or s[-1:].isspace()
+            return
         if self.pre:
             w.raw(s)
         else:
@@ -224,7 +274,8 @@ class Renderer:
             return
         if name in CELLS and "table" in self.open and self._find({"tr"}, {"table"}) < 0:
             self.start("tr", "")
-        if not self.unseen and (name in UNSEEN or attrs and hides(attrs)):
+        gone, visible = shows(attrs) if attrs and not self.unseen else (False, None)
+        if not self.unseen and (gone or name in UNSEEN or name == "dialog" and not has(attrs, "open")):
             if name in VOID:
                 return
             self.unseen = len(self.open) + 1
@@ -237,10 +288,14 @@ class Renderer:
                 elif name == "wbr":
                     pass
             return
-        if len(self.open) >= NESTED and self.unseen <= NESTED:
+        if len(self.open) >= NESTED and self.unseen <= NESTED and visible is None:
+            self.deep.append(name)
+            self.deep_n[name] += 1
             return
         self.open.append(name)
         self.n[name] += 1
+        if visible is not None:
+            self.visible.append((len(self.open), visible, self.writers[-1], self.writers[-1].state()))
         if not self.unseen:
             self.enter(name, attrs)
 
@@ -252,8 +307,9 @@ class Renderer:
                 return
             if self.in_cell():
                 return
-            m = NUMBER["colspan"].search(attrs) if attrs else None
-            self.tables[-1].span = max(1, int(m[1])) if m and name in CELLS else 1
+            span, down = (NUMBER[k].search(attrs) if attrs and name in CELLS else None for k in ("colspan", "rowspan"))
+            self.tables[-1].span = min(max(1, int(span[1])), MOST_COLUMNS) if span else 1
+            self.tables[-1].down = (int(down[1]) or 1 << 30) if down else 1  # 0: all rows that follow
             self.writers.append(Lines())
         elif name == "tr":
             if self.tables and not self.in_cell():
@@ -291,7 +347,7 @@ class Renderer:
             else:
                 if not table.rows:
                     table.rows.append([])
-                table.rows[-1].append((cell, table.span))
+                table.rows[-1].append((cell, table.span, table.down))
         elif name == "table":
             if not self.tables:
                 return
@@ -322,11 +378,25 @@ class Renderer:
                     self.unseen = 0
             else:
                 self.leave(name)
+            if self.visible and len(self.open) < self.visible[-1][0]:
+                _, shown, w, before = self.visible.pop()
+                if not shown and not self.unseen and w is self.writers[-1]:
+                    w.back_to(before)
+        if self.deep and len(self.open) < NESTED:
+            self.deep.clear()
+            self.deep_n.clear()
 
     def pop_to(self, name: str) -> None:
         beyond = set() if name in ("table", "body", "html") else {"table"} if name in CELLS | GROUPS | {"tr", "caption"} else CELLS | {"table"}
         i = self._find({name}, beyond)
-        if i >= 0:
+        if self.deep_n[name] and i < NESTED:
+            self.close(NESTED)
+            while self.deep_n[name]:
+                last = self.deep.pop()
+                self.deep_n[last] -= 1
+                if last == name:
+                    break
+        elif i >= 0:
             self.close(i)
         elif name == "p" and not self.unseen:
             self.writers[-1].line(2)

@@ -1,5 +1,9 @@
+import re
 import time
+from collections import Counter
+from html.parser import HTMLParser
 
+import pyarrow.parquet as pq
 import pytest
 from llm_cases import PAGES, edge_dir  # noqa: F401
 
@@ -28,6 +32,19 @@ CASES = {
     "<svg><text>no</text></svg>t<template>no</template>": "t",
     "<select><option>a<option>b</select>": "a\nb",
     "<body>a<unclosed attr='": "a",
+    # deep markup inside hidden elements, and hidden elements in deep markup
+    "<div hidden>" + "<div>" * 600 + "no" + "</div>" * 600 + "no</div>yes": "yes",
+    "<div>" * 600 + "a<div hidden>no</div>b" + "</div>" * 600 + "c": "ab\nc",
+    "<div>" * 600 + "a<i style='visibility:hidden'>no<i>no</i></i>b": "ab",
+    "<section>" + "<div>" * 600 + "a</section><div hidden>no</div>b": "a\nb",
+    # visibility is inherited, and a descendant can show again
+    "a<span style='visibility:hidden'>no <b style='visibility:visible'>yes</b> no</span>b": "a yes b",
+    "a<span style='display:none'>no <b style='visibility:visible'>no</b></span>b": "ab",
+    "a<dialog>no</dialog><dialog open>yes</dialog>": "a\nyes",
+    # cells that reach down, or are longer than a column may be
+    "<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>": "a  b  c\n   d  e\nf  g  h",
+    "<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>": "a  b\n   c\n   d",
+    "<table><tr><td>" + "x" * 61 + "<td>b<tr><td>long<td>c</table>": "x" * 61 + "\n      b\nlong  c",
 }
 
 
@@ -93,3 +110,50 @@ def test_all_pages(spark):
     got = queries.op5_html(spark, "/root/testdata/sf0.001").collect()
     assert len(got) == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
     assert all(r["text"] and "<p>" not in r["text"] and "track(" not in r["text"] for r in got)
+
+
+class PlainWords(HTMLParser):
+    """Words between tags by the standard library's parser, but for those of elements that never show or that hide
+    themselves: such an element lasts until as many of its end tags as start tags came."""
+
+    INLINE = set("a abbr b bdi bdo cite code data em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr".split())
+    NEVER = set("head script style template noscript title svg iframe object audio video canvas datalist".split())
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.name, self.depth = [], None, 0
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if self.name:
+            self.depth += tag == self.name
+            return
+        style = re.sub(r"\s", "", dict(attrs).get("style") or "").lower()
+        if tag in self.NEVER or "hidden" in dict(attrs) or "display:none" in style or "visibility:hidden" in style:
+            self.name, self.depth = tag, 1
+        elif tag not in self.INLINE:
+            self.parts.append(" ")
+
+    def handle_startendtag(self, tag, attrs):
+        if not self.name and tag not in self.INLINE:
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag == self.name:
+            self.depth -= 1
+            self.name = self.name if self.depth else None
+        elif not self.name and tag not in self.INLINE:
+            self.parts.append(" ")
+
+    def handle_data(self, data):
+        if not self.name:
+            self.parts.append(data)
+
+
+def test_words_of_all_pages():
+    """All pages have the words that a plain reader finds in them."""
+    words = re.compile(r"[^\W\d_]+")
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        want = Counter(words.findall("".join(PlainWords(page["html"] or "").parts)))
+        assert Counter(words.findall(page_text(page["html"]))) == want, page["page_id"]
