@@ -175,16 +175,16 @@ class Table:
 
     def places(self) -> list[list[tuple[int, list[str], int]]]:
         """Each row's cells with their first columns; columns of a cell from above that reaches down are left free."""
-        until: dict[int, int] = {}
+        until: dict[int, tuple[int, int]] = {}  # of a column: the first free row, the next column
         out = []
         for r, row in enumerate(self.rows):
             at, placed = 0, []
             for lines, span, down in row:
-                while until.get(at, 0) > r:
-                    at += 1
+                while until.get(at, (0, 0))[0] > r:
+                    at = until[at][1]
                 placed.append((at, lines, span))
                 if down > 1:
-                    until.update(dict.fromkeys(range(at, at + span), r + down))
+                    until.update(dict.fromkeys(range(at, at + span), (r + down, at + span)))
                 at += span
             out.append(placed)
         return out
@@ -196,9 +196,10 @@ class Table:
             for at, lines, span in row:
                 if span == 1:
                     widths[at] = max([widths.get(at, 0), *(len(x) for x in lines if len(x) <= WIDEST)])
-        starts = [0]
-        for c in range(max((at for row in placed for at, _, _ in row), default=0)):
-            starts.append(starts[-1] + widths.get(c, 0) + 2)
+        starts, end = {}, 0  # only columns in which a cell begins take room
+        for c in sorted({at for row in placed for at, _, _ in row}):
+            starts[c] = end
+            end += widths.get(c, 0) + 2
         out = []
         for row in placed:
             for i in range(max((len(lines) for _, lines, _ in row), default=0)):

@@ -92,6 +92,7 @@ def test_long_attributes_are_linear(attrs):
 
 @pytest.mark.parametrize("page", ["<div>" * 200_000, "<ul><li>" * 20_000, "<a b=\"" * 50_000, "<table><tr><td>" * 5_000,
                                   "<" * 100_000, "<!--" * 50_000, "<p>" * 100_000, "</b>" * 100_000, "<b><p>" * 20_000,
+                                  "<table>" + "<tr><td colspan=9999 rowspan=9999>x" * 1000, "<div>" * 50_000 + "x" + "</div>" * 50_000,
                                   "&" * 100_000, "<x y='" + "z" * 500_000])
 def test_bad_markup_is_linear(page):
     t = time.process_time()
