@@ -272,15 +272,14 @@ def full_sets(names: DataFrame, used: DataFrame, size: int) -> DataFrame:
             .select("u.*", "shingles"))
 
 
-def _large_groups(names: DataFrame, buckets: DataFrame, used: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b), as a forest, of the classes ``used`` in ``buckets`` (key, cid, leader): groups beyond one block,
-    and groups whose documents repeat an id and a text."""
-    buckets = written(buckets.select("key", "cid", "leader"), "buckets")
+def _large_groups(names: DataFrame, keys: DataFrame, used: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b), as a forest, of the classes ``used`` with the buckets of each (cid, leader, keys): groups beyond
+    one block, and groups whose documents repeat an id and a text.  ``leader`` is the smallest leader of a class's
+    buckets other than itself; what is known of a class joins it once, and its keys unfold after that."""
     sets = written(full_sets(names, used, size).groupBy("cid").agg(F.first("shingles").alias("shingles")), "sets")
 
     # each class with one leader: joins groups of near copies at one comparison a class
-    pairs = (buckets.where("cid <> leader").groupBy("cid").agg(F.min("leader").alias("a"))
-             .select("a", F.col("cid").alias("b")))
+    pairs = keys.where("leader is not null").select(F.col("leader").alias("a"), F.col("cid").alias("b"))
     size_of = used.select("cid", "n")
     pairs = (pairs.join(size_of.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a")
              .join(size_of.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b")
@@ -289,9 +288,10 @@ def _large_groups(names: DataFrame, buckets: DataFrame, used: DataFrame, size: i
     comps = written(components(links), "components")
 
     # pairs across components, once for each set of classes that some bucket holds
-    known = written(size_of.join(comps.withColumnRenamed("id", "cid"), "cid", "left")
-                    .select("cid", "n", F.coalesce("comp", "cid").alias("comp")), "known")
-    state = buckets.select("key", "cid").join(known, "cid")
+    known = (size_of.join(comps.withColumnRenamed("id", "cid"), "cid", "left")
+             .select("cid", "n", F.coalesce("comp", "cid").alias("comp")))
+    state = written(keys.select("cid", "keys").join(known, "cid").select(F.explode("keys").alias("key"), "cid", "n", "comp"),
+                    "state")
     mixed = (state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n").alias("all"),
                                       F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("cid")).alias("h1"),
                                       F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("h2"))
@@ -342,7 +342,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     large = used.where("large")
     if not large.isEmpty():
-        comps = comps.unionByName(_large_groups(names, buckets.join(large.select("cid"), "cid"), large, size, percent))
+        keys = (buckets.groupBy("cid").agg(F.min(F.when(F.col("leader") != F.col("cid"), F.col("leader"))).alias("leader"),
+                                           F.collect_list("key").alias("keys")))
+        keys = written(keys.join(large.select("cid"), "cid", "left_semi"), "keys")
+        comps = comps.unionByName(_large_groups(names, keys, large, size, percent))
     comps = written(components(comps), "components")
 
     first = classes.select("cid", "first_id", "digest").join(comps.withColumnRenamed("id", "cid"), "cid", "left")
