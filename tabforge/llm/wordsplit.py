@@ -136,7 +136,8 @@ class PartIds:
         self.known = {p: self.known[p] for p in self.last if p in self.known}
 
     def _learn(self, new: list[str]) -> list[bytes]:
-        split = [self.split.words(p) for p in new]
+        # a run of ASCII letters is one word by the pattern
+        split = [[p] if p.isascii() and p.isalpha() else self.split.words(p) for p in new]
         words = list(set().union(*split))
         of = dict(zip(words, self.encode(words), strict=True))
         data = [of[w[0]] if len(w) == 1 else b"".join([of[x] for x in w]) for w in split]
