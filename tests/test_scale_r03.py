@@ -40,3 +40,63 @@ def test_wide_knn_with_copies_and_ties(spark):
         dist = np.sqrt(((x - q) ** 2).sum(axis=1))
         want = [o for _, o in sorted((d, o) for d, o in zip(dist.tolist(), ids, strict=True) if o != i)][:4]
         assert [got[i, k + 1] for k in range(4)] == want
+
+
+def test_correlations_of_eight_columns_need_no_expression_a_pair(spark, monkeypatch):
+    from tabforge.operators import profile as prof
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 8))
+    x[:, 5] += 2 * x[:, 1]
+    x[rng.random(x.shape) < 0.1] = np.nan
+    names = [f"v{i}" for i in range(8)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x],
+                               ", ".join(f"{c} double" for c in names))
+    want = {}
+    for i in range(8):
+        for j in range(i + 1, 8):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            want[names[i], names[j]] = np.corrcoef(x[both, i], x[both, j])[0, 1]
+    monkeypatch.setattr(prof, "pair_correlations", None)
+    got = {(r["column_a"], r["column_b"]): r["correlation"] for r in prof.correlations(df, names, keep_all=True).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert [r["pair"] for r in prof.correlations(df, names).collect()] == ["v1_vs_v5"]
+
+
+def test_letters_are_words_without_the_pattern(monkeypatch):
+    import public_tokenizers
+
+    from tabforge.llm.wordsplit import PartIds, Splitter
+    split = Splitter(public_tokenizers.path("word_bpe_49k.json"))
+    asked = []
+    words = split.words
+    monkeypatch.setattr(split, "words", lambda p: asked.append(p) or words(p))
+    ids = PartIds(split, lambda new: [w.encode("utf-32-le") for w in new])
+    text = "plain Words don't 42nd x_y ünder 'tis"
+    _, got = ids([text])
+    assert "plain" not in asked and "words" not in asked and {"don't", "42nd", "x_y"} <= set(asked)
+    want = [w for p in text.lower().split() for w in words(p)]
+    assert got.tobytes().decode("utf-32-le") == "".join(want)
+
+
+def test_large_groups_join_each_class_once(spark, monkeypatch):
+    """Groups beyond a block: what is known of a class joins one row for it, and its keys unfold once."""
+    from tabforge.llm import near_dedup
+    seen, write = {}, near_dedup.written
+    monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", 4)
+    monkeypatch.setattr(near_dedup, "written", lambda df, tag: seen.setdefault(tag, []).append(write(df, tag)) or seen[tag][-1])
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[:i], f"x{i}", *words[i + 1:]]) for i in range(24)] + ["alone in the world of words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, size=2, percent=80).collect()}
+    assert got == {i: 0 if i < 24 else 24 for i in range(25)}
+    (keys,), (state,) = seen["keys"], seen["state"]
+    assert keys.count() == 24 == keys.select("cid").distinct().count() and state.count() > 24
+
+
+def test_memory_goes_back_after_a_task(monkeypatch):
+    from tabforge.llm import common
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert list(common.tidy(lambda it: it)(iter([1, 2]))) == [1, 2] and calls == [1]
+    monkeypatch.undo()
+    common.give_back()
