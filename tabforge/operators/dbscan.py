@@ -1,18 +1,17 @@
-"""DBSCAN (M14) without materialising every pair within eps.
-
-1. Eps-neighbour counts: the pivot-pruned block join (see ``neighbors``)
-   emits one count per query and block, never the pairs; core points are
-   those with at least ``min_samples`` neighbours (the point included).
-2. Core connectivity: inside each block the components of the core-core
-   eps-graph are found by union-find and emitted as stars (each member
-   linked to the component's smallest id): at most |Q| + |R| edges instead
-   of |Q| x |R|.  The union of the per-block stars has exactly the
-   connected components of the union of the block graphs, so clusters are
-   exact; components come from min-label propagation with pointer jumping,
-   checkpointed every round.
-3. Border points have fewer than ``min_samples`` neighbours, so their core
-   neighbour lists are bounded; each takes the smallest neighbouring label.
-   The rest is noise (-1).
+"""DBSCAN (M14) by cells of side eps / sqrt(d), without the pairs within eps.
+
+1. Points of one cell lie within eps of each other, so all points of a cell
+   with ``min_samples`` points or more are core points; only points of
+   smaller cells count their neighbours, in the cells whose boxes lie within
+   eps.  Those pairs of cells come from the exact range join of ``neighbors``
+   over the cells' middles.
+2. Core points of a cell are linked to its smallest id.  Two cells are linked
+   if two of their outermost core points lie within eps; pairs of cells that
+   stay in different components after that are compared point by point.  So
+   clusters are exact, and dense data costs rows, not pairs.  Components come
+   from min-label propagation with pointer jumping, checkpointed every round.
+3. Border points take the smallest label among their core neighbours.  The
+   rest is noise (-1), as are points with missing or infinite values.
 
 Labels are numbered 0.. in order of the smallest point id of each cluster,
 which is the discovery order of a scan in id order.
@@ -20,97 +19,48 @@ which is the discovery order of a scan in id order.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions.columns import col
-from tabforge.operators.neighbors import PivotIndex, _exact_dist, _stack
-from tabforge.session import cut_lineage
+from tabforge.operators.metrics import sqdist, to_array
+from tabforge.operators.neighbors import WIDE, PivotIndex, range_pairs
+from tabforge.operators.boosting import _written
 
 INLINE_LABELS = 100_000
+SLACK = 1e-6              # share by which cells are smaller than eps allows, beyond any rounding of their bounds
+FAR = float(1 << 28)      # cell numbers beyond this lose digits; such values are cells of their own
 
 
-def _count_fn(eps: float):
-    def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return pd.DataFrame({"qid": [], "n": []})
-        d = _exact_dist(_stack(q["x"]), _stack(r["x"]))
-        return pd.DataFrame({"qid": q["qid"].to_numpy(), "n": (d <= eps).sum(axis=1).astype("int64")})
-    return fn
-
-
-def _forest_fn(eps: float):
-    """Spanning forest of the core-core eps-graph of one block."""
-    def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        q = q[q["core"]]
-        r = r[r["core"]]
-        if q.empty or r.empty:
-            return pd.DataFrame({"a": [], "b": []})
-        d = _exact_dist(_stack(q["x"]), _stack(r["x"]))
-        qi, ri = np.nonzero(d <= eps)
-        qid, rid = q["qid"].to_numpy(), r["rid"].to_numpy()
-        parent: dict = {}
-
-        def find(v):
-            root = v
-            while parent.get(root, root) != root:
-                root = parent[root]
-            while parent.get(v, v) != root:      # path compression
-                parent[v], v = root, parent[v]
-            return root
-        for i, j in zip(qi, ri):
-            a, b = int(qid[i]), int(rid[j])
-            if a == b:
-                continue
-            x, y = find(a), find(b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        # a star per block component: every member linked to the component's
-        # smallest id (same connectivity, paths of length <= 2 inside a block)
-        ea = [v for v in parent if find(v) != v]
-        eb = [find(v) for v in ea]
-        return pd.DataFrame({"a": np.array(ea, dtype="int64"), "b": np.array(eb, dtype="int64")})
-    return fn
-
-
-def _border_fn(eps: float):
-    """For non-core queries: their core neighbours (fewer than min_samples)."""
-    def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        q = q[~q["core"]]
-        r = r[r["core"]]
-        if q.empty or r.empty:
-            return pd.DataFrame({"a": [], "b": []})
-        d = _exact_dist(_stack(q["x"]), _stack(r["x"]))
-        qi, ri = np.nonzero(d <= eps)
-        return pd.DataFrame({"a": q["qid"].to_numpy()[qi], "b": r["rid"].to_numpy()[ri]})
-    return fn
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder; a checkpoint keeps constraints on columns that a later union can't name."""
+    return _written(df, "dbscan")
 
 
-def dbscan(df: DataFrame, id_col: str, features, eps: float = 0.5, min_samples: int = 5,
-           index: PivotIndex | None = None) -> DataFrame:
-    """Returns (id, cluster) for every row of ``df``; ids must be integers."""
-    idx = index or PivotIndex(df, id_col, features)
-    q = idx.as_queries() if index is None else idx.locate(df, id_col, features).drop("dq")
-    cand = cut_lineage(idx.candidates(
-        q.select("qid", "x", F.lit(-1).alias("own"), F.lit(float(eps)).alias("lim"))))
-    # 1. neighbour counts -> core flags
-    counts = idx.pairs(cand, fn=_count_fn(eps), schema="qid long, n long")
-    flags = cut_lineage(counts.groupBy("qid").agg(F.sum("n").alias("n"))
-                        .select(F.col("qid").alias("id"), (F.col("n") >= min_samples).alias("core")))
-    # each side gets its own derived flag column (distinct attributes for the cogroup)
-    cand_f = cut_lineage(cand.join(flags.select(F.col("id").alias("qid"), F.coalesce("core", F.lit(False)).alias("core")),
-                       "qid"))
-    pts_f = cut_lineage(idx.points.join(flags.select(F.col("id").alias("rid"),
-                                         F.coalesce("core", F.lit(False)).alias("core")), "rid"))
-    # 2. spanning-forest edges between core points
-    forest = cut_lineage(idx.pairs(cand_f, fn=_forest_fn(eps), schema="a long, b long", points=pts_f,
-                                   q_extra=["core"], r_extra=["core"]))
-    edges = cut_lineage(forest.unionByName(forest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                        .distinct())
-    core = flags.where("core").select("id")
-    labels = cut_lineage(core.select("id", F.col("id").alias("lbl")))
+def _distance(a: str, b: str, d: int) -> Column:
+    """Distance of two array columns of length ``d``."""
+    if d > WIDE:
+        return F.sqrt(sqdist(F.col(a), F.col(b)))
+    return F.sqrt(sum(((F.col(a)[i] - F.col(b)[i]) * (F.col(a)[i] - F.col(b)[i]) for i in range(d)), F.lit(0.0)))
+
+
+def _box_distance(lo1: str, hi1: str, lo2: str, hi2: str, d: int) -> Column:
+    """Distance of two boxes (or of a point, given as both bounds, and a box)."""
+    gap = lambda i: F.greatest(F.col(lo1)[i] - F.col(hi2)[i], F.col(lo2)[i] - F.col(hi1)[i], F.lit(0.0))
+    return F.sqrt(sum((gap(i) * gap(i) for i in range(d)), F.lit(0.0)))
+
+
+def _box(d: int) -> list[Column]:
+    return [F.array(*[F.min(F.col("x")[i]) for i in range(d)]).alias("lo"), F.array(*[F.max(F.col("x")[i]) for i in range(d)]).alias("hi")]
+
+
+def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, lbl): the smallest id that links (a, b) lead to."""
+    links = links.where("a <> b")
+    edges = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut_lineage(nodes.select("id", F.col("id").alias("lbl")))
     while True:  # labels only fall, so this ends; pointer jumping makes it a logarithmic number of rounds
         nb = (edges.join(labels.withColumnRenamed("id", "b").withColumnRenamed("lbl", "nl"), "b")
                    .groupBy("a").agg(F.min("nl").alias("nl")))
@@ -125,13 +75,89 @@ def dbscan(df: DataFrame, id_col: str, features, eps: float = 0.5, min_samples:
             F.col("lbl") != F.col("old")).limit(1).count()
         labels = new
         if changed == 0:
-            break
-    # 3. border points: smallest label among their (few) core neighbours
-    near = idx.pairs(cand_f, fn=_border_fn(eps), schema="a long, b long", points=pts_f,
-                     q_extra=["core"], r_extra=["core"])
-    border = (near.join(labels.withColumnRenamed("id", "b"), "b")
-                  .groupBy("a").agg(F.min("lbl").alias("lbl")).withColumnRenamed("a", "id"))
-    assigned = labels.unionByName(border)
+            return labels
+
+
+def _cells(pts: DataFrame, eps: float, d: int) -> tuple[DataFrame, DataFrame]:
+    """(id, x, cid, n) of every point and (cid, n, lo, hi) of every cell."""
+    side = eps / math.sqrt(d) * (1 - SLACK)
+    far = lambda v: F.abs(v) > side * FAR if side > 0 else F.lit(True)
+    number = lambda v: F.floor(v / side).cast("double") if side > 0 else v
+    keyed = pts.withColumn("key", F.concat(F.transform("x", lambda v: F.when(far(v), F.lit(0.0)).otherwise(number(v))),
+                                           F.transform("x", lambda v: F.when(far(v), v).otherwise(F.lit(0.0)))))
+    cells = cut_lineage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *_box(d))
+                        .withColumn("cid", F.monotonically_increasing_id()))
+    return (cut_lineage(keyed.join(cells.select("key", "cid", "n"), "key").select("id", "x", "cid", "n")),
+            cells.drop("key"))
+
+
+def _adjacent(cells: DataFrame, eps: float, d: int) -> DataFrame:
+    """(a, b) of all pairs of cells whose boxes lie within eps, both ways and each with itself."""
+    most = cells.agg(F.max(_distance("lo", "hi", d))).first()[0] or 0.0
+    mid = cells.select("cid", F.zip_with("lo", "hi", lambda p, q: p + (q - p) / 2).alias("mid"))
+    near = range_pairs(PivotIndex(mid, "cid", "mid"), mid, "cid", "mid", (eps + most) * (1 + 1e-9), self_join=True)
+    box = lambda k: cells.select(F.col("cid").alias(k), F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(f"hi_{k}"))
+    near = near.select(F.col("qid").alias("a"), F.col("rid").alias("b")).join(box("a"), "a").join(box("b"), "b")
+    return cut_lineage(near.where(_box_distance("lo_a", "hi_a", "lo_b", "hi_b", d) <= eps * (1 + 1e-9)).select("a", "b"))
+
+
+def _near(some: DataFrame, adjacent: DataFrame, others: DataFrame, eps: float, d: int) -> DataFrame:
+    """(id, other) of every row of ``some`` with the rows of ``others`` within eps."""
+    left = some.select("id", "x", F.col("cid").alias("a")).join(adjacent, "a")
+    right = others.select(F.col("id").alias("other"), F.col("x").alias("y"), F.col("cid").alias("b"))
+    return left.join(right, "b").where(_distance("x", "y", d) <= eps).select("id", "other")
+
+
+def _across(core: DataFrame, adjacent: DataFrame, eps: float, d: int) -> DataFrame:
+    """(id, lbl) of the core points ``core`` (id, x, cid)."""
+    outer = [f(F.col("x"), F.col("x")[i]) for i in range(d) for f in (F.min_by, F.max_by)]
+    cells = cut_lineage(core.groupBy("cid").agg(F.min("id").alias("first"), *_box(d), F.array(*outer).alias("outer")))
+    side = lambda k: cells.select(F.col("cid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("first", "lo", "hi", "outer")])
+    pairs = (adjacent.where("a < b").join(side("a"), "a").join(side("b"), "b")
+             .where(_box_distance("lo_a", "hi_a", "lo_b", "hi_b", d) <= eps * (1 + 1e-9)))
+    met = F.exists("outer_a", lambda p: F.exists("outer_b", lambda q: F.sqrt(sqdist(p, q)) <= F.lit(eps)))
+    pairs = cut_lineage(pairs.select("a", "b", "first_a", "first_b", "lo_a", "hi_a", "lo_b", "hi_b", met.alias("met")))
+    nodes = cut_lineage(core.select("id").distinct())
+    links = (core.join(cells.select("cid", F.col("first")), "cid").select(F.col("id").alias("a"), F.col("first").alias("b"))
+             .unionByName(pairs.where("met").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))))
+    labels = _labels(nodes, links)
+    # pairs of cells that are still apart: point by point, of the points near the other's box
+    named = lambda k: labels.select(F.col("id").alias(f"first_{k}"), F.col("lbl").alias(f"lbl_{k}"))
+    rest = cut_lineage(pairs.where("not met").join(named("a"), "first_a").join(named("b"), "first_b").where("lbl_a <> lbl_b"))
+    if rest.isEmpty():
+        return labels
+    one = (core.select(F.col("cid").alias("a"), "x").join(rest.select("a", "b", "lo_b", "hi_b"), "a")
+           .where(_box_distance("x", "x", "lo_b", "hi_b", d) <= eps * (1 + 1e-9)).select("a", "b", "x"))
+    two = (core.select(F.col("cid").alias("b"), F.col("x").alias("y")).join(rest.select("a", "b", "lo_a", "hi_a"), "b")
+           .where(_box_distance("y", "y", "lo_a", "hi_a", d) <= eps * (1 + 1e-9)).select("a", "b", "y"))
+    found = one.join(two, ["a", "b"]).where(_distance("x", "y", d) <= eps).select("a", "b").distinct()
+    found = cut_lineage(found.join(rest.select("a", "b", "lbl_a", "lbl_b"), ["a", "b"])
+                        .select(F.col("lbl_a").alias("a"), F.col("lbl_b").alias("b")))
+    return _labels(nodes, links.unionByName(found))
+
+
+def dbscan(df: DataFrame, id_col: str, features, eps: float = 0.5, min_samples: int = 5,
+           index: PivotIndex | None = None) -> DataFrame:
+    """Returns (id, cluster) for every row of ``df``; ids must be integers.  Points come from ``index`` where given."""
+    eps = float(eps)
+    pts = (df.select(col(id_col).cast("long").alias("id"), to_array(df, features).alias("x")) if index is None
+           else index.points.select(F.col("rid").alias("id"), "x"))
+    d = max(pts.agg(F.max(F.size("x"))).first()[0] or 1, 1)
+    pts = pts.where((F.size("x") == d) & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    pts, cells = _cells(pts, eps, d)
+    adjacent = _adjacent(cells, eps, d)
+    # 1. core points: all of a full cell, and what counts enough neighbours
+    few = pts.where(F.col("n") < min_samples)
+    counts = _near(few, adjacent, pts, eps, d).groupBy("id").count().where(F.col("count") >= min_samples).select("id")
+    ids = cut_lineage(pts.where(F.col("n") >= min_samples).select("id").unionByName(counts).where("id is not null").distinct())
+    core = cut_lineage(pts.join(ids, "id", "left_semi").select("id", "x", "cid"))
+    # 2. components of the core points
+    labels = _across(core, adjacent, eps, d)
+    # 3. border points: smallest label among their core neighbours
+    others = few.where("id is not null").join(ids, "id", "left_anti")
+    border = (_near(others, adjacent, core, eps, d).join(labels.select(F.col("id").alias("other"), "lbl"), "other")
+              .groupBy("id").agg(F.min("lbl").alias("lbl")))
+    assigned = cut_lineage(labels.unionByName(border))
     comps = assigned.select("lbl").distinct()
     n = comps.count()
     spark = df.sparkSession

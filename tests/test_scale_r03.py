@@ -100,3 +100,22 @@ def test_memory_goes_back_after_a_task(monkeypatch):
     assert list(common.tidy(lambda it: it)(iter([1, 2]))) == [1, 2] and calls == [1]
     monkeypatch.undo()
     common.give_back()
+
+
+def test_dbscan_cells_against_brute_force(spark):
+    """Dense copies, chains, noise, border points, and clusters whose cells touch without a link."""
+    from tabforge.operators.dbscan import dbscan
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(scale=0.3, size=(60, 3)), 3 + rng.normal(scale=0.2, size=(40, 3)), np.tile([[9.0, 9, 9]], (6, 1)),
+                        rng.uniform(-4, 8, size=(50, 3)), [[9.0, 9, 9 + 0.5 * i] for i in range(1, 5)], [[9.0, 9.4, 9.0]]])
+    eps, least = 0.5, 4
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= eps
+    core = near.sum(axis=1) >= least
+    label = np.where(core, np.arange(len(x)), len(x))
+    for _ in range(len(x)):
+        label = np.where(core, np.where(near & core[None], label[None], len(x)).min(axis=1), len(x))
+    border = np.where(near & core[None], label[None], len(x)).min(axis=1)
+    names = {v: i for i, v in enumerate(sorted(set(label[core].tolist())))}
+    want = {i: names.get(int(b), -1) for i, b in enumerate(border)}
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, x array<double>")
+    assert {r["id"]: r["cluster"] for r in dbscan(df, "id", "x", eps=eps, min_samples=least).collect()} == want
