@@ -6,7 +6,7 @@ and works on all rows that the stage before kept.  ``run`` applies them to
 read again, so a lost executor never repeats an earlier stage.
 
 Texts may be null or empty at any stage: the language stage drops such rows,
-as no language can be told; empty tables pass through as empty tables; further
+as no language can be told, and documents without a main language; empty tables pass through as empty tables; further
 columns, whatever their names, stay with their rows up to the last stage.
 """
 
@@ -21,9 +21,14 @@ from tabforge.llm import bpe, exact_dedup, language_id, mixing, near_dedup
 from tabforge.llm.common import written
 
 
+# Fixed value: the share of a document's main language from which on its language counts as told.
+MAIN_SHARE = 0.65
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language can be told; learned from the labelled documents themselves."""
-    return language_id.accepted(docs, language_id.fit(docs))
+    """Keeps the documents whose language can be told: one language makes up ``MAIN_SHARE`` of them at least; learned
+    from the labelled documents themselves."""
+    return language_id.accepted(docs, language_id.fit(docs), min_score=MAIN_SHARE)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,6 +58,15 @@ def test_language_keeps_texts_without_any_label(spark, edge_dir):  # noqa: F811
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(r[:2] for r in EDGE if any(c.isalpha() for c in r[1] or ""))
 
 
+def test_language_drops_texts_without_a_main_language(spark):
+    of = {"en": "the quick brown fox jumps over the lazy dog and then the other one", "fr": "le chat est sur la table et le chien dort encore une fois"}
+    rows = [(i, f"{of[x]} {i}", x, "a") for i, x in enumerate(["en", "fr"] * 10)]
+    rows += [(20, f"{of['en']}. {of['fr']}", "en", "a"), (21, f"{of['en']} {of['en']}", None, "a"), (22, "12 34", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect())
+    assert got == [*range(20), 21]
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES][2] == "near"
