@@ -51,15 +51,15 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of the ids and of the text they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.digests(bpe.round_trip(docs, path))
+    return bpe.digests(bpe.round_trip(docs, path, most=100_000))  # a worker stays small beside the heap of its executor
 
 
 def _in_small_batches(stage):
-    """Rows of this pipeline are long texts: a thousand of them make a batch between Spark and Python, so that
-    a task's buffers stay small beside its executor's heap."""
+    """Rows of this pipeline are long texts: some hundreds of them make a batch between Spark and Python, so that
+    a task's buffers on both sides stay small beside its executor's heap."""
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "250")
         return stage(spark, docs, sf_dir)
 
     return run_stage

@@ -140,14 +140,18 @@ class TrieEncoder:
         return out
 
 
+# Fixed value: parts of texts whose ids a task remembers.
+KNOWN_PARTS = 400_000
+
+
 @lru_cache(maxsize=2)
-def _part_ids(path: str) -> PartIds:
-    return PartIds(splitter(path), TrieEncoder(path))
+def _part_ids(path: str, most: int = KNOWN_PARTS) -> PartIds:
+    return PartIds(splitter(path), TrieEncoder(path), most)
 
 
-def _encode(path: str):
+def _encode(path: str, most: int = KNOWN_PARTS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _part_ids(path)
+        encode = _part_ids(path, most)
         for b in batches:
             at = 0
             for texts in slices(b.column("text"), 2 << 20, 2048):
@@ -200,11 +204,12 @@ def _decode(path: str):
     return run
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded) of every row: ``encode`` and ``decode`` in one pass of the texts."""
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = KNOWN_PARTS) -> DataFrame:
+    """(doc_id, ids, decoded) of every row: ``encode`` and ``decode`` in one pass of the texts; a task remembers the ids
+    of about ``most`` parts of texts."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    both = lambda batches: _decode(path)(_encode(path)(batches))
+    both = lambda batches: _decode(path)(_encode(path, most)(batches))
     return rows.mapInArrow(tidy(both), f"doc_id {kind}, ids array<int>, decoded string")
 
 

@@ -354,6 +354,14 @@ def test_encode_then_decode(spark, edge_dir):
     assert {r[0]: r[2] for r in bpe.decode(odd, WORD_BPE).collect()} == {1: "the</w> <|endoftext|>", 2: "", 3: ""}
 
 
+def test_bpe_remembers_few_parts_where_asked():
+    texts = [" ".join(f"some{i * 97 + j} word{j}" for j in range(100)) for i in range(60)]
+    few, many = bpe._part_ids(WORD_BPE, 1000), bpe._part_ids(WORD_BPE)
+    for t in texts:
+        assert all((a == b).all() for a, b in zip(few([t]), many([t]), strict=True))
+        assert len(few.known) <= 1000 + 200 + len(few.added)
+
+
 def test_bpe_random_texts():
     encode, rng = bpe._part_ids(WORD_BPE), np.random.default_rng(2)
     letters = list("aaabbceinotrhs'   \n\t.,!0123ABéèßÄ²½ σΣςİıǅ\x1c\x85\xa0中文😀́한글क_<|>ﬁẞ\x00\x7f")
