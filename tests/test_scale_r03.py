@@ -119,3 +119,16 @@ def test_dbscan_cells_against_brute_force(spark):
     want = {i: names.get(int(b), -1) for i, b in enumerate(border)}
     df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, x array<double>")
     assert {r["id"]: r["cluster"] for r in dbscan(df, "id", "x", eps=eps, min_samples=least).collect()} == want
+
+
+def test_knn_tasks_follow_the_distances(spark, monkeypatch):
+    monkeypatch.setattr(nbr, "TASK_CELLS", 500)
+    pts = [(i, [float(i * 37 % 101), float(i * 53 % 97)]) for i in range(300)]
+    df = spark.createDataFrame(pts, "id long, x array<double>").coalesce(1)
+    index = nbr.PivotIndex(df, "id", "x")
+    cells = index.as_queries().withColumnRenamed("own", "cell")
+    assert index.pairs(cells, k=3).rdd.getNumPartitions() >= sum(n * n for n in index.count) / 500 > 8
+    got = {(r["qid"], r["rank"]): r["rid"] for r in nbr.knn(None, "id", df, "id", "x", 3, index=index).collect()}
+    for i, x in pts:
+        near = sorted((((x[0] - y[0]) ** 2 + (x[1] - y[1]) ** 2) ** 0.5, j) for j, y in pts)[:3]
+        assert [got[i, k + 1] for k in range(3)] == [j for _, j in near]
