@@ -11,10 +11,11 @@ Counts are summed across shards, length by length.  A phrase that occurs
 of such phrases only, by ids that complete such phrases on the other side too:
 words to the right give pairs, pairs to the left give triples, triples to the
 right give phrases of four.  The counts that a shard finds go to the other
-shards' by phrase, and the rows of phrases that reach ``least`` come back to
-their shards; a window adds them up, so no phrase needs a join, and a phrase
-has one row a shard at most.  Words get ids of 31 bits by rank within one of
-4096 hash buckets; two ids make a key.
+shards' by a hash bucket of the phrase, packed into one row a shard and bucket,
+and the rows of phrases that reach ``least`` come back to their shards; a
+bucket adds its phrases up, so no phrase needs a join, and a phrase has one
+count a shard at most.  Words get ids of 31 bits by rank within one of 4096
+hash buckets; two ids make a key.
 
 A candidate is then scored by its lowest cut, and dropped where a phrase one
 word longer has at least ``covered`` percent of its count (a phrase inside a
@@ -36,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +56,7 @@ HELD = 2 * MOST  # ids that a task holds over all languages
 BUCKETS = 4096  # of words, for their ids
 
 SHARD = "shard long, lang string, file string, n long, words array<string>, counts array<long>"
+PACKED = "bucket long, shard long, counts binary"
 
 
 def _parts(text: str) -> Iterator[list[bytes]]:
@@ -170,10 +173,10 @@ def build(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
         if n > 2:
             known = base.unionByName(phrases[n - 1].select("shard", F.lit(n - 1).alias("level"), "k1", "k2",
                                                            F.lit(None).cast("string").alias("file")))
-        found = (known.repartition(tasks, "shard").groupBy("shard")
-                 .applyInArrow(_longer(n), "shard long, k1 long, k2 long, count int"))
-        total = F.sum("count").over(Window.partitionBy("k1", "k2") if n > 2 else Window.partitionBy("k1"))
-        phrases[n] = written(found.withColumn("total", total).where(F.col("total") >= least).drop("count"), f"phrases-{n}")
+        found = known.repartition(tasks, "shard").groupBy("shard").applyInArrow(_longer(n, tasks), PACKED)
+        totals = (found.repartition(tasks, "bucket").groupBy("bucket")
+                  .applyInArrow(_totals(n), "shard long, k1 long, k2 long, total long"))
+        phrases[n] = written(totals.where(F.col("total") >= least), f"phrases-{n}")
     return PhraseIndex(shards, words, phrases, least)
 
 
@@ -198,7 +201,7 @@ def _frequent_words(shards: DataFrame, least: int) -> DataFrame:
             .select("shard", "place", "id", "total", "lang", "word"))
 
 
-def _longer(n: int):
+def _longer(n: int, buckets: int):
     """Counts in one shard of the phrases of n words whose parts of n - 1 words are all frequent."""
     def run(table: pa.Table) -> pa.Table:
         level = table.column("level").to_numpy()
@@ -208,7 +211,7 @@ def _longer(n: int):
         place, ids = k1[level == 1].astype(np.int64), k2[level == 1].astype(np.int64)
         known = _words_of(k1[level == n - 1].astype(np.int64), k2[level == n - 1].astype(np.int64), n - 1) if n > 2 else None
         if len(ids) == 0 or known is not None and len(known) == 0:
-            return _counts(shard, empty, empty, empty)
+            return _packed(shard, n, empty, empty, empty, buckets)
         by_id = np.argsort(ids)
         file = next(f for f in table.column("file").to_pylist() if f is not None)
         index = Index.unpack(_get(file))
@@ -226,7 +229,7 @@ def _longer(n: int):
         key2 = (words[:, 2] << 32) if n > 2 else np.zeros(len(words), np.int64)
         if n > 3:
             key2 = key2 | words[:, 3]
-        return _counts(shard, key1, key2, found.size)
+        return _packed(shard, n, key1, key2, found.size, buckets)
 
     return run
 
@@ -266,9 +269,50 @@ def _words_of(k1: np.ndarray, k2: np.ndarray, n: int) -> np.ndarray:
     return np.stack([k1 >> 32, k1 & low, k2 >> 32, k2 & low][:n], axis=1)
 
 
-def _counts(shard: int, k1: np.ndarray, k2: np.ndarray, count: np.ndarray) -> pa.Table:
-    return pa.table({"shard": pa.array(np.full(len(k1), shard), pa.int64()), "k1": pa.array(k1, pa.int64()),
-                     "k2": pa.array(k2, pa.int64()), "count": pa.array(count, pa.int32())})
+def _bucket(k1: np.ndarray, k2: np.ndarray, buckets: int) -> np.ndarray:
+    h = k1.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ k2.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _packed(shard: int, n: int, k1: np.ndarray, k2: np.ndarray, count: np.ndarray, buckets: int) -> pa.Table:
+    """A shard's counts, a row a bucket: its phrases in order, first words as differences, bytes of equal rank together."""
+    bucket = _bucket(k1, k2, buckets)
+    order = np.lexsort((k2, k1, bucket) if n > 2 else (k1, bucket))
+    bucket, words, count = bucket[order], _words_of(k1[order], k2[order], n), count[order]
+    begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][:len(bucket)])
+    pack, blocks = zstandard.ZstdCompressor(level=3), []
+    for a, b in zip(begin, np.r_[begin[1:], len(bucket)], strict=False):
+        cells = np.c_[np.diff(words[a:b, 0], prepend=0), words[a:b, 1:], count[a:b]].T.astype("<i4", order="C")
+        blocks.append(pack.compress(cells.view(np.uint8).reshape(n + 1, -1, 4).transpose(0, 2, 1).tobytes()))
+    return pa.table({"bucket": pa.array(bucket[begin], pa.int64()), "shard": pa.array(np.full(len(begin), shard), pa.int64()),
+                     "counts": pa.array(blocks, pa.binary())})
+
+
+def _unpacked(block: bytes, n: int) -> np.ndarray:
+    """The words of a block's phrases and their counts, n + 1 rows."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8).reshape(n + 1, 4, -1)
+    cells = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i4")[:, :, 0].astype(np.int64)
+    cells[0] = np.cumsum(cells[0])
+    return cells
+
+
+def _totals(n: int):
+    """The phrases of a bucket with their counts over all shards, a row for each shard that has them."""
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_unpacked(b, n) for b in table.column("counts").to_pylist()]
+        shard = np.repeat(table.column("shard").to_numpy(), [p.shape[1] for p in parts])
+        cells = np.concatenate(parts, axis=1)
+        k1 = (cells[0] << 32) | cells[1]
+        k2 = (cells[2] << 32) | (cells[3] if n > 3 else 0) if n > 2 else np.zeros(len(k1), np.int64)
+        order = np.lexsort((shard, k2, k1) if n > 2 else (shard, k1))
+        k1, k2, shard, count = k1[order], k2[order], shard[order], cells[n][order]
+        first = np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+        total = np.repeat(np.add.reduceat(count, first), np.diff(np.r_[first, len(k1)]))
+        return pa.table({c: pa.array(v, pa.int64())
+                         for c, v in (("shard", shard), ("k1", k1), ("k2", k2), ("total", total))})
+
+    return run
 
 
 def extensions(index: PhraseIndex, phrase: str, lang: str = "und") -> DataFrame:

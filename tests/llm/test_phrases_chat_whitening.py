@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,35 @@ def frame(spark, docs):
     return spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
 
 
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_shards_send_packed_counts(n):
+    """A row a bucket and a few bytes a phrase leave a shard, and sums over shards are those of single counts."""
+    rng = np.random.default_rng(n)
+    want, size, tables = Counter(), 0, []
+    holders = defaultdict(set)
+    for shard in range(4):
+        words = np.unique(rng.zipf(1.3, size=(20000, n)).clip(max=40) * (2 ** 31 // 40 - 1), axis=0).astype(np.int64)
+        count = rng.integers(1, 12, len(words))
+        k1 = (words[:, 0] << 32) | words[:, 1]
+        k2 = (words[:, 2] << 32) | (words[:, 3] if n > 3 else 0) if n > 2 else np.zeros(len(words), np.int64)
+        packed = phrases._packed(shard, n, k1, k2, count, 7)
+        assert packed.num_rows <= 7
+        tables.append(packed)
+        size += len(words)
+        for a, b, c in zip(k1.tolist(), k2.tolist(), count.tolist(), strict=True):
+            want[a, b] += c
+            holders[a, b].add(shard)
+    assert sum(len(b) for t in tables for b in t.column("counts").to_pylist()) < 12 * size
+    got = []
+    for _, rows in pa.concat_tables(tables).to_pandas().groupby("bucket"):
+        got += phrases._totals(n)(pa.Table.from_pandas(rows)).to_pylist()
+    assert sorted((r["k1"], r["k2"], r["shard"], r["total"]) for r in got) == sorted(
+        (a, b, s, c) for (a, b), c in want.items() for s in holders[a, b])
+    none = np.zeros(0, np.int64)
+    assert phrases._packed(0, n, none, none, none, 7).num_rows == 0
+
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_phrase_counts_across_shards(spark, parts):
     docs = docs_of_phrases()
